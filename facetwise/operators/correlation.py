@@ -7,10 +7,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetwise.functions.values import chunks, number, number_columns, union_all
+from facetwise.functions.values import chunks, finite, missing, number, number_columns, per_column, union_all
 
 STRONG = 0.5
-PAIRS_PER_PASS = 100
+SUMS_PER_PASS = 300
 PAIR_SCHEMA = "pair int, col_a string, col_b string, r double"
 
 
@@ -25,26 +25,67 @@ def _pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _full_pairs(df: DataFrame, pairs: list, means: dict[str, float]) -> DataFrame:
+    """r for pairs of gap-free columns: all pairs share n, the sums and the squares, so a pair
+    costs one multiply-add a row. Values are shifted by their means, which keeps the sums small."""
+    names = list(dict.fromkeys(name for _, pair in pairs for name in pair))
+    at = {name: i for i, name in enumerate(names)}
+    shifted = df.select(*[(number(df, c) - F.lit(float(means[c]))).alias(f"x{i}") for c, i in at.items()])
+    sums = [F.count(F.lit(1)).cast("double").alias("n")]
+    sums += [F.sum(f"x{i}").alias(f"s{i}") for i in at.values()]
+    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in at.values()]
+    sums += [F.sum(F.col(f"x{at[a]}") * F.col(f"x{at[b]}")).alias(f"p{i}") for i, (a, b) in pairs]
+
+    def moment(cross, one, other):
+        return F.col(cross) - F.col(one) * F.col(other) / F.col("n")
+
+    rows = []
+    for i, (a, b) in pairs:
+        one, other = at[a], at[b]
+        spread = F.sqrt(moment(f"q{one}", f"s{one}", f"s{one}")) * F.sqrt(moment(f"q{other}", f"s{other}", f"s{other}"))
+        rows.append(_row(i, a, b, finite(F.try_divide(moment(f"p{i}", f"s{one}", f"s{other}"), spread))))
+    return shifted.agg(*sums).select(F.inline(F.array(*rows)))
+
+
+def _row(i: int, a: str, b: str, r: Column) -> Column:
+    return F.struct(F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"))
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Upper triangle of the matrix -> pair (column order), col_a, col_b, r."""
+    """Upper triangle of the matrix -> pair (column order), col_a, col_b, r.
+
+    A first pass (one row per column) finds the means and which columns have
+    gaps or are constant; only pairs with gaps need sums of their own.
+    """
     names = list(columns) if columns is not None else number_columns(df)
     pairs = list(enumerate(combinations(names, 2)))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    seen = per_column(
+        df,
+        names,
+        lambda name: {
+            "mean": F.avg(number(df, name)),
+            "gaps": F.count_if(missing(df, name)),
+            "constant": F.coalesce(F.min(number(df, name)) == F.max(number(df, name)), F.lit(True)),
+        },
+    ).collect()
+    constant = {r["column_name"] for r in seen if r["constant"]}
+    gappy = {r["column_name"] for r in seen if r["gaps"]}
+    means = {r["column_name"]: r["mean"] for r in seen}
+
+    flat = [p for p in pairs if constant & set(p[1])]
+    masked = [p for p in pairs if p not in flat and gappy & set(p[1])]
+    full = [p for p in pairs if p not in flat and p not in masked]
     frames = []
-    for part in chunks(pairs, PAIRS_PER_PASS):
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("pair"),
-                    F.lit(a).alias("col_a"),
-                    F.lit(b).alias("col_b"),
-                    _pearson(number(df, a), number(df, b)).alias("r"),
-                )
-                for i, (a, b) in part
-            ]
-        )
-        frames.append(df.agg(rows.alias("_rows")).select(F.inline("_rows")))
+    if flat:
+        empty = [(i, a, b, None) for i, (a, b) in flat]
+        frames.append(df.sparkSession.createDataFrame(empty, PAIR_SCHEMA))
+    for part in chunks(full, SUMS_PER_PASS):
+        frames.append(_full_pairs(df, part, means))
+    for part in chunks(masked, SUMS_PER_PASS // 3):
+        rows = [_row(i, a, b, finite(_pearson(number(df, a), number(df, b)))) for i, (a, b) in part]
+        frames.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows")))
     return union_all(frames)
 
 
