@@ -348,22 +348,3 @@ def flags(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
         skewed = skews(df).where((F.col("rows") >= 3) & (F.abs(finite(F.col("skew"))) > HIGH_SKEW))
         frames.append(_flag_rows(skewed, "high_skew", "skew"))
     return union_all(frames)
-
-
-def section_counts(facts: DataFrame, sections: Sequence[str] = ("missing", "correlation", "flag", "numeric")) -> DataFrame:
-    """Entries per list-like section of a profile -> section, entries."""
-    listed = facts.where(F.col("section").isin(list(sections)))
-    return listed.groupBy("section").agg(
-        F.countDistinct("column_name", F.when(F.col("section") == "flag", F.col("metric")).otherwise(F.lit(""))).alias(
-            "entries"
-        )
-    )
-
-
-def badge(facts: DataFrame) -> DataFrame:
-    """One verdict per dataset -> dataset, badge."""
-    dup = F.max(F.when((F.col("section") == "duplicates") & (F.col("metric") == "pct"), F.col("value_double")))
-    gaps = F.count_if((F.col("section") == "missing") & (F.col("metric") == "count"))
-    return facts.groupBy("dataset").agg(
-        F.when(dup > 1, "Needs attention").when(gaps > 0, "Review missing").otherwise("Looks good").alias("badge")
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("profile_queries", "relation_queries", "analysis_queries", "search_queries", "model_queries")
+FAMILIES = ("profile_queries", "relation_queries", "analysis_queries", "search_queries", "model_queries", "report_queries")
 
 
 def load_all():
