@@ -112,11 +112,76 @@ def block_matcher(k: int, relation: str):
     return run
 
 
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of case-folded texts; ``a`` is the new text."""
-    return pd.Series(
-        [difflib.SequenceMatcher(None, x.casefold(), y.casefold()).ratio() for x, y in zip(a, b)], dtype="float64"
-    )
+def letter_masks(text: str) -> dict[str, int]:
+    """For every letter the bit set of its positions."""
+    masks: dict[str, int] = {}
+    for i, letter in enumerate(text):
+        masks[letter] = masks.get(letter, 0) | (1 << i)
+    return masks
+
+
+def common_subsequence(text: str, masks: dict[str, int], length: int) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
+    full = (1 << length) - 1
+    open_bits = full
+    for letter in text:
+        met = open_bits & masks.get(letter, 0)
+        open_bits = ((open_bits + met) | (open_bits - met)) & full
+    return length - open_bits.bit_count()
+
+
+def text_ratio(new: pd.Series, old: pd.Series, above: float) -> pd.Series:
+    """Ratcliff-Obershelp ratio of case-folded texts; 0 where it is at most ``above``.
+
+    Upper bounds decide most pairs: lengths, letter counts, and the longest
+    common subsequence, of which the matched blocks are one. What the matcher
+    learns about an old text is kept for all new texts it meets.
+    """
+    scores = np.zeros(len(new))
+    folded = [text.casefold() for text in new]
+    places: dict[str, list[int]] = {}
+    for i, text in enumerate(old):
+        places.setdefault(text, []).append(i)
+    for text, at in places.items():
+        text = text.casefold()
+        masks = letter_masks(text)
+        matcher = difflib.SequenceMatcher(None, "", text)
+        for i in at:
+            matcher.set_seq1(folded[i])
+            if matcher.real_quick_ratio() <= above or matcher.quick_ratio() <= above:
+                continue
+            if 2.0 * common_subsequence(folded[i], masks, len(text)) / (len(text) + len(folded[i])) > above:
+                scores[i] = matcher.ratio()
+    return pd.Series(np.where(scores > above, scores, 0.0))
+
+
+PAIR_SUMS = "pair int, n double, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def pair_sums(pairs: list[tuple[int, int, int]]):
+    """A ``mapInArrow`` function: per task one row of sums for each pair of columns, over the rows
+    where both are present."""
+    number = np.array([p[0] for p in pairs], dtype=np.int32)
+    first, second = np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs])
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns])
+            here = (~np.isnan(x)).astype(np.float64)
+            x = np.where(here > 0, x, 0.0)
+            # Entry (i, j): sums over rows where both are present, of 1, x_i, x_i squared, x_i x_j.
+            sums = np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+            total = sums if total is None else total + sums
+        if total is None:
+            return
+        n, s, q, p = total
+        columns = [n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], p[first, second]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(number), *[pa.array(c) for c in columns]], names=["pair", "n", "sx", "sy", "sxx", "syy", "sxy"]
+        )
+
+    return run
 
 
 def arma_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from facetwise import kernels
 from facetwise.functions.values import col, number_columns
-from facetwise.operators.prep import drop_sparse, impute_median, moments, z_score
+from facetwise.operators.prep import drop_sparse, gap_shares, impute_median, moments, z_score
 from facetwise.operators.quantiles import long_quantiles
 from facetwise.operators.schema import sample_rows
 from facetwise.session import write_through
@@ -19,6 +19,7 @@ MIN_ROWS = 10
 TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.05
+MAX_MISSING = 0.5
 # The rows trees draw from: at most 256 per tree, and at most five million cells in all.
 POOL_CELLS = 5_000_000
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
@@ -39,9 +40,10 @@ def features(df: DataFrame, key: Sequence[str], keep_key: bool = False) -> tuple
     """Key and imputed numeric columns that are at most half empty. Key columns are
     not features unless ``keep_key``."""
     names = [c for c in number_columns(df) if keep_key or c not in key]
-    usable = drop_sparse(df.select(*[col(c) for c in dict.fromkeys([*key, *names])]), columns=names)
-    names = [c for c in names if c in usable.columns]
-    return impute_median(usable, names), names
+    shares = gap_shares(df, names)
+    names = [c for c in names if shares[c] <= MAX_MISSING]
+    narrow = df.select(*[col(c) for c in dict.fromkeys([*key, *names])])
+    return impute_median(narrow, names, shares), names
 
 
 def fit_forest(table: DataFrame, names: Sequence[str], key: Sequence[str], trees: int = TREES, seed: int = 42, rows: int | None = None) -> DataFrame:

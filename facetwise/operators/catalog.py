@@ -19,6 +19,7 @@ from facetwise.operators.vectors import best_matches, embed, hashed_ngrams
 
 SUMMARY_CHARS = 200
 HISTORY_SCORE = 0.75
+SALTS = 16
 
 
 def register(df: DataFrame, dataset_id: str, name: str, path: str, created_at: Column | None = None) -> DataFrame:
@@ -117,14 +118,23 @@ def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float =
     window = min(200, 25 * k)
 
     @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return kernels.text_ratio(a, b)
-
-    known = _newest(log, window).where((F.trim("question") != "") & (F.trim("answer_summary") != ""))
-    pairs = known.select("dataset_id", "id", F.trim("question").alias("_old"), F.col("rank").alias("_age")).join(
-        questions.where(F.trim("question") != "").select("question_id", "dataset_id", F.trim("question").alias("_new")),
-        "dataset_id",
+    def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
+        return kernels.text_ratio(new, old, cut)
+
+    # A dataset may hold a large share of all questions: deal its questions out over salts and
+    # repeat its few known entries on each.
+    salt = F.pmod(F.xxhash64("question_id"), F.lit(SALTS))
+    asked = questions.where(F.trim("question") != "").select(
+        "question_id", "dataset_id", F.trim("question").alias("_new"), salt.alias("_salt")
+    )
+    known = (
+        _newest(log, window)
+        .where((F.trim("question") != "") & (F.trim("answer_summary") != ""))
+        .select("dataset_id", "id", F.trim("question").alias("_old"), F.col("rank").alias("_age"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     )
+    partitions = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = asked.repartition(partitions, "dataset_id", "_salt").join(known, ["dataset_id", "_salt"])
     scored = pairs.withColumn("score", ratio("_new", "_old")).where(F.col("score") > cut)
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "_age")
     return (

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -67,7 +68,14 @@ def elbow(df: DataFrame, k_max: int = 6, drop: float = SMALL_DROP, seed: int = 4
     points = sample.select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         most = min(k_max, points.count() - 1)
-        costs = [(i, float(_fit(points, i, seed).summary.trainingCost)) for i in range(2, most + 1)]
+        tried = range(2, most + 1)
+
+        def cost(i):
+            return i, float(_fit(points, i, seed).summary.trainingCost)
+
+        # The fits read the same cached points; run side by side they keep the cluster busy.
+        with ThreadPool(max(1, len(tried))) as pool:
+            costs = pool.map(inheritable_thread_target(points.sparkSession)(cost), tried)
     finally:
         points.unpersist()
     return choose_k(df.sparkSession.createDataFrame(costs, "k int, inertia double"), k, drop)

@@ -7,24 +7,15 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from facetwise.functions.values import chunks, finite, missing, number, number_columns, per_column, union_all
+from facetwise import kernels
+from facetwise.functions.values import finite, missing, number, number_columns, per_column, union_all
 
 STRONG = 0.5
-SUMS_PER_PASS = 300
+# More pairs than this make generated code too large.
+SUMS_PER_PASS = 150
 PAIR_SCHEMA = "pair int, col_a string, col_b string, r double"
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Pearson's r over rows where both are present; null for a constant side.
-
-    ``corr`` raises a division error on constants in ANSI mode, so r is put
-    together from its parts.
-    """
-    x = F.when(b.isNotNull(), a)
-    y = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def _full_pairs(df: DataFrame, pairs: list, means: dict[str, float]) -> DataFrame:
     """r for pairs of gap-free columns: all pairs share n, the sums and the squares, so a pair
     costs one multiply-add a row. Values are shifted by their means, which keeps the sums small."""
@@ -47,15 +38,37 @@ def _full_pairs(df: DataFrame, pairs: list, means: dict[str, float]) -> DataFram
     return shifted.agg(*sums).select(F.inline(F.array(*rows)))
 
 
+def _gram_pairs(df: DataFrame, pairs: list, means: dict[str, float]) -> DataFrame:
+    """r for any pairs, missing values removed pair by pair: every task multiplies its Arrow batches
+    into sums for all pairs, so wide tables and tables with gaps take one scan."""
+    names = list(dict.fromkeys(name for _, pair in pairs for name in pair))
+    at = {name: i for i, name in enumerate(names)}
+    shifted = df.select(*[(number(df, c) - F.lit(float(means[c]))).alias(f"x{i}") for c, i in at.items()])
+    sums = shifted.mapInArrow(kernels.pair_sums([(i, at[a], at[b]) for i, (a, b) in pairs]), kernels.PAIR_SUMS)
+    totals = sums.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+    def spread(squares, total):
+        left = F.col(squares) - F.col(total) * F.col(total) / F.col("n")
+        # What rounding leaves of a constant is not spread.
+        return F.sqrt(F.when(left > F.col(squares) * 1e-13, left))
+
+    together = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    r = F.try_divide(together, spread("sxx", "sx") * spread("syy", "sy"))
+    # One row per pair on both sides.
+    labels = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in pairs], "pair int, col_a string, col_b string")
+    return labels.join(totals.select("pair", finite(r).alias("r")), "pair", "left")
+
+
 def _row(i: int, a: str, b: str, r: Column) -> Column:
     return F.struct(F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Upper triangle of the matrix -> pair (column order), col_a, col_b, r.
+    """Upper triangle of the matrix -> pair (column order), col_a, col_b, r (null for constants).
 
-    A first pass (one row per column) finds the means and which columns have
-    gaps or are constant; only pairs with gaps need sums of their own.
+    ``corr`` raises a division error on constants in ANSI mode, so r is put
+    together from sums. A first pass, one row per column, finds the means and
+    which columns have gaps or are constant.
     """
     names = list(columns) if columns is not None else number_columns(df)
     pairs = list(enumerate(combinations(names, 2)))
@@ -71,21 +84,17 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         },
     ).collect()
     constant = {r["column_name"] for r in seen if r["constant"]}
-    gappy = {r["column_name"] for r in seen if r["gaps"]}
+    gappy = any(r["gaps"] for r in seen)
     means = {r["column_name"]: r["mean"] for r in seen}
 
-    flat = [p for p in pairs if constant & set(p[1])]
-    masked = [p for p in pairs if p not in flat and gappy & set(p[1])]
-    full = [p for p in pairs if p not in flat and p not in masked]
+    flat = [(i, a, b, None) for i, (a, b) in pairs if {a, b} & constant]
+    live = [p for p in pairs if not set(p[1]) & constant]
     frames = []
     if flat:
-        empty = [(i, a, b, None) for i, (a, b) in flat]
-        frames.append(df.sparkSession.createDataFrame(empty, PAIR_SCHEMA))
-    for part in chunks(full, SUMS_PER_PASS):
-        frames.append(_full_pairs(df, part, means))
-    for part in chunks(masked, SUMS_PER_PASS // 3):
-        rows = [_row(i, a, b, finite(_pearson(number(df, a), number(df, b)))) for i, (a, b) in part]
-        frames.append(df.agg(F.array(*rows).alias("_rows")).select(F.inline("_rows")))
+        frames.append(df.sparkSession.createDataFrame(flat, PAIR_SCHEMA))
+    if live:
+        inline = not gappy and len(live) <= SUMS_PER_PASS
+        frames.append((_full_pairs if inline else _gram_pairs)(df, live, means))
     return union_all(frames)
 
 

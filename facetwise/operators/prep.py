@@ -14,24 +14,26 @@ from facetwise.functions.values import col, missing, number, number_columns, per
 from facetwise.operators.quantiles import medians, scalar_values
 
 
+def gap_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Share of missing values per column (0 for an empty table). One pass."""
+    if not columns:
+        return {}
+    found = per_column(df, columns, lambda name: {"share": F.avg(missing(df, name).cast("double"))})
+    return {name: share or 0.0 for name, share in scalar_values(found, "column_name", "share").items()}
+
+
 def drop_sparse(df: DataFrame, max_missing: float = 0.5, columns: Sequence[str] | None = None) -> DataFrame:
     """Leaves out numeric columns with a larger share missing (strictly) than ``max_missing``."""
-    names = list(columns) if columns is not None else number_columns(df)
-    if not names:
-        return df
-    share = per_column(df, names, lambda name: {"share": F.avg(missing(df, name).cast("double"))})
-    sparse = {name for name, s in scalar_values(share, "column_name", "share").items() if s is not None and s > max_missing}
-    return df.select(*[col(c) for c in df.columns if c not in sparse])
+    shares = gap_shares(df, list(columns) if columns is not None else number_columns(df))
+    return df.select(*[col(c) for c in df.columns if shares.get(c, 0.0) <= max_missing])
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None, shares: dict[str, float] | None = None) -> DataFrame:
     """Numeric columns as doubles, missing values replaced by the exact median."""
     names = list(columns) if columns is not None else number_columns(df)
-    if not names:
-        return df
     # Only columns with gaps need a median.
-    gaps = per_column(df, names, lambda name: {"gaps": F.count_if(missing(df, name))})
-    holed = [name for name, n in scalar_values(gaps, "column_name", "gaps").items() if n]
+    shares = gap_shares(df, names) if shares is None else shares
+    holed = [name for name in names if shares[name] > 0]
     middle = scalar_values(medians(df, holed), "column_name", "median") if holed else {}
     filled = {
         name: F.coalesce(number(df, name), F.lit(middle[name])) if middle.get(name) is not None else number(df, name)

@@ -20,7 +20,7 @@ from facetwise.plans.registry import query, table
 )
 def grouped_measures(spark, sf_dir):
     found = A.group_agg(
-        table(spark, sf_dir, "lineitem"),
+        table(spark, sf_dir, "lineitem", spread=True),
         ["l_returnflag", "l_linestatus"],
         {
             "n": ("l_quantity", "count"),

@@ -59,7 +59,7 @@ items AS (SELECT l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", spread=True).select(
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
     )
 

@@ -197,7 +197,7 @@ x AS (SELECT l_orderkey, l_linenumber, list_reverse_sort(zs) AS zs FROM z)
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *FEATURES)
+    return table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", "l_linenumber", *FEATURES)
 
 
 @query(
@@ -218,7 +218,7 @@ def extreme_columns(spark, sf_dir):
 def keyed_lines(spark, sf_dir):
     """Order and line do not identify rows in the test data; supplier and part complete the key."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").select(key.alias("line_id"), *FEATURES)
+    return table(spark, sf_dir, "lineitem", spread=True).select(key.alias("line_id"), *FEATURES)
 
 
 @query()

@@ -35,7 +35,7 @@ def with_constant(spark, sf_dir):
 
 @query(LINE_PAIRS + " SELECT pair, col_a, col_b, round(r, 6) AS r FROM pairs")
 def correlation_pairs(spark, sf_dir):
-    return rounded(C.correlations(table(spark, sf_dir, "lineitem")), "r")
+    return rounded(C.correlations(table(spark, sf_dir, "lineitem", spread=True)), "r")
 
 
 @query(CONSTANT_PAIRS + " SELECT pair, col_a, col_b, round(r, 6) AS r FROM pairs")
@@ -80,7 +80,7 @@ def correlation_matrix_wide(spark, sf_dir):
     + " SELECT pair, col_a, col_b, round(r, 6) AS r FROM pairs WHERE r IS NOT NULL ORDER BY abs(r) DESC, pair LIMIT 10"
 )
 def strongest_ten_pairs(spark, sf_dir):
-    return rounded(C.top_pairs(C.correlations(table(spark, sf_dir, "lineitem"))), "r")
+    return rounded(C.top_pairs(C.correlations(table(spark, sf_dir, "lineitem", spread=True))), "r")
 
 
 @query(
