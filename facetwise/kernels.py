@@ -232,7 +232,7 @@ NORMAL_975 = 1.959963984540054
 def arima_forecaster(n_keys: int, steps: int, min_points: int):
     """A grouped pandas function: one row per future step."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         columns = [f"k{i}" for i in range(n_keys)] + ["i", "value", "lower", "upper"]
         y = pdf.sort_values("ts")["value"].to_numpy(dtype=float)
         if len(y) < min_points:

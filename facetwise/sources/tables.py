@@ -87,11 +87,20 @@ def read_table(
 
 
 def check_landing(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files of a folder -> path, length, accepted, reason. Contents are read only of small CSV files."""
-    return judge_files(spark, spark.read.format("binaryFile").load(folder).select("path", "length"), folder, max_bytes)
+    """Files of a folder -> path, length, accepted, reason. Contents are read only of small CSV files.
+
+    A scan leaves empty files out, so names come from the listing the scan was planned with.
+    """
+    scan = spark.read.format("binaryFile").load(folder)
+    listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "listed string")
+    plain = F.regexp_replace(F.url_decode(F.replace("listed", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    sizes = scan.select("path", "length")
+    files = listed.select(plain.alias("path")).join(sizes, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return judge_files(spark, files, folder, max_bytes)
 
 
 def judge_files(spark: SparkSession, files: DataFrame, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Verdicts on (path, length) rows of a landing folder, as in ``check_landing``."""
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     small = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
     unreadable = small.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).where(~F.is_valid_utf8(F.col("content").cast("string")))

@@ -19,7 +19,7 @@ def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str,
     (``root/catalog``) each; the verdict on every file goes to ``root/landing``.
 
     A file's id comes from its path, and everything is written by id or batch, so a
-    replayed batch replaces what it wrote before.
+    replayed batch replaces what it wrote before. Empty files never reach a stream.
     """
     files = (
         spark.readStream.format("binaryFile")
