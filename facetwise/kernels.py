@@ -61,27 +61,48 @@ def similarity(queries: np.ndarray, query_groups, items: np.ndarray, item_groups
     return scores
 
 
+# Cells of one score matrix: 32 MB.
+SCORE_CELLS = 4_000_000
+
+
 def batch_matcher(query_ids, query_groups, queries, k: int, relation: str):
-    """A ``mapInArrow`` function: the ``k`` best items of each batch for each query.
+    """A ``mapInArrow`` function: the ``k`` best items of a task for each query.
 
-    Batches hold item_id, item_group and embedding.
+    Batches hold item_id, item_group and embedding. Only the running best are
+    kept, and a query is looked at again only when a batch beats its worst.
     """
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            items = list_matrix(batch.column("embedding"))
-            ids = np.asarray(batch.column("item_id").to_pylist(), dtype=object)
-            groups = batch.column("item_group").to_pylist()
-            scores = similarity(queries, query_groups, items, groups, relation)
-            rows, cols = best_rows(scores, np.array(ids, dtype=str), k)
+        size = len(query_ids)
+        kept_scores = [np.empty(0)] * size
+        kept_ids = [np.empty(0, dtype=str)] * size
+        kept_groups = [np.empty(0, dtype=object)] * size
+        worst = np.full(size, -np.inf)
+        step = max(1, SCORE_CELLS // max(size, 1))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                items = list_matrix(batch.column("embedding"))
+                ids = np.array(batch.column("item_id").to_pylist(), dtype=str)
+                groups = np.array(batch.column("item_group").to_pylist(), dtype=object)
+                scores = similarity(queries, query_groups, items, groups, relation)
+                for q in np.flatnonzero(((scores >= worst[:, None]) & (scores > -np.inf)).any(axis=1)):
+                    better = np.flatnonzero((scores[q] >= worst[q]) & (scores[q] > -np.inf))
+                    all_scores = np.concatenate([kept_scores[q], scores[q, better]])
+                    all_ids = np.concatenate([kept_ids[q], ids[better]])
+                    all_groups = np.concatenate([kept_groups[q], groups[better]])
+                    _, best = best_rows(all_scores[None, :], all_ids, k)
+                    kept_scores[q], kept_ids[q], kept_groups[q] = all_scores[best], all_ids[best], all_groups[best]
+                    if len(best) == k:
+                        worst[q] = kept_scores[q][-1]
+        counts = [len(s) for s in kept_scores]
+        if sum(counts):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([query_ids[i] for i in rows], pa.string()),
-                    pa.array([ids[j] for j in cols], pa.string()),
-                    pa.array([groups[j] for j in cols], pa.string()),
-                    pa.array(scores[rows, cols], pa.float64()),
+                    pa.array(np.repeat(np.array(query_ids, dtype=object), counts).tolist(), pa.string()),
+                    pa.array(np.concatenate(kept_ids).tolist(), pa.string()),
+                    pa.array(np.concatenate(kept_groups).tolist(), pa.string()),
+                    pa.array(np.concatenate(kept_scores), pa.float64()),
                 ],
                 names=["query_id", "item_id", "item_group", "score"],
             )

@@ -117,10 +117,10 @@ def by_period(df: DataFrame, ts: str, period: str, measures: Mapping[str, Column
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """-> keys, total, share. The grand total is a scalar, so no window over all groups."""
+    """-> keys, total, share. The grand total is a scalar over the group totals, so there is no
+    window over all groups and no second scan."""
     totals = df.groupBy(*[col(k) for k in keys]).agg(F.sum(number(df, value)).alias("total"))
-    grand = df.agg(F.sum(number(df, value))).scalar()
-    return totals.withColumn("share", F.try_divide(F.col("total"), grand))
+    return totals.withColumn("share", F.try_divide(F.col("total"), totals.agg(F.sum("total")).scalar()))
 
 
 def change_by_period(periods: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -140,10 +140,11 @@ def change_by_period(periods: DataFrame, value: str, keys: Sequence[str] = ()) -
 def compare_groups(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Mean per group next to the overall mean -> keys, n, mean, overall, gap."""
     groups = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(number(df, value)).alias("n"), F.avg(number(df, value)).alias("mean")
+        F.count(number(df, value)).alias("n"), F.sum(number(df, value)).alias("_sum")
     )
-    overall = df.agg(F.avg(number(df, value))).scalar()
-    return groups.withColumn("overall", overall).withColumn("gap", F.col("mean") - F.col("overall"))
+    overall = groups.agg(F.try_divide(F.sum("_sum"), F.sum("n"))).scalar()
+    means = groups.withColumn("mean", F.try_divide(F.col("_sum"), F.col("n"))).withColumn("overall", overall)
+    return means.withColumn("gap", F.col("mean") - F.col("overall")).drop("_sum")
 
 
 def derived_sums(df: DataFrame, keys: Sequence[str], derived: Column) -> DataFrame:

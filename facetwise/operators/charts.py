@@ -47,10 +47,6 @@ def _range_row(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.struct(lo.alias("lo"), hi.alias("hi"), first.alias("first")).alias("range"))
 
 
-def _range(df: DataFrame, name: str) -> Column:
-    return _range_row(df, name).scalar()
-
-
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Bin 1..bins with edges (left, right]: a guess by division, then put right by the edges."""
     step = (hi - lo) / bins
@@ -68,20 +64,28 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     )
 
 
+def _binned(df: DataFrame, name: str, bins: int, alias: str) -> DataFrame:
+    ranged = df.withColumn("_range", _range_row(df, name).scalar())
+    return ranged.withColumn(alias, _bin(number(df, name), F.col("_range.lo"), F.col("_range.hi"), bins))
+
+
 def with_bin(df: DataFrame, name: str, bins: int, alias: str = "bin") -> DataFrame:
     """Adds the equal-width bin of a column; missing values get none."""
-    ranged = df.withColumn("_range", _range(df, name))
-    bin_of = _bin(number(df, name), F.col("_range.lo"), F.col("_range.hi"), bins)
-    return ranged.withColumn(alias, bin_of).drop("_range")
+    return _binned(df, name, bins, alias).drop("_range")
 
 
 def histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
-    """Equal-width bins, empty ones included -> bin, lo, hi, n."""
-    counts = with_bin(df, name, bins, "_bin").where("_bin is not null").groupBy("_bin").agg(F.count(F.lit(1)).alias("n"))
+    """Equal-width bins, empty ones included -> bin, lo, hi, n. Two scans of one column."""
+    counts = (
+        _binned(df.select(col(name)), name, bins, "_bin")
+        .groupBy("_bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("_range").alias("range"))
+    )
+    # At most bins + 1 rows from here on.
     low, high, i = F.col("range.lo"), F.col("range.hi"), F.col("bin")
     step = (high - low) / bins
     frame = (
-        _range_row(df, name)
+        counts.agg(F.first("range").alias("range"))
         .select("range", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
         .select(
             "bin",
@@ -90,7 +94,7 @@ def histogram(df: DataFrame, name: str, bins: int = 20) -> DataFrame:
         )
         .where("lo is not null")
     )
-    return frame.join(F.broadcast(counts), F.col("bin") == F.col("_bin"), "left").select(
+    return frame.join(F.broadcast(counts.select("_bin", "n")), F.col("bin") == F.col("_bin"), "left").select(
         "bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n")
     )
 

@@ -57,44 +57,44 @@ def choose_k(costs: DataFrame, k: int = DEFAULT_K, drop: float = SMALL_DROP) ->
     return with_drop.withColumn("chosen", F.col("k") == F.coalesce(first_small, asked, largest))
 
 
+def _models(vectors: DataFrame, ks: Sequence[int] | None, k_max: int, seed: int, fit_rows: int | None, key: Sequence[str]) -> dict:
+    """Fitted models per k (2..k_max when not given), all on the same cached points."""
+    sample = sample_rows(vectors, key, fit_rows, seed) if fit_rows else vectors
+    points = sample.select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if ks is None:
+            ks = range(2, min(k_max, points.count() - 1) + 1)
+        fit = inheritable_thread_target(points.sparkSession)(lambda k: _fit(points, k, seed))
+        # Run side by side, the many small jobs of the fits keep the cluster busy.
+        with ThreadPool(max(1, len(ks))) as pool:
+            return dict(zip(ks, pool.map(fit, ks)))
+    finally:
+        points.unpersist()
+
+
+def _costs(spark, models: dict) -> DataFrame:
+    return spark.createDataFrame([(k, float(m.summary.trainingCost)) for k, m in models.items()], "k int, inertia double")
+
+
 def elbow(df: DataFrame, k_max: int = 6, drop: float = SMALL_DROP, seed: int = 42, columns: Sequence[str] | None = None, fit_rows: int | None = None, key: Sequence[str] = (), k: int = DEFAULT_K) -> DataFrame:
     """Cost of k = 2..k_max and the choice -> k, inertia, drop_share, chosen.
 
     Fits on all rows; ``fit_rows`` (with a ``key``) fits on a seeded sample of that size instead.
     """
     names = list(columns) if columns is not None else number_columns(df)
-    vectors = _vectors(impute_median(df, names), names)
-    sample = sample_rows(vectors, key, fit_rows, seed) if fit_rows else vectors
-    points = sample.select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        most = min(k_max, points.count() - 1)
-        tried = range(2, most + 1)
-
-        def cost(i):
-            return i, float(_fit(points, i, seed).summary.trainingCost)
-
-        # The fits read the same cached points; run side by side they keep the cluster busy.
-        with ThreadPool(max(1, len(tried))) as pool:
-            costs = pool.map(inheritable_thread_target(points.sparkSession)(cost), tried)
-    finally:
-        points.unpersist()
-    return choose_k(df.sparkSession.createDataFrame(costs, "k int, inertia double"), k, drop)
+    models = _models(_vectors(impute_median(df, names), names), None, k_max, seed, fit_rows, key)
+    return choose_k(_costs(df.sparkSession, models), k, drop)
 
 
-def cluster(df: DataFrame, k: int | None = None, seed: int = 42, columns: Sequence[str] | None = None, fit_rows: int | None = None, key: Sequence[str] = ()) -> DataFrame:
-    """The imputed table with a ``cluster`` for every row. ``k`` is found by ``elbow`` when not given."""
+def cluster(df: DataFrame, k: int | None = None, seed: int = 42, columns: Sequence[str] | None = None, fit_rows: int | None = None, key: Sequence[str] = (), k_max: int = 6) -> DataFrame:
+    """The imputed table with a ``cluster`` for every row. ``k`` is found as by ``elbow`` when not
+    given, and the model already fitted for it is used."""
     names = list(columns) if columns is not None else number_columns(df)
-    if k is None:
-        chosen = elbow(df, seed=seed, columns=names, fit_rows=fit_rows, key=key).where("chosen").head()
-        k = chosen["k"]
     vectors = _vectors(impute_median(df, names), names)
-    sample = sample_rows(vectors, key, fit_rows, seed) if fit_rows else vectors
-    points = sample.select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _fit(points, k, seed)
-    finally:
-        points.unpersist()
-    return model.transform(vectors).drop("_scaled")
+    models = _models(vectors, None if k is None else [k], k_max, seed, fit_rows, key)
+    if k is None:
+        k = choose_k(_costs(df.sparkSession, models)).where("chosen").head()["k"]
+    return models[k].transform(vectors).drop("_scaled")
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:

@@ -314,8 +314,8 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
-def skews(df: DataFrame) -> DataFrame:
-    """Adjusted sample skewness -> column_name, rows, skew. One pass."""
+def skew_measures(df: DataFrame):
+    """Aggregates of the adjusted sample skewness, for ``per_column``."""
 
     def measures(name):
         x = number(df, name)
@@ -324,7 +324,12 @@ def skews(df: DataFrame) -> DataFrame:
         # Three values are the least the adjusted form is defined for.
         return {"rows": F.count(F.lit(1)), "skew": F.when(n >= 3, F.skewness(x) * factor)}
 
-    return per_column(df, number_columns(df), measures)
+    return measures
+
+
+def skews(df: DataFrame) -> DataFrame:
+    """Adjusted sample skewness -> column_name, rows, skew. One pass."""
+    return per_column(df, number_columns(df), skew_measures(df))
 
 
 def _flag_rows(frame: DataFrame, flag: str, detail: str) -> DataFrame:

@@ -98,16 +98,31 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, relation: str = "
 
 
 def _blocked(queries: DataFrame, items: DataFrame, k: int, relation: str) -> DataFrame:
-    """Block against block: memory per task is bounded by the block sizes."""
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    item_blocks = max(1, -(-items.count() // ITEM_BLOCK))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))
-    )
-    right = items.withColumn("_i", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)).cast("int")).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint")))
-    )
-    pairs = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i"))
+    """Block against block: memory per task is bounded by the block sizes, however large a group
+    is. With relation "same" only blocks of one group meet."""
+    part = (lambda group: F.coalesce(F.col(group), F.lit(""))) if relation == "same" else (lambda group: F.lit(""))
+    queries, items = queries.withColumn("_g", part("query_group")), items.withColumn("_g", part("item_group"))
+
+    def blocks(frame, size, alias):
+        return frame.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias(alias))
+
+    sizes = blocks(queries, QUERY_BLOCK, "_nq").join(blocks(items, ITEM_BLOCK, "_ni"), "_g")
+    zero = F.lit(0).cast("bigint")
+
+    def dealt(frame, ident, own, count, other, others):
+        """Every row goes to one block of its own side and meets all blocks of the other."""
+        # Both sides may come from one table: fresh column identities keep them apart.
+        fresh = frame.select(*[F.col(c).alias(c) for c in frame.columns])
+        return (
+            fresh.join(sizes, "_g")
+            .withColumn(own, F.pmod(F.xxhash64(ident), F.col(count)))
+            .withColumn(other, F.explode(F.sequence(zero, F.col(others) - 1)))
+            .drop("_nq", "_ni")
+        )
+
+    left = dealt(queries, "query_id", "_q", "_nq", "_i", "_ni")
+    right = dealt(items, "item_id", "_i", "_ni", "_q", "_nq")
+    pairs = left.groupBy("_g", "_q", "_i").cogroup(right.groupBy("_g", "_q", "_i"))
     return pairs.applyInPandas(kernels.block_matcher(k, relation), MATCH_SCHEMA)
 
 

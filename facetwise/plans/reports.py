@@ -11,10 +11,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from facetwise.functions.values import number_columns, union_all
+from facetwise.functions.values import finite, missing, number, number_columns, per_column, text_columns, union_all
 from facetwise.operators import anomaly, cluster, timeseries
 from facetwise.operators.correlation import correlations, strong_pairs
-from facetwise.operators.profile import HIGH_MISSING_PCT, distinct_counts, duplicates, flags, missing_all, numeric_summary, shape
+from facetwise.operators.profile import (
+    HIGH_MISSING_PCT,
+    HIGH_SKEW,
+    LOW_CARDINALITY,
+    distinct_counts,
+    duplicates,
+    skew_measures,
+)
+from facetwise.operators.quantiles import medians
 
 FACT_COLUMNS = ("dataset", "section", "column_name", "metric", "value_double", "value_string")
 # Sections that are lists of findings, and the metric that stands for one entry.
@@ -38,39 +46,73 @@ def _facts(frame: DataFrame, dataset: str, section: str, column: Column, metrics
     ).select(*FACT_COLUMNS)
 
 
+def _fact(keep: Column, section: str, metric: str, value: Column, whole_table: bool = False) -> Column:
+    fact = F.struct(
+        F.lit(section).alias("section"),
+        (F.lit("") if whole_table else F.col("column_name")).alias("column_name"),
+        F.lit(metric).alias("metric"),
+        value.cast("double").alias("value_double"),
+    )
+    return F.when(keep, fact)
+
+
+def _column_rows(df: DataFrame) -> DataFrame:
+    """One row per column with everything the profile tells about it."""
+    numbers = number_columns(df)
+    skew_of = skew_measures(df)
+
+    def measures(name):
+        x = number(df, name) if name in numbers else F.lit(None).cast("double")
+        return {
+            "rows": F.count(F.lit(1)),
+            "missing": F.count_if(missing(df, name)),
+            "mean": F.avg(x),
+            "std": F.stddev_samp(x),
+            "min": F.min(x),
+            "max": F.max(x),
+            "skew": skew_of(name)["skew"] if name in numbers else F.avg(x),
+        }
+
+    rows = per_column(df, df.columns, measures).join(F.broadcast(distinct_counts(df)), "column_name")
+    if not numbers:
+        return rows.withColumn("median", F.lit(None).cast("double"))
+    middle = medians(df, numbers).select("column_name", "median")
+    return rows.join(F.broadcast(middle), "column_name", "left")
+
+
 def profile(df: DataFrame, dataset: str) -> DataFrame:
     """Shape, missing, duplicates, strong correlations, flags and numeric summary of a table.
 
-    Scans: counts and moments, (column, value) pairs for distinct counts, row
-    hashes for duplicates, and two passes for exact medians.
+    Scans: one for counts and moments of all columns, one for (column, value)
+    pairs, two for exact medians, two for correlations, two for duplicates.
     """
-    whole = F.lit("")
-    name = F.col("column_name")
-    high = F.when(F.col("pct") > HIGH_MISSING_PCT, 1.0).otherwise(0.0)
-    holes = missing_all(df).where("missing > 0")
-    frames = [
-        _facts(shape(df), dataset, "shape", whole, {"rows": F.col("rows"), "cols": F.col("cols")}),
-        _facts(holes, dataset, "missing", name, {"count": F.col("missing"), "pct": F.col("pct"), "high": high}),
-        _facts(duplicates(df), dataset, "duplicates", whole, {"count": F.col("duplicate_rows"), "pct": F.col("pct")}),
+    numbers, texts = number_columns(df), text_columns(df)
+    rows, gone, distinct = F.col("rows"), F.col("missing"), F.col("distinct")
+    pct = gone * 100.0 / rows
+    first = F.col("position") == 0
+    some, holes = rows > 0, gone > 0
+    is_number, is_text = F.col("column_name").isin(numbers), F.col("column_name").isin(texts)
+    skewed = is_number & (rows >= 3) & (F.abs(finite(F.col("skew"))) > HIGH_SKEW)
+    facts = [
+        _fact(first, "shape", "rows", rows, True),
+        _fact(first, "shape", "cols", F.lit(len(df.columns)), True),
+        _fact(holes, "missing", "count", gone),
+        _fact(holes, "missing", "pct", pct),
+        _fact(holes, "missing", "high", (pct > HIGH_MISSING_PCT).cast("int")),
+        _fact(some & (distinct == 1), "flag", "constant", distinct),
+        _fact(some & (distinct == rows), "flag", "possible_id", rows),
+        _fact(some & is_text & (distinct < LOW_CARDINALITY), "flag", "low_cardinality", distinct),
+        _fact(skewed, "flag", "high_skew", F.col("skew")),
+        *[_fact(is_number, "numeric", m, finite(F.col(m))) for m in ("mean", "std", "min", "max", "median")],
     ]
-    found = flags(df, distinct_counts(df))
-    frames.append(
-        found.select(
-            F.lit(dataset).alias("dataset"),
-            F.lit("flag").alias("section"),
-            "column_name",
-            F.col("flag").alias("metric"),
-            F.col("detail").alias("value_double"),
-            F.lit(None).cast("string").alias("value_string"),
-        )
+    listed = _column_rows(df).select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select(
+        F.lit(dataset).alias("dataset"), "f.*", F.lit(None).cast("string").alias("value_string")
     )
-    numbers = number_columns(df)
+    repeated = {"count": F.col("duplicate_rows"), "pct": F.col("pct")}
+    frames = [listed, _facts(duplicates(df), dataset, "duplicates", F.lit(""), repeated)]
     if len(numbers) >= 2:
         strong = strong_pairs(correlations(df))
         frames.append(_facts(strong, dataset, "correlation", F.col("col_a"), {"r": F.col("r")}, F.col("col_b")))
-    if numbers:
-        measures = ("mean", "std", "min", "max", "median")
-        frames.append(_facts(numeric_summary(df), dataset, "numeric", name, {m: F.col(m) for m in measures}))
     return union_all(frames)
 
 

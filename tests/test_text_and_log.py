@@ -122,3 +122,34 @@ def test_embeddings_are_unit_length_and_rank_alike_texts_first(spark):
     rows = {r["id"]: np.array(r["embedding"]) for r in vectors.embed(frame, "t").collect()}
     assert all(len(v) == vectors.DIMENSIONS and np.linalg.norm(v) == pytest.approx(1.0, abs=1e-5) for v in rows.values())
     assert rows["a"] @ rows["b"] > rows["a"] @ rows["c"]
+
+
+@pytest.mark.parametrize("relation", ["any", "same", "other"])
+def test_blocks_give_the_same_matches(spark, sf_dir, relation, monkeypatch):
+    from facetwise.plans.search_queries import registry
+
+    frame = registry(spark, sf_dir)
+    queries = frame.where("column_name < 'v000040'")
+    queries = queries.select(F.col("column_name").alias("query_id"), F.col("dataset_id").alias("query_group"), "embedding")
+    items = vectors._items(frame, "column_name", "dataset_id")
+
+    def rows(**kwargs):
+        found = vectors.best_matches(queries, items, 4, relation, **kwargs)
+        return sorted((r["query_id"], r["rank"], r["item_id"], round(r["score"], 6)) for r in found.collect())
+
+    sent = rows()
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "ITEM_BLOCK", 50)
+    assert rows(limit=3) == sent and len(sent) >= 150
+
+
+def test_running_best_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        rows = [(f"c{i:03d}", "d", [1.0, float((i * 37) % 200)]) for i in range(200)]
+        registry = spark.createDataFrame(rows, "column_name string, dataset_id string, embedding array<double>").coalesce(1)
+        found = vectors.nearest(registry, [1.0, 0.0], 5).orderBy("rank").collect()
+        by_second = sorted(rows, key=lambda r: r[2][1])
+        assert [r["item_id"] for r in found] == [r[0] for r in by_second[:5]]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
