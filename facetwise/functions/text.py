@@ -113,12 +113,19 @@ ACCEPTED_OVERLAP = 0.78
 CONTAINED_SCORE = 0.92
 
 
+def words_of(plain_text: Column) -> Column:
+    return F.filter(F.split(plain_text, " "), lambda w: w != "")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """1 for equal texts, 0.92 when one contains the other, else the share of words in
     common (repeats in ``b`` count) of the longer text."""
     x, y = plain(a), plain(b)
-    xs = F.filter(F.split(x, " "), lambda w: w != "")
-    ys = F.filter(F.split(y, " "), lambda w: w != "")
+    return overlap_score(x, words_of(x), y, words_of(y))
+
+
+def overlap_score(x: Column, xs: Column, y: Column, ys: Column) -> Column:
+    """``token_overlap`` of texts already made ``plain``, with their words."""
     common = F.size(F.filter(ys, lambda w: F.array_contains(xs, w)))
     longer = F.greatest(F.size(xs), F.size(ys))
     return (

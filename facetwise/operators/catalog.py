@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from facetwise import kernels
-from facetwise.functions.text import ACCEPTED_OVERLAP, token_overlap
+from facetwise.functions.text import ACCEPTED_OVERLAP, overlap_score, plain, words_of
 from facetwise.operators.vectors import best_matches, embed, hashed_ngrams
 
 SUMMARY_CHARS = 200
@@ -112,6 +112,19 @@ def search_log(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HI
     )
 
 
+def _with_known(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Questions joined to the few known entries of their dataset.
+
+    A dataset may hold a large share of all questions: they are dealt out over
+    salts, and the known entries repeated on each.
+    """
+    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.lit(SALTS)))
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    repeated = known.withColumn("_salt", F.explode(salts))
+    return salted.repartition(partitions, "dataset_id", "_salt").join(repeated, ["dataset_id", "_salt"]).drop("_salt")
+
+
 def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HISTORY_SCORE) -> DataFrame:
     """Earlier questions of the same dataset, by text: the newest min(200, 25 k) entries with
     question and summary are compared -> question_id, id, dataset_id, score, rank."""
@@ -121,20 +134,13 @@ def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float =
     def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
         return kernels.text_ratio(new, old, cut)
 
-    # A dataset may hold a large share of all questions: deal its questions out over salts and
-    # repeat its few known entries on each.
-    salt = F.pmod(F.xxhash64("question_id"), F.lit(SALTS))
-    asked = questions.where(F.trim("question") != "").select(
-        "question_id", "dataset_id", F.trim("question").alias("_new"), salt.alias("_salt")
-    )
+    asked = questions.where(F.trim("question") != "").select("question_id", "dataset_id", F.trim("question").alias("_new"))
     known = (
         _newest(log, window)
         .where((F.trim("question") != "") & (F.trim("answer_summary") != ""))
         .select("dataset_id", "id", F.trim("question").alias("_old"), F.col("rank").alias("_age"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     )
-    partitions = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = asked.repartition(partitions, "dataset_id", "_salt").join(known, ["dataset_id", "_salt"])
+    pairs = _with_known(asked, known)
     scored = pairs.withColumn("score", ratio("_new", "_old")).where(F.col("score") > cut)
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "_age")
     return (
@@ -147,9 +153,12 @@ def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float =
 def overlapping(log: DataFrame, questions: DataFrame, n: int = 20, accept: float = ACCEPTED_OVERLAP) -> DataFrame:
     """The recent question of the same dataset sharing most words with a new one
     -> question_id, id, score."""
-    known = recent(log, n).select("dataset_id", "id", F.col("question").alias("_old"), F.col("rank").alias("_age"))
-    pairs = known.join(questions.select("question_id", "dataset_id", F.col("question").alias("_new")), "dataset_id")
-    scored = pairs.withColumn("score", token_overlap(F.col("_old"), F.col("_new"))).where(F.col("score") >= accept)
+    # Texts are cleaned and split once, before they meet.
+    asked = questions.select("question_id", "dataset_id", plain(F.col("question")).alias("_y"))
+    known = recent(log, n).select("dataset_id", "id", plain(F.col("question")).alias("_x"), F.col("rank").alias("_age"))
+    pairs = _with_known(asked.withColumn("_ys", words_of(F.col("_y"))), known.withColumn("_xs", words_of(F.col("_x"))))
+    score = overlap_score(F.col("_x"), F.col("_xs"), F.col("_y"), F.col("_ys"))
+    scored = pairs.withColumn("score", score).where(F.col("score") >= accept)
     best = W.partitionBy("question_id").orderBy(F.desc("score"), "_age")
     return scored.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("question_id", "id", "score")
 

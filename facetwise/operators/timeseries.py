@@ -8,6 +8,7 @@ daylight saving out of gaps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -35,14 +36,36 @@ DAY = 24 * HOUR
 GRID_CHUNK = 10_000
 
 
+def _shape(date_format: str) -> str:
+    """A pattern of the texts a date format can read. A failed parse costs far more than a look."""
+    spans = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", date_format)]
+
+    def pattern(span: str) -> str:
+        if span.startswith("'"):
+            return span.strip("'")
+        if span == "MMM":
+            return "[A-Za-z]{3}"
+        if span == "X":
+            return "(Z|[+-][0-9]{2}([0-9]{2})?)"
+        if span.isalpha():
+            return "[0-9]{1,2}" if len(span) == 1 else f"[0-9]{{{len(span)}}}"
+        return re.escape(span)
+
+    return "^" + "".join(pattern(s) for s in spans) + "$"
+
+
 def parsed(df: DataFrame, name: str) -> Column:
     """The column as a timestamp without zone; unreadable texts are null."""
     data_type = dtype(df, name)
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return col(name).cast("timestamp_ntz")
     if isinstance(data_type, T.StringType):
-        tries = [F.try_to_timestamp(F.trim(col(name)), F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-        return F.coalesce(*tries)
+        text = F.trim(col(name))
+        result = F.lit(None).cast("timestamp_ntz")
+        # Shapes exclude each other, so the first that fits decides.
+        for f in reversed(DATE_FORMATS):
+            result = F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")).otherwise(result)
+        return result
     return F.lit(None).cast("timestamp_ntz")
 
 

@@ -184,16 +184,21 @@ def streamed_ingest(spark, sf_dir):
 
 @query(
     """
-    SELECT o_custkey, count(*) AS n, round(max(o_totalprice) - min(o_totalprice), 4) AS spread FROM orders GROUP BY o_custkey
+    SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(max(o_totalprice) - min(o_totalprice), 4) AS spread
+    FROM orders GROUP BY o_orderpriority, o_orderstatus
     """
 )
 def user_code_per_group(spark, sf_dir):
+    keys = ["o_orderpriority", "o_orderstatus"]
+
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
         price = pdf["o_totalprice"]
-        return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "n": [len(pdf)], "spread": [price.max() - price.min()]})
+        first = pdf[keys].head(1).reset_index(drop=True)
+        return first.assign(n=len(pdf), spread=price.max() - price.min())
 
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    return rounded(apply_table(orders, spread, "o_custkey bigint, n bigint, spread double", ["o_custkey"]), "spread", digits=4)
+    orders = table(spark, sf_dir, "orders").select(*keys, "o_totalprice")
+    schema = "o_orderpriority string, o_orderstatus string, n bigint, spread double"
+    return rounded(apply_table(orders, spread, schema, keys), "spread", digits=4)
 
 
 @query("SELECT p_partkey, upper(p_name) AS p_name FROM part WHERE p_size > 25")
