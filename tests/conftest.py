@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", shuffle_partitions=4, memory="4g")
+    session = local_session("4", shuffle_partitions=4, memory="8g")
     yield session
     session.stop()
 
