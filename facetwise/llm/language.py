@@ -18,8 +18,11 @@ SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 2_000
 #: Above this many languages the job stops rather than let dictionaries outgrow a task.
 MAX_LANGUAGES = 500
-#: Rejected: the second-best code is longer by less than this part.
-MARGIN = 0.01
+#: Rejected: the best code is shorter than the second-best by less than this part.
+MARGIN = 0.005
+#: Effort of the codes; where the first leaves less than NARROW between the best two, the second is added.
+LEVELS = (9, 12)
+NARROW = 0.03
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -52,31 +55,40 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in found.distinct().collect():
         by_lang.setdefault(r["lang"], []).append((r["mark"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)).encode() for k, v in sorted(by_lang.items())}
+    return {k: "\n".join(t for _, t in sorted(v)).lower().encode() for k, v in sorted(by_lang.items())}
 
 
-def code_lengths(text: bytes, coders: list[zstandard.ZstdCompressor]) -> list[int]:
-    return [len(c.compress(text)) for c in coders]
+def coders_of(dictionaries: list[bytes], level: int) -> list[zstandard.ZstdCompressor]:
+    out = []
+    for raw in dictionaries:
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    return out
+
+
+def code_lengths(text: bytes, coders: list[list[zstandard.ZstdCompressor]]) -> list[int]:
+    """Bytes of the text's code with each dictionary; with more effort too where two are nearly as short."""
+    sizes = [len(c.compress(text)) for c in coders[0]]
+    two = sorted(sizes)[:2]
+    if len(two) == 2 and two[1] - two[0] < NARROW * two[1]:
+        sizes = [s + len(c.compress(text)) for s, c in zip(sizes, coders[1])]
+    return sizes
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text",
              margin: float = MARGIN, whole_row: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row; with ``whole_row`` also row, a struct of its columns.
 
-    The whole text is compressed with each language's dictionary; the shortest code wins, ties go to the
-    first name. score is how much longer the second-best code is, as a part of what a text's code can
-    be longer by, from 0 to 1. Rejected: no language at all, or that part under ``margin``. Null or
+    The whole text, in lower case, is compressed with each language's dictionary; the shortest code wins,
+    ties go to the first name. score is the part by which it is shorter than the second-best, from 0 to 1. Rejected: no language at all, or that part under ``margin``. Null or
     letterless text, or an empty model: ``und``, score 0, rejected. Repeated rows and null ids come back
     as they are; other columns are ignored; no rows give no rows.
     """
     names = sorted(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = []
-        for name in names:
-            d = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        coders = [coders_of([model[n] for n in names], level) for level in LEVELS]
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("text"):
@@ -85,7 +97,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                sizes = code_lengths(text.encode(), coders)
+                sizes = code_lengths(text.lower().encode(), coders)
                 best = int(np.argmin(sizes))
                 rest = min(sizes[:best] + sizes[best + 1 :], default=2 * sizes[best])
                 langs.append(names[best])
