@@ -207,15 +207,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    n = buckets_of(spark, 2)
+    n = buckets_of(spark, 1)
     rows = plain(docs, id_col, text_col)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches):
             yield pa.RecordBatch.from_pylist(_runs(part, n), _schema(PLACES))
 
     def whole(table: pa.Table) -> Iterator[Docs]:
-        return slices(iter(table.select(["doc_id", "text"]).combine_chunks().to_batches()), 1 << 40)
+        return slices(iter(table.select(["doc_id", "text"]).combine_chunks().to_batches()))
 
     def windows(texts: pa.Table, marks: pa.Table) -> pa.Table:
         marked = _marked(marks)
