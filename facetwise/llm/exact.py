@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = hashed.alias("h").join(
         several.alias("g"), F.expr("h.hash = g.hash AND h.doc_id <=> g.keep_id"), "left_semi"
     )
-    first = first.groupBy("hash").agg(F.min("text").alias("stays")).repartition("stays")
+    first = first.groupBy("hash").agg(F.min("text").alias("stays")).repartition("hash", "stays")
     collided = members.join(first, "hash").where("text <> stays").select("hash")
     bad = {bytes(r[0]) for r in collided.limit(MAX_LISTED + 1).collect()}
 

@@ -31,10 +31,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("m")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a", "m")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
+        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition("a", "m")
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = least.select("a", F.col("m").alias("b")).union(small).distinct().checkpoint()
         now = _print(edges)

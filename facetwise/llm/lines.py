@@ -86,7 +86,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     origins = firsts.join(near, "at", "left").select("id1", "id2", F.least("at", "earliest").alias("origin"))
     return (
         lines.select("doc_id", "line_no", "id1", "id2")
-        .join(origins.repartition("origin"), ["id1", "id2"])
+        .join(origins.repartition("id1", "origin"), ["id1", "id2"])
         .where(F.col("origin") < F.struct("doc_id", "line_no"))
         .select("doc_id", "line_no", "origin")
     )
