@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetwise.llm.common import Docs, ids_array, plain, slices, split_words, word_hashes
+from facetwise.llm.common import LOWER, Docs, Words, ids_array, plain, slices, split_words, word_hashes
 
 CAPACITY = 2048
 END_ID = 1
@@ -26,9 +26,34 @@ GROUP_BITS = 32
 # ---------------------------------------------------------------- tokens
 
 
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+#: ASCII signs but the apostrophe, which may begin a token of letters.
+SIGNS = np.zeros(256, bool)
+SIGNS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+SIGNS[39] = False
+
+
+def split_tokens(part: Docs) -> Words:
+    """Words cut further between ASCII letters and signs, where no token crosses either."""
+    words, data = split_words(part), part.data
+    if not len(words.start):
+        return words
+    letter, sign = LETTERS[data], SIGNS[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    cut[part.offsets[part.offsets < len(data)]] = False  # the byte before is another document's
+    cut[words.start] = True
+    start = np.flatnonzero(cut)
+    end = (words.start + words.length)[np.searchsorted(words.start, start, "right") - 1]
+    end = np.minimum(end, np.append(start[1:], len(data)))
+    return Words(start, end - start, np.searchsorted(start, part.offsets, "left"))
+
+
 class Encoder:
-    """Token ids of many texts. The tokenizer drops white space and no token crosses it, so each
-    different word is encoded once and the ids are put together by word."""
+    """Token ids of many texts. The tokenizer drops white space and the case of letters, and no token
+    crosses a space or goes from ASCII letters to signs, so each different run is encoded once and the ids
+    are put together by run."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +75,8 @@ class Encoder:
 
     def encode(self, part: Docs) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some documents, and how many each document has."""
-        words = split_words(part)
+        part = part._replace(data=LOWER[part.data])
+        words = split_tokens(part)
         _, first, which = np.unique(word_hashes(part.data, words), return_index=True, return_inverse=True)
         raw = part.data.tobytes()
         spans = zip(words.start[first].tolist(), words.length[first].tolist())
@@ -71,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for part in slices(batches, 2 << 20):
+        for part in slices(batches, 6 << 20):
             flat, counts = encoder.encode(part)
             at, rows, cut = 0, [], []
             for d, n in enumerate(counts.tolist()):
