@@ -32,7 +32,7 @@ SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 LOWEST = -(1 << 22)
 #: Bits below the score that tell equal sums apart.
 TIE_BITS = 44
-MEMORY = 300_000
+MEMORY = 400_000
 Path = tuple[int, tuple[int, ...]]
 
 
@@ -49,13 +49,17 @@ class Lexicon:
             raise ValueError("the model has no byte fallback")
         self.of_byte = {i: b for b, i in self.byte.items()}
         special = {i for i in range(len(model)) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.weight: dict[str, tuple[int, int]] = {}
+        self.weight: dict[str, tuple[int, int] | None] = {}
         least = 0
         for i, p in enumerate(self.text):
             if i not in special:
                 score = max(LOWEST, round(model.get_score(i)))
                 least = min(least, score)
                 self.weight[p] = ((score << TIE_BITS) - zlib.crc32(b"%d" % i) % (1 << 20), i)
+        # Beginnings of pieces, so that a search ends where no piece goes on.
+        for p in list(self.weight):
+            for k in range(1, len(p)):
+                self.weight.setdefault(p[:k], None)
         self.unknown = (least - 10) << TIE_BITS
         self.longest = max(map(len, self.weight))
         self.known: dict[str, Path] = {}
@@ -76,8 +80,10 @@ class Lexicon:
                 continue
             single = False
             for j in range(i + 1, min(i + longest, n) + 1):
-                found = get(text[i:j])
-                if found is not None:
+                found = get(text[i:j], False)
+                if found is False:
+                    break
+                if found:
                     single |= j == i + 1
                     total = here + found[0]
                     if sums[j] is None or total > sums[j]:
@@ -233,6 +239,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     ids. Rows that repeat an id are told apart by a checksum of their text. Other columns are ignored; no
     rows give no rows.
     """
+    short, long = encode_parts(docs, model, id_col, text_col, chunk)
+    return short.union(long)
+
+
+def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``encode``: of texts of one chunk, and of longer ones."""
     KEYS = ["doc_id", "text_key", "chunk_no"]
     rows = plain(docs, id_col, text_col)
     short = F.length("text") < chunk
@@ -283,7 +295,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     found = parts.mapInArrow(matrices, f"{kinds}, matrix string").groupBy("doc_id", "text_key").applyInArrow(states, f"{kinds}, entry int, leave int")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEYS]
     joined = parts.alias("p").join(found.alias("s"), same[0] & same[1] & same[2]).select("p.*", "s.entry", "s.leave")
-    return rows.where(short).mapInArrow(whole, CODED).union(joined.mapInArrow(traced, CODED))
+    return rows.where(short).mapInArrow(whole, CODED), joined.mapInArrow(traced, CODED)
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -301,8 +313,9 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     return coded.select("doc_id", "chunk_no", "ids").mapInArrow(run, "doc_id long, chunk_no int, text string")
 
 
-def digests(coded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, text_sha256) per document, from the ids and from the text they decode to."""
+def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, text_sha256) per document, from the ids of ``encode_parts`` and from the
+    text they decode to."""
 
     def row(ids: bytes, text: str) -> tuple[int, int, str]:
         return len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.encode()).hexdigest()
@@ -325,6 +338,4 @@ def digests(coded: DataFrame, model: str) -> DataFrame:
 
     DIGEST = ["doc_id", "n_pieces", "ids_crc32", "text_sha256"]
     kinds = "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string"
-    return coded.where("text_key IS NULL").mapInArrow(single, kinds).union(
-        coded.where("text_key IS NOT NULL").groupBy("doc_id", "text_key").applyInArrow(joined, kinds)
-    )
+    return short.mapInArrow(single, kinds).union(long.groupBy("doc_id", "text_key").applyInArrow(joined, kinds))

@@ -71,7 +71,7 @@ def op2_sentencepiece(spark, sf_dir):
     """Per document: its pieces, a checksum of their ids, and of the text decoded from them."""
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
-    return pieces.digests(pieces.encode(docs, model), model)
+    return pieces.digests(*pieces.encode_parts(docs, model), model)
 
 
 VECTORS_SQL = """
