@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from facetwise.llm.common import (
-    Docs, blob, buckets_of, column_bytes, ids_array, mixed, plain, slices, split_words, window_hashes, word_hashes,
+    Docs, blob, buckets_of, column_bytes, ids_array, mixed, plain, plain_columns, slices, split_words, window_hashes, word_hashes,
 )
 
 WINDOW = 20
@@ -197,8 +198,9 @@ def _kept(part: Docs, marked: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text (the kept words joined by one space), n_words, n_removed.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
+    """One row per document: doc_id, text (the kept words joined by one space), n_words, n_removed; with
+    ``whole_row`` also row, a struct of all columns but the text, and texts that lose nothing as they are.
 
     Words stand between ASCII white space. A window is 20 consecutive words of one document; every word
     of a window whose words also start earlier (smaller doc_id, or the same document and further left)
@@ -224,15 +226,25 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def kept(texts: pa.Table, marks: pa.Table) -> pa.Table:
         marked, schema = _marked(marks), _schema("doc_id long, text string, n_words long, n_removed long")
-        return pa.Table.from_batches([_kept(part, marked) for part in whole(texts)], schema)
+        out = pa.Table.from_batches([_kept(part, marked) for part in whole(texts)], schema)
+        if whole_row:  # rows come in the order of the texts
+            same = pc.equal(out["n_removed"], 0)
+            out = out.set_column(1, "text", pc.if_else(same, texts["text"].cast(pa.string()), out["text"]))
+            out = out.append_column("row", texts["row"])
+        return out
 
     def part_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).fill_null(int(np.iinfo(np.int64).min)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, n)), b.column(0), b.column(1)], ["part", "doc_id", "text"])
-
-    texts = rows.mapInArrow(part_column, "part int, doc_id long, text string").groupBy("part")
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(ids, n)), *b.columns], ["part", *b.schema.names])
+
+    dealt, row_kind = rows, ""
+    if whole_row:
+        others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+        dealt = docs.select(*plain_columns(id_col, text_col), F.struct(*others).alias("row"))
+        row_kind = f", row {dealt.schema['row'].dataType.simpleString()}"
+    texts = dealt.mapInArrow(part_column, f"part int, doc_id long, text string{row_kind}").groupBy("part")
     met = rows.mapInArrow(runs, PLACES).groupBy("bucket").applyInArrow(_meet(False, n), MARKS)
     places = texts.cogroup(met.groupBy("part")).applyInArrow(windows, PLACES)
     late = places.groupBy("bucket").applyInArrow(_meet(True, n), MARKS)
-    return texts.cogroup(late.groupBy("part")).applyInArrow(kept, "doc_id long, text string, n_words long, n_removed long")
+    return texts.cogroup(late.groupBy("part")).applyInArrow(kept, f"doc_id long, text string, n_words long, n_removed long{row_kind}")
