@@ -35,12 +35,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of windows that start earlier go; every document stays."""
-    kept = substrings.without_repeats(docs).select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), "n_removed")
-    joined = docs.join(kept.dropDuplicates(["__id"]), docs["doc_id"].eqNullSafe(F.col("__id")), "left")
-    # Texts that lose nothing keep their white space.
-    text = F.when(F.col("n_removed") > 0, F.col("__text")).otherwise(F.col("text"))
-    return counted(joined.withColumn("text", text), docs)
+    """Words of windows that start earlier go; every document stays. A null text becomes empty."""
+    kept = substrings.without_repeats(docs, whole_row=True)
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return counted(kept.select(*columns), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
