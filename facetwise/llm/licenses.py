@@ -37,7 +37,7 @@ TEMPLATES = {
         "spdx license identifier bsd {clauses:1} clause",
         "licensed under [the] bsd [{clauses:2} clause] license",
     ],
-    "cc-by": ["licensed under [a] (cc|creative commons) (by|attribution) {version:1} {minor:1}"],
+    "cc-by": ["licensed under [a] (cc|creative commons) (by|attribution) (1|2|3|4) (0|5)"],
     "cc-by-nc": ["licensed under [a] (cc|creative commons) (by nc|attribution noncommercial) [{version:1} {minor:1}]"],
     "cc-by-sa": ["licensed under [a] (cc|creative commons) (by sa|attribution sharealike) [{version:1} {minor:1}]"],
     "gpl": [

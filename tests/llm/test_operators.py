@@ -433,7 +433,7 @@ def test_languages_held_out(spark, sf_dir):
 
 def test_languages_at_the_edges(spark):
     model = {"xx": b"alpha beta gamma " * 50, "yy": b"uno due tre quattro " * 50}
-    docs = [(1, None), (2, ""), (3, "123 !?"), (4, "ALPHA beta gamma alpha"), (5, "uno due tre " * 9000), (None, "due tre"), (6, "q"), (6, "q")]
+    docs = [(1, None), (2, ""), (3, "123 !?"), (4, "ALPHA beta gamma alpha"), (5, "uno due tre " * 9000), (None, "uno due tre quattro uno due tre"), (6, "q"), (6, "q")]
     got = sorted(((r.doc_id or 0, r.lang_pred, r.rejected) for r in language.identify(frame(spark, docs), model).collect()), key=str)
     assert got == sorted([(1, "und", True), (2, "und", True), (3, "und", True), (4, "xx", False), (5, "yy", False), (0, "yy", False), (6, "xx", True), (6, "xx", True)], key=str)
     assert {r.lang_pred for r in language.identify(frame(spark, docs), {}).collect()} == {"und"}
