@@ -23,34 +23,35 @@ from facetwise.llm.common import LOWER, SPACES, ids_array, plain, slices, split_
 THRESHOLD = 2
 SHINGLE = 3
 SEED = 42
+#: Shingles that a task holds the single bits of; their counts fit 16 bits.
+BLOCK = 1 << 14
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def _shingle_hashes(words: list[bytes], size: int, seed: int) -> list[int]:
-    if len(words) < size:
-        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else []
-    text, at, starts, ends = b" ".join(words), 0, [], []
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-        ends.append(at - 1)
-    digest = xxhash.xxh64_intdigest
-    return [digest(text[a:b], seed) for a, b in zip(starts, ends[size - 1 :])]
+def _shingle_hashes(raw: bytes, start: np.ndarray, length: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles of one document's words, ``BLOCK`` shingles at a time."""
+    digest, found = xxhash.xxh64_intdigest, [np.empty(0, np.uint64)]
+    for begin in range(0, max(len(start) - size + 1, min(len(start), 1)), BLOCK):
+        some = slice(begin, begin + BLOCK + size - 1)
+        words = [raw[a : a + n] for a, n in zip(start[some].tolist(), length[some].tolist())]
+        text, ends = b" ".join(words), np.cumsum(length[some] + 1)
+        spans = zip((ends - length[some] - 1).tolist(), (ends - 1)[min(size, len(words)) - 1 :].tolist())
+        found.append(np.array([digest(text[a:b], seed) for a, b in spans], np.uint64))
+    return np.concatenate(found)
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each run of ``counts`` hashes the number whose bits are set in over half of them."""
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = counts > 0
-    at = (np.cumsum(counts) - counts)[full]
-    out = np.zeros(len(counts), np.uint64)
-    if len(at):
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        packed = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little")
-        out[full] = np.ascontiguousarray(packed).view("<u8").ravel()
-    return out
+    ones, owner = np.zeros((len(counts), 64), np.int64), np.repeat(np.arange(len(counts)), counts)
+    for begin in range(0, len(hashes), BLOCK):
+        some, of = hashes[begin : begin + BLOCK], owner[begin : begin + BLOCK]
+        bits = np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at = np.flatnonzero(np.diff(of, prepend=-1))
+        ones[of[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.uint16)
+    packed = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -59,15 +60,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles of ``size`` words with repeats. Fewer words: the whole sequence. No word: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, 1 << 20):
             low = LOWER[part.data]
             words, raw = split_words(part._replace(data=low), SPACES), low.tobytes()
-            pieces = [raw[a : a + n] for a, n in zip(words.start.tolist(), words.length.tolist())]
-            first = words.first.tolist()
-            each = [_shingle_hashes(pieces[a:b], size, seed) for a, b in zip(first, first[1:])]
-            counts = np.array([len(x) for x in each])
-            flat = np.fromiter((h for x in each for h in x), np.uint64, int(counts.sum()))
-            marks = majority(flat, counts).view(np.int64)
+            spans = zip(words.first[:-1].tolist(), words.first[1:].tolist())
+            each = [_shingle_hashes(raw, words.start[a:b], words.length[a:b], size, seed) for a, b in spans]
+            marks = majority(np.concatenate(each), np.array([len(x) for x in each])).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids_array(part.ids), pa.array(marks)], ["doc_id", "fingerprint"])
 
     return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint long")
