@@ -49,17 +49,21 @@ class Lexicon:
             raise ValueError("the model has no byte fallback")
         self.of_byte = {i: b for b, i in self.byte.items()}
         special = {i for i in range(len(model)) if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.weight: dict[str, tuple[int, int] | None] = {}
+        self.weight: dict[str, tuple[int, int]] = {}
         least = 0
         for i, p in enumerate(self.text):
             if i not in special:
                 score = max(LOWEST, round(model.get_score(i)))
                 least = min(least, score)
                 self.weight[p] = ((score << TIE_BITS) - zlib.crc32(b"%d" % i) % (1 << 20), i)
-        # Beginnings of pieces, so that a search ends where no piece goes on.
-        for p in list(self.weight):
-            for k in range(1, len(p)):
-                self.weight.setdefault(p[:k], None)
+        # Pieces letter by letter, so that a search ends where no piece goes on: weight, id, what may follow.
+        self.root: dict[str, list] = {}
+        for p, (weight, i) in self.weight.items():
+            node = self.root
+            for letter in p:
+                here = node.setdefault(letter, [None, 0, {}])
+                node = here[2]
+            here[:2] = weight, i
         self.unknown = (least - 10) << TIE_BITS
         self.longest = max(map(len, self.weight))
         self.known: dict[str, Path] = {}
@@ -67,41 +71,48 @@ class Lexicon:
     # -- cutting
 
     def best(self, text: str, begin: int, stop: int) -> tuple[list, list]:
-        """From ``begin``: the best sums and the last pieces' beginnings at every place; pieces begin before
-        ``stop`` and may end after it."""
+        """From ``begin``: the best sums and the last pieces (-1: an unknown character) at every place; pieces
+        begin before ``stop`` and may end after it."""
         n = len(text)
+        letters = list(text)
         sums: list = [None] * (n + 1)
         back: list = [None] * (n + 1)
         sums[begin] = 0
-        get, longest = self.weight.get, self.longest
+        root, unknown = self.root, self.unknown
         for i in range(begin, min(stop, n)):
             here = sums[i]
             if here is None:
                 continue
-            single = False
-            for j in range(i + 1, min(i + longest, n) + 1):
-                found = get(text[i:j], False)
-                if found is False:
+            found = root.get(letters[i])
+            if found is None or found[0] is None:
+                before = sums[i + 1]
+                if before is None or here + unknown > before:
+                    sums[i + 1], back[i + 1] = here + unknown, -1
+            j = i
+            while found is not None:
+                j += 1
+                weight, piece, after = found
+                if weight is not None:
+                    total = here + weight
+                    before = sums[j]
+                    if before is None or total > before:
+                        sums[j], back[j] = total, piece
+                if j == n:
                     break
-                if found:
-                    single |= j == i + 1
-                    total = here + found[0]
-                    if sums[j] is None or total > sums[j]:
-                        sums[j], back[j] = total, i
-            if not single:
-                total = here + self.unknown
-                if sums[i + 1] is None or total > sums[i + 1]:
-                    sums[i + 1], back[i + 1] = total, i
+                found = after.get(letters[j])
         return sums, back
 
     def trace(self, text: str, back: list, begin: int, end: int) -> list[int]:
         ids: list[int] = []
+        pieces = self.text
         while end > begin:
-            start = back[end]
-            piece = text[start:end]
-            found = self.weight.get(piece)
-            ids += [found[1]] if found else [self.byte[b] for b in reversed(piece.encode())]
-            end = start
+            piece = back[end]
+            if piece >= 0:
+                ids.append(piece)
+                end -= len(pieces[piece])
+            else:
+                ids += [self.byte[b] for b in reversed(text[end - 1].encode())]
+                end -= 1
         return ids[::-1]
 
     def segment(self, text: str) -> Path:
