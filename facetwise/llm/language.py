@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from facetwise.llm.common import plain, plain_columns
 
@@ -23,6 +23,8 @@ MARGIN = 0.005
 #: Effort of the codes; where the first leaves less than NARROW between the best two, the second is added.
 LEVELS = (9, 12)
 NARROW = 0.03
+#: Rows that a task gives back at a time.
+ROWS = 500
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -89,10 +91,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [coders_of([model[n] for n in names], level) for level in LEVELS]
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             langs, scores = [], []
-            for text in batch.column("text"):
-                text = text.as_py()
+            for text in batch.column("text") if "text" in batch.schema.names else batch.column("row").field(text_col):
+                text = text.as_py() or ""
                 if not names or not LETTER.search(text):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -109,7 +111,9 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
     rows = plain(docs, id_col, text_col)
     names_kept, kinds = ["doc_id"], "doc_id long, "
     if whole_row:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *plain_columns(id_col, text_col))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        in_row = docs.schema[text_col].dataType == T.StringType()  # then the text need not come twice
+        rows = docs.select(row, *plain_columns(id_col, text_col)[: 1 if in_row else 2])
         names_kept, kinds = ["row", "doc_id"], f"row {rows.schema['row'].dataType.simpleString()}, doc_id long, "
     return rows.mapInArrow(run, kinds + "lang_pred string, score double").withColumn(
         "rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("score") < margin)
