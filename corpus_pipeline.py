@@ -30,8 +30,10 @@ def without_near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with linked fingerprints the one with the smallest id stays."""
     groups = stored(simhash.near_groups(docs), "near-groups")
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = groups.groupBy("doc_id").agg(F.bool_or(F.expr("doc_id <=> component_id")).alias("stays")).where("NOT stays")
+    # As a table its size is known when the join is planned, so texts are not shuffled for a few ids.
+    gone = stored(gone.select("doc_id"), "near-copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
