@@ -50,7 +50,7 @@ def fit_forest(table: DataFrame, names: Sequence[str], key: Sequence[str], trees
     """Isolation trees as a node table. Trees are grown in parallel, each on 256 rows drawn from
     a seeded pool of bounded size."""
     size = max(TREE_ROWS, min(trees * TREE_ROWS, POOL_CELLS // max(1, len(names))))
-    pool = sample_rows(table, key, size, seed, rows).select(*[col(n).cast("double") for n in names]).toPandas()
+    pool = sample_rows(table, key, size, seed).select(*[col(n).cast("double") for n in names]).toPandas()
     grow = kernels.tree_grower(pool.to_numpy(dtype=np.float64), TREE_ROWS, seed)
     spark = table.sparkSession
     spread = min(trees, spark.sparkContext.defaultParallelism)

@@ -8,10 +8,11 @@ query_type, created_at).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from facetwise import kernels
 from facetwise.functions.text import ACCEPTED_OVERLAP, overlap_score, plain, words_of
@@ -19,7 +20,10 @@ from facetwise.operators.vectors import best_matches, embed, hashed_ngrams
 
 SUMMARY_CHARS = 200
 HISTORY_SCORE = 0.75
-SALTS = 16
+# Rows of one side that meet in one task, however large a dataset is.
+BLOCK_ROWS = 4096
+PROFILE_SECTIONS = ("shape", "missing", "duplicates", "correlation", "flag", "numeric")
+COVERED = "covered"
 
 
 def register(df: DataFrame, dataset_id: str, name: str, path: str, created_at: Column | None = None) -> DataFrame:
@@ -52,8 +56,16 @@ def remove(frame: DataFrame, gone: DataFrame, key: str = "dataset_id") -> DataFr
     return frame.join(ids, F.col(key) == F.col("_gone"), "left_anti")
 
 
-def put_facts(facts: DataFrame, root: str) -> None:
-    """Store profile facts; the sections at hand replace their earlier version, others stay."""
+def put_facts(facts: DataFrame, root: str, whole: Sequence[str] = ()) -> None:
+    """Store profile facts; the sections at hand replace their earlier version, others stay.
+
+    ``whole``: datasets whose full profile this is. All their profile sections are replaced, also those
+    without any fact now: a marker row stands for each, which ``stored_facts`` leaves out.
+    """
+    if whole:
+        markers = [(d, s, "", COVERED) for d in whole for s in PROFILE_SECTIONS]
+        frame = facts.sparkSession.createDataFrame(markers, "dataset string, section string, column_name string, metric string")
+        facts = facts.unionByName(frame, allowMissingColumns=True)
     (
         facts.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -62,6 +74,11 @@ def put_facts(facts: DataFrame, root: str) -> None:
     )
 
 
+def stored_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The facts that ``put_facts`` has stored."""
+    return spark.read.parquet(root).where(F.col("metric") != COVERED)
+
+
 def status(catalog: DataFrame, facts: DataFrame) -> DataFrame:
     """Profile state per dataset: processing (no facts yet), error, or ready."""
     seen = facts.groupBy(F.col("dataset").alias("dataset_id")).agg(
@@ -83,8 +100,9 @@ def append(rows: DataFrame, root: str) -> None:
 
 
 def recent(log: DataFrame, n: int = 20) -> DataFrame:
-    """The newest ``n`` entries of every dataset (1 to 100), newest first -> ..., rank."""
-    n = min(max(int(n), 1), 100)
+    """The newest ``n`` entries of every dataset, newest first -> ..., rank."""
+    if n < 1:
+        raise ValueError("at least one entry")
     return _newest(log, n)
 
 
@@ -112,37 +130,62 @@ def search_log(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HI
     )
 
 
-def _with_known(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Questions joined to the few known entries of their dataset.
+def _with_known(asked: DataFrame, known: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
+    """Questions joined to the known entries that agree in ``keys``.
 
-    A dataset may hold a large share of all questions: they are dealt out over
-    salts, and the known entries repeated on each.
+    A dataset may hold a large share of all questions: both sides are counted, cut into blocks of about
+    ``BLOCK_ROWS``, and every block of one meets every block of the other in a task of its own.
     """
     partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("question_id"), F.lit(SALTS)))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    repeated = known.withColumn("_salt", F.explode(salts))
-    return salted.repartition(partitions, "dataset_id", "_salt").join(repeated, ["dataset_id", "_salt"]).drop("_salt")
+
+    def blocks(frame, alias):
+        return frame.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("bigint").alias(alias))
+
+    sizes = blocks(asked, "_na").join(blocks(known, "_nk"), list(keys))
+
+    def dealt(frame, ident, own, count, other, others):
+        return (
+            frame.join(sizes, list(keys))
+            .withColumn(own, F.pmod(F.xxhash64(ident), F.col(count)))
+            .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(others) - 1)))
+            .drop("_na", "_nk")
+        )
+
+    left = dealt(asked, "question_id", "_a", "_na", "_k", "_nk")
+    right = dealt(known, "id", "_k", "_nk", "_a", "_na")
+    by = [*keys, "_a", "_k"]
+    return left.repartition(partitions, *by).join(right, by).drop("_a", "_k")
 
 
 def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HISTORY_SCORE) -> DataFrame:
-    """Earlier questions of the same dataset, by text: the newest min(200, 25 k) entries with
-    question and summary are compared -> question_id, id, dataset_id, score, rank."""
-    window = min(200, 25 * k)
+    """Earlier questions of the same dataset, by text: all entries with question and summary count
+    -> question_id, id, dataset_id, score, rank.
+
+    Texts whose ratio is above ``cut`` differ in length by a factor below (2 - cut) / cut. Lengths are
+    put into bands of that factor, and only texts of one band or of neighbouring ones meet.
+    """
+    share = min(max(cut, 1e-6), 1 - 1e-6)
+    width = math.log((2 - share) / share) + 1e-9
 
     @F.pandas_udf("double")
     def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
         return kernels.text_ratio(new, old, cut)
 
-    asked = questions.where(F.trim("question") != "").select("question_id", "dataset_id", F.trim("question").alias("_new"))
-    known = (
-        _newest(log, window)
-        .where((F.trim("question") != "") & (F.trim("answer_summary") != ""))
-        .select("dataset_id", "id", F.trim("question").alias("_old"), F.col("rank").alias("_age"))
+    @F.pandas_udf("long")
+    def folded_length(texts: pd.Series) -> pd.Series:
+        return texts.str.casefold().str.len()
+
+    def band(text):
+        return F.floor(F.log(folded_length(text).cast("double")) / width)
+
+    asked = questions.select("question_id", "dataset_id", F.trim("question").alias("_new")).where("_new <> ''")
+    known = log.where((F.trim("question") != "") & (F.trim("answer_summary") != "")).select(
+        "dataset_id", "id", F.trim("question").alias("_old"), F.col("created_at").alias("_at")
     )
-    pairs = _with_known(asked, known)
+    known = known.withColumn("_own", band("_old")).withColumn("_band", F.explode(F.array(*[F.col("_own") + d for d in (-1, 0, 1)])))
+    pairs = _with_known(asked.withColumn("_band", band("_new")), known.drop("_own"), ("dataset_id", "_band"))
     scored = pairs.withColumn("score", ratio("_new", "_old")).where(F.col("score") > cut)
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), "_age")
+    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("_at"), F.desc("id"))
     return (
         scored.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
@@ -177,12 +220,13 @@ def answers(log: DataFrame) -> DataFrame:
 # Short words that never count as a column name.
 STOP_WORDS = ("at", "in", "on", "to", "of", "for", "and", "or", "vs", "x", "y")
 SHORT_NAME = 3
+WORD = r"([\p{L}\p{N}_]+)"
 
 
 def mentions(questions: DataFrame, registry: DataFrame) -> DataFrame:
     """Columns named in a question -> question_id, dataset_id, column_name, position, rank.
 
-    A name matches as whole words, ignoring case. Candidates come from an
+    A name matches as whole words of any script, ignoring case. Candidates come from an
     equality join on the first word of the name, and only they are searched
     for in the text, so no question meets every name. ``questions``:
     question_id, dataset_id, question.
@@ -191,21 +235,21 @@ def mentions(questions: DataFrame, registry: DataFrame) -> DataFrame:
     names = (
         registry.select("dataset_id", "column_name")
         .distinct()
-        .withColumn("_word", F.regexp_extract(lowered, "([a-z0-9_]+)", 1))
+        .withColumn("_word", F.regexp_extract(lowered, WORD, 1))
         .where("_word <> ''")
         .where(
             (F.length("column_name") > SHORT_NAME)
             | (lowered.rlike("^[a-z0-9]+$") & ~lowered.isin(list(STOP_WORDS)))
         )
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("([a-z0-9_]+)"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit(WORD), F.lit(1)))
     candidates = (
         questions.select("question_id", "dataset_id", F.explode(words).alias("_word"))
         .join(names, ["dataset_id", "_word"])
         .drop("_word")
     )
     literal = F.replace(F.col("column_name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(F.lit("(?i)\\b\\Q"), literal, F.lit("\\E\\b"))
+    pattern = F.concat(F.lit("(?iuU)\\b\\Q"), literal, F.lit("\\E\\b"))
     found = (
         candidates.join(questions, ["question_id", "dataset_id"])
         .withColumn("position", F.regexp_instr("question", pattern) - 1)

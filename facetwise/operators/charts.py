@@ -134,10 +134,11 @@ def scatter(df: DataFrame, x: str, y: str, key: Sequence[str], n: int = 1000, se
     )
 
 
-def series(df: DataFrame, x: str, y: str, n: int = 200, order_by: Sequence[str] | None = None) -> DataFrame:
-    """The first ``n`` points in the order given (by x when none is) -> x, y."""
+def series(df: DataFrame, x: str, y: str, n: int | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+    """All points, or the first ``n``, in the order given (by x when none is) -> x, y."""
     order = [col(k) for k in (order_by or [x])]
-    return df.orderBy(*order).limit(n).select(col(x).alias("x"), col(y).alias("y"))
+    ordered = df.orderBy(*order)
+    return (ordered if n is None else ordered.limit(n)).select(col(x).alias("x"), col(y).alias("y"))
 
 
 # Name parts that mark a column as the metric of a table.

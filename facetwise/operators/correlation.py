@@ -125,8 +125,8 @@ def mirrored(corr: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def heatmap(df: DataFrame, cols: int = 12, digits: int = 3) -> DataFrame:
-    """The full rounded matrix of the first ``cols`` numeric columns -> a, b, r."""
+def heatmap(df: DataFrame, cols: int | None = None, digits: int = 3) -> DataFrame:
+    """The full rounded matrix of all numeric columns (or the first ``cols``) -> a, b, r."""
     names = number_columns(df)[:cols]
     corr = correlations(df, names)
     # The diagonal is 1, or null for a constant column, like any other pair.

@@ -278,8 +278,8 @@ def column_stats(df: DataFrame, name: str, order_by: Sequence[str], n: int = 5)
     return stats.withColumn("samples", samples.scalar())
 
 
-def top_values(df: DataFrame, cols: int = 6, n: int = 8) -> DataFrame:
-    """The ``n`` most frequent values of the first ``cols`` non-numeric columns, missing
+def top_values(df: DataFrame, cols: int | None = None, n: int = 8) -> DataFrame:
+    """The ``n`` most frequent values of all non-numeric columns (or the first ``cols``), missing
     counted as "nan" -> column_name, value, n, rank."""
     names = [c for c in df.columns if c not in number_columns(df)][:cols]
     if not names:

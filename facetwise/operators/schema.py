@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from facetwise.functions.values import as_text, chunks, col, dtype, is_fractional, missing, per_column, union_all
 
@@ -99,20 +99,24 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return safe.select(F.to_json(F.struct(*[col(c) for c in safe.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 0, total: int | None = None) -> DataFrame:
+def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all, when fewer), the same ones on every run and cluster.
 
-    Rows are ranked by a digest of their key. A digest cut first thins the table
-    to about ``2 n`` rows, so the final sort is small however large the table.
+    Rows are ranked by a digest of their key, ties by all columns. They are first counted per beginning
+    of the digest, and only those up to the beginning where the count reaches ``n`` are ordered.
     """
+    if not key:
+        raise ValueError("a sample needs a key")
     digest = F.md5(F.concat_ws(":", *[col(k).cast("string") for k in key], F.lit(str(seed))))
     ranked = df.withColumn("_digest", digest)
-    total = df.count() if total is None else total
-    keep = (2 * n + 100) / total if total else 1.0
-    if keep < 1.0:
-        # Hex digests compare like the numbers they spell.
-        ranked = ranked.where(F.col("_digest") < format(int(keep * 16**8), "08x"))
-    return ranked.orderBy("_digest", *[col(k) for k in key]).limit(n).drop("_digest")
+    start = F.substring("_digest", 1, 4)
+    # At most 65,536 beginnings.
+    counts = ranked.groupBy(start.alias("_start")).agg(F.count(F.lit(1)).alias("_n"))
+    so_far = counts.withColumn("_sum", F.sum("_n").over(W.orderBy("_start")))
+    last = so_far.agg(F.min(F.when(F.col("_sum") >= n, F.col("_start"))).alias("last"))
+    near = ranked.where(start <= F.coalesce(last.scalar(), F.lit("ffff")))
+    everything = F.to_json(F.struct(*[col(c) for c in df.columns]))
+    return near.orderBy("_digest", *[col(k) for k in key], everything).limit(n).drop("_digest")
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], n: int) -> DataFrame:

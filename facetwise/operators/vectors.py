@@ -19,7 +19,6 @@ from facetwise.functions.values import dtype, is_number, per_column, present
 from facetwise.operators.schema import first_values
 
 DIMENSIONS = 384
-MAX_DESCRIBED = 200
 # Query vectors sent to every task: at most this many rows (12 MB at 384 dimensions).
 MAX_BROADCAST_QUERIES = 4096
 QUERY_BLOCK = 4096
@@ -28,9 +27,9 @@ MATCH_SCHEMA = "query_id string, item_id string, item_group string, score double
 RELATED_SCORE = 0.85
 
 
-def column_descriptions(df: DataFrame, dataset: str, order_by: Sequence[str], max_columns: int = MAX_DESCRIBED) -> DataFrame:
+def column_descriptions(df: DataFrame, dataset: str, order_by: Sequence[str]) -> DataFrame:
     """-> dataset_id, column_name, dtype, description."""
-    names = df.columns[:max_columns]
+    names = df.columns
 
     def measures(name):
         ranged = is_number(dtype(df, name), booleans=True)
@@ -141,7 +140,8 @@ def search_columns(registry: DataFrame, datasets: DataFrame, text: str, k: int =
     """Text search over described columns -> dataset_id, dataset_name, column_name, score, rank."""
     if not text.strip():
         raise ValueError("empty search text")
-    k = min(max(int(k), 1), 50)
+    if k < 1:
+        raise ValueError("at least one column")
     spark = registry.sparkSession
     vector = embed(spark.createDataFrame([(text,)], "text string"), "text", embedder).head()["embedding"]
     # Column names repeat between datasets: the item is the pair.
@@ -150,7 +150,7 @@ def search_columns(registry: DataFrame, datasets: DataFrame, text: str, k: int =
     items = items.join(datasets.select("dataset_id"), "dataset_id", "left_semi")
     found = nearest(items, vector, k, "_item")
     found = found.withColumn("column_name", F.get_json_object("item_id", "$.column_name"))
-    # At most 50 rows meet the catalog.
+    # At most k rows meet the catalog.
     return (
         F.broadcast(found)
         .join(datasets.select(F.col("dataset_id"), F.col("name").alias("dataset_name")), found["item_group"] == F.col("dataset_id"))
@@ -183,10 +183,12 @@ def related(matches: DataFrame, names: DataFrame | None = None) -> DataFrame:
     return grouped.orderBy(F.desc("similarity"), F.desc("matches"), "dataset_id")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows of both, the new one where keys agree."""
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """All rows of both, the new one where keys agree. Of several new ones the largest by ``order_by``
+    stays, then the one largest as JSON, so the result doesn't depend on the layout."""
     both = old.withColumn("_version", F.lit(0)).unionByName(new.withColumn("_version", F.lit(1)))
-    latest = W.partitionBy(*keys).orderBy(F.desc("_version"))
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in old.columns]))
+    latest = W.partitionBy(*keys).orderBy(F.desc("_version"), *[F.desc(c) for c in order_by], whole.desc())
     return both.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank", "_version")
 
 

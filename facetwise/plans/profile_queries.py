@@ -282,7 +282,8 @@ def stats_of_value(spark, sf_dir):
       SELECT 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2
       UNION ALL
       SELECT 'o_orderpriority', CASE WHEN o_orderkey % 4 = 0 THEN 'nan' ELSE o_orderpriority END, count(*)
-      FROM orders GROUP BY 2),
+      FROM orders GROUP BY 2
+      UNION ALL SELECT 'o_orderdate', CAST(o_orderdate AS VARCHAR), count(*) FROM orders GROUP BY 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM vc)
     SELECT column_name, value, n, rank FROM r WHERE rank <= 8
     """
@@ -291,7 +292,7 @@ def frequent_values(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn(
         "o_orderpriority", F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority"))
     )
-    found = P.top_values(orders.drop("o_orderdate"))
+    found = P.top_values(orders)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -198,7 +198,7 @@ def scatter_points(spark, sf_dir):
     return rounded(H.scatter(frame, x, y, ["doc_id"], 300), "r")
 
 
-@query("SELECT o_orderkey AS x, o_totalprice AS y FROM orders ORDER BY o_orderkey LIMIT 200")
+@query("SELECT o_orderkey AS x, o_totalprice AS y FROM orders ORDER BY o_orderkey")
 def chart_series(spark, sf_dir):
     return H.series(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice")
 

@@ -103,7 +103,9 @@ def registry_upsert(spark, sf_dir):
     old = registry(spark, sf_dir).select("dataset_id", "column_name", F.lit("old").alias("description"))
     fives = old.where("column_name LIKE '%5'").withColumn("description", F.lit("new"))
     fresh = fives.unionByName(fives.withColumn("column_name", F.concat("column_name", F.lit("+"))))
-    return V.upsert(old, fresh, ["dataset_id", "column_name"])
+    # Every new key comes twice; the larger row wins.
+    fresh = fresh.unionByName(fresh.withColumn("description", F.lit("earlier")))
+    return V.upsert(old, fresh, ["dataset_id", "column_name"], ["description"])
 
 
 @query(
@@ -285,9 +287,26 @@ def semantic_history(spark, sf_dir):
     return K.search_log(question_log(spark, sf_dir), new_questions(spark, sf_dir))
 
 
-@query()
+# The best match of a question with "?" added is that question itself: 2n of 2n + 1 case-folded letters.
+# Of equal questions the newest counts.
+@query(
+    f"""
+    WITH {LOG_SQL}, known AS (SELECT * FROM log WHERE trim(question) <> '' AND trim(answer_summary) <> ''),
+    n AS (SELECT id AS question_id, dataset_id, trim(question) AS q FROM known),
+    p AS (SELECT n.question_id, k.id, k.dataset_id, length(replace(n.q, 'ß', 'ss')) AS m,
+                 row_number() OVER (PARTITION BY n.question_id ORDER BY k.created_at DESC, k.id DESC) AS rk
+          FROM n JOIN known k ON k.dataset_id = n.dataset_id AND trim(k.question) = n.q)
+    SELECT question_id, id, dataset_id, round(2.0 * m / (2 * m + 1), 6) AS score, CAST(1 AS BIGINT) AS rank FROM p WHERE rk = 1
+    """
+)
 def text_history(spark, sf_dir):
-    return K.similar_text(question_log(spark, sf_dir), new_questions(spark, sf_dir))
+    """The nearest earlier question of each logged one with a sign added, over the whole log."""
+    log = question_log(spark, sf_dir)
+    asked = log.where("trim(question) <> '' AND trim(answer_summary) <> ''").select(
+        F.col("id").alias("question_id"), "dataset_id", F.concat(F.trim("question"), F.lit("?")).alias("question")
+    )
+    found = K.similar_text(log, asked, k=1).withColumn("rank", F.col("rank").cast("bigint"))
+    return rounded(found, "score")
 
 
 PLAIN_SQL = """regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[_\\-]+', ' ', 'g'),

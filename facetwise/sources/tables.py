@@ -18,7 +18,6 @@ TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?([iI]nf|[iI]nfinity)\s*$"
-MAX_BYTES = 50 * 1024 * 1024
 EXTENSIONS = ("csv", "xlsx", "xls")
 
 
@@ -86,8 +85,8 @@ def read_table(
     return raw.select(*[typed(c).alias(c) for c in raw.columns if c in types])
 
 
-def check_landing(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files of a folder -> path, length, accepted, reason. Contents are read only of small CSV files.
+def check_landing(spark: SparkSession, folder: str, max_bytes: int | None = None) -> DataFrame:
+    """Files of a folder -> path, length, accepted, reason. Files have no size limit unless ``max_bytes`` gives one.
 
     A scan leaves empty files out, so names come from the listing the scan was planned with.
     """
@@ -99,15 +98,16 @@ def check_landing(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES)
     return judge_files(spark, files, folder, max_bytes)
 
 
-def judge_files(spark: SparkSession, files: DataFrame, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge_files(spark: SparkSession, files: DataFrame, folder: str, max_bytes: int | None = None) -> DataFrame:
     """Verdicts on (path, length) rows of a landing folder, as in ``check_landing``."""
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     small = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder)
-    unreadable = small.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).where(~F.is_valid_utf8(F.col("content").cast("string")))
+    unreadable = small.where((F.col("length") > 0) & ~too_large).where(~F.is_valid_utf8(F.col("content").cast("string")))
     broken = unreadable.select(F.col("path").alias("_bad"))
     reason = (
         F.when(~extension.isin(list(EXTENSIONS)), "Only .csv, .xlsx, and .xls files are accepted.")
-        .when(F.col("length") > max_bytes, F.lit(f"File too large. Max size is {max_bytes} bytes."))
+        .when(too_large, F.lit(f"File too large. Max size is {max_bytes} bytes."))
         .when(F.col("length") == 0, "Uploaded file is empty.")
         .when(F.col("_bad").isNotNull(), "Uploaded file is not a valid CSV.")
     )

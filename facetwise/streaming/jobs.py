@@ -9,12 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from facetwise.functions.values import missing, number, number_columns, per_column
 from facetwise.operators.catalog import register
-from facetwise.sources.tables import MAX_BYTES, judge_files, read_table, save_table
+from facetwise.sources.tables import judge_files, read_table, save_table
 
 FILES_PER_BATCH = 16
 
 
-def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, max_bytes: int = MAX_BYTES) -> StreamingQuery:
+def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, max_bytes: int | None = None) -> StreamingQuery:
     """New files of a landing folder become stored tables (``root/tables``) with a catalog row
     (``root/catalog``) each; the verdict on every file goes to ``root/landing``.
 

@@ -163,6 +163,11 @@ def test_sample_is_exact_and_repeatable(spark):
     two = {r["id"] for r in schema.sample_rows(frame.repartition(5), ["id"], 100, 3).collect()}
     assert len(one) == 100 and one == two
     assert schema.sample_rows(frame.limit(7), ["id"], 100).count() == 7
+    few = frame.withColumn("k", F.col("id") % 3)
+    assert schema.sample_rows(few, ["k"], 50).count() == 50
+    assert sorted(schema.sample_rows(few, ["k"], 50).collect()) == sorted(schema.sample_rows(few.repartition(7), ["k"], 50).collect())
+    with pytest.raises(ValueError):
+        schema.sample_rows(few, [], 5)
 
 
 def test_json_safe_nested(spark):

@@ -118,6 +118,10 @@ def test_facts_replace_their_section(spark, tmp_path):
     catalog.put_facts(spark.createDataFrame([("a", "shape", "", "rows", 2.0, None)], schema), root)
     got = {(r["dataset"], r["section"]): r["value_double"] for r in spark.read.parquet(root).collect()}
     assert got == {("a", "shape"): 2.0, ("a", "missing"): 1.0, ("b", "shape"): 5.0}
+    # A whole profile replaces sections that have become empty too.
+    catalog.put_facts(spark.createDataFrame([("a", "shape", "", "rows", 3.0, None)], schema), root, ["a"])
+    got = {(r["dataset"], r["section"]): r["value_double"] for r in catalog.stored_facts(spark, root).collect()}
+    assert got == {("a", "shape"): 3.0, ("b", "shape"): 5.0}
 
 
 def test_cascade(spark):

@@ -61,6 +61,13 @@ def test_mentions(spark):
     assert got[3] == [("RH", 0)]
 
 
+def test_mentions_in_any_script(spark):
+    questions = spark.createDataFrame([(1, "d", "покажи Выручка и größe, nicht Größen")], "question_id int, dataset_id string, question string")
+    registry = spark.createDataFrame([("d", n) for n in ("выручка", "Größe", "выруч")], "dataset_id string, column_name string")
+    found = catalog.mentions(questions, registry).orderBy("rank").collect()
+    assert [(r["column_name"], r["position"]) for r in found] == [("выручка", 7), ("Größe", 17)]
+
+
 def log_of(spark, questions):
     rows = [(f"{i:03d}", d, q, "an answer", i) for i, (d, q) in enumerate(questions)]
     frame = spark.createDataFrame(rows, "id string, dataset_id string, question string, answer_summary string, t int")
@@ -75,9 +82,25 @@ def test_log_search_finds_exact_text_in_its_dataset_only(spark):
         assert found[0]["score"] >= 0.99
 
 
-def test_recent_is_clamped_and_newest_first(spark):
+def test_text_search_reaches_the_oldest_entries(spark, monkeypatch):
+    log = log_of(spark, [("a", "Top 5 products by revenue")] + [("a", f"number {i} of many others") for i in range(300)])
+    asked = spark.createDataFrame([("q", "a", "top 5 products by revenue?")], "question_id string, dataset_id string, question string")
+    one = [r["id"] for r in catalog.similar_text(log, asked).collect()]
+    monkeypatch.setattr(catalog, "BLOCK_ROWS", 7)
+    assert one == ["000"] == [r["id"] for r in catalog.similar_text(log, asked).collect()]
+
+
+def test_upsert_takes_the_last_of_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, t int, v string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, "z"), ("a", 3, "w")], "k string, t int, v string")
+    assert sorted(map(tuple, vectors.upsert(old, new, ["k"], ["t"]).collect())) == [("a", 3, "z"), ("b", 1, "x")]
+
+
+def test_recent_is_newest_first_and_whole(spark):
     log = log_of(spark, [("a", f"q{i}") for i in range(5)])
-    assert [r["id"] for r in catalog.recent(log, 0).collect()] == ["004"]
+    with pytest.raises(ValueError):
+        catalog.recent(log, 0)
+    assert catalog.recent(log_of(spark, [("a", f"q{i}") for i in range(150)]), 150).count() == 150
     assert [r["id"] for r in catalog.recent(log, 3).orderBy("rank").collect()] == ["004", "003", "002"]
 
 
