@@ -7,15 +7,16 @@ at its begin to each at its end. Matrices are combined associatively in a tree,
 the whole document's best path at every boundary, and each chunk is then traced back on its own.
 
 No piece goes on past a space that follows something else, or touches a line break, so a chunk falls apart
-into short segments there; a task remembers the segments it has cut. Sums are whole numbers; equal sums
-are told apart by a number of their pieces, so the best path doesn't depend on where chunks begin.
+into short segments there, and each different segment of many texts is cut once, all side by side.
+Sums are whole numbers; equal sums are told apart by a number of their pieces, so the best path doesn't
+depend on where chunks begin.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +24,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetwise.llm.common import plain
+from facetwise.llm.common import mixed, plain
 
 CHUNK = 32_768
 SPACE = "▁"
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Scores lower than this count as this; unknown characters score ten less than the least piece.
 LOWEST = -(1 << 22)
 #: Bits below the score that tell equal sums apart.
 TIE_BITS = 44
-MEMORY = 400_000
-Path = tuple[int, tuple[int, ...]]
+#: The same for a segment of at most SHORT letters, whose sum fits 64 bits.
+SHORT = 64
+SHORT_TIE_BITS = 27
+#: Letters of the texts that are cut at a time.
+SLICE = 1 << 20
+#: Slots of the table of steps.
+SLOT_BITS = 19
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+
+
+def segment_starts(letters: np.ndarray) -> np.ndarray:
+    """True where a segment begins: a line break, what follows one, and spaces after something else."""
+    space, line = letters == ord(SPACE), letters == 10
+    begins = line.copy()
+    begins[:1] = True
+    begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    return begins
 
 
 class Lexicon:
@@ -66,7 +84,59 @@ class Lexicon:
             here[:2] = weight, i
         self.unknown = (least - 10) << TIE_BITS
         self.longest = max(map(len, self.weight))
-        self.known: dict[str, Path] = {}
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.text)]
+        self._number_nodes()
+
+    def _number_nodes(self) -> None:
+        """The letter tree as arrays: a step from (node, letter) to a node, and what each node is worth."""
+        steps, worth, piece = [], [0], [-1]
+        todo = [(0, self.root)]
+        while todo:
+            at, below = todo.pop()
+            for letter, (weight, i, after) in below.items():
+                steps.append(((at << 21) + ord(letter), len(worth)))
+                todo.append((len(worth), after))
+                score = -(-(weight or 0) >> TIE_BITS)
+                worth.append((score << SHORT_TIE_BITS) + (weight or 0) - (score << TIE_BITS))
+                piece.append(-1 if weight is None else i)
+        keys, nodes = np.array(sorted(steps), np.int64).T
+        # The first letter has a table of its own, as every place of a text takes this step.
+        roots = int(np.searchsorted(keys, 1 << 21))
+        self.first = np.full(0x110000, -1, np.int32)
+        self.first[keys[:roots]] = nodes[:roots]
+        # The others are hashed, each to the first free slot from its own; a round places one key in each.
+        self.step_key = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.step_node = np.full(1 << SLOT_BITS, -1, np.int32)
+        keys, nodes = keys[roots:], nodes[roots:]
+        slots = self.slots(keys)
+        while len(keys):
+            free = self.step_key[slots] < 0
+            self.step_key[slots[free]] = keys[free]
+            placed = self.step_key[slots] == keys
+            self.step_node[slots[placed]] = nodes[placed]
+            keys, nodes, slots = keys[~placed], nodes[~placed], (slots[~placed] + 1) % (1 << SLOT_BITS)
+        self.worth, self.piece = np.array(worth, np.int64), np.array(piece, np.int32)
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def step(self, node: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes that the letters lead to, -1 for none."""
+        key = (node.astype(np.int64) << 21) + letters
+        slot = self.slots(key)
+        found = self.step_key[slot]
+        out = self.step_node[slot]
+        todo = np.flatnonzero(found != key)
+        out[todo] = -1
+        todo = todo[found[todo] >= 0]
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) % (1 << SLOT_BITS)
+            found = self.step_key[slot[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.step_node[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
 
     # -- cutting
 
@@ -117,23 +187,152 @@ class Lexicon:
 
     def segment(self, text: str) -> Path:
         """Sum and ids of a segment that no piece leaves."""
-        found = self.known.get(text)
-        if found is None:
-            sums, back = self.best(text, 0, len(text))
-            found = (sums[-1], tuple(self.trace(text, back, 0, len(text))))
-            if len(text) <= 64:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+        sums, back = self.best(text, 0, len(text))
+        return sums[-1], np.array(self.trace(text, back, 0, len(text)), "<u4").tobytes()
+
+    def search(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Short segments, end to end: sums (in short form), numbers of pieces, all pieces in order, and which
+        segments hold an unknown character on their way (-1 among their pieces).
+
+        The tree is walked from every place of every segment at once, which gives the pieces that fit. Sums
+        grow place by place: a piece is taken after all that end before it begins, the longest first where
+        several end at one place, as in ``best``.
+        """
+        begins = np.cumsum(sizes) - sizes
+        slot = begins + np.arange(len(sizes))  # each segment has a place before every letter and one at its end
+        within = np.arange(len(letters)) - np.repeat(begins, sizes)
+        left = np.repeat(sizes, sizes) - within
+        place = np.repeat(slot, sizes) + within
+
+        froms, ends, nodes = [], [], []
+        alive, node = np.arange(len(letters)), self.first[letters]
+        lone = (node < 0) | (self.piece[node] < 0)
+        depth = 1
+        while True:
+            fits = node >= 0
+            alive, node = alive[fits], node[fits]
+            full = self.piece[node] >= 0
+            froms.append(alive[full])
+            nodes.append(node[full])
+            ends.append(np.full(int(full.sum()), depth))
+            more = left[alive] > depth
+            alive, node = alive[more], node[more]
+            if not len(alive):
+                break
+            node = self.step(node, letters[alive + depth])
+            depth += 1
+        unknown = np.flatnonzero(lone)
+        unknown_worth = -(-self.unknown >> TIE_BITS) << SHORT_TIE_BITS
+        letter = np.concatenate([*froms, unknown])
+        size = np.concatenate([*ends, np.ones(len(unknown), np.int64)])
+        worth = np.concatenate([*(self.worth[n] for n in nodes), np.full(len(unknown), unknown_worth)])
+        piece = np.concatenate([*(self.piece[n] for n in nodes), np.full(len(unknown), -1, np.int32)])
+        group = ((within[letter] + size) * (self.longest + 1) + self.longest - size).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        origin, size, worth, piece = place[letter[order]], size[order], worth[order], piece[order]
+        target = origin + size
+        bounds = np.flatnonzero(np.diff(group[order])) + 1
+        sums = np.full(len(letters) + len(sizes), np.iinfo(np.int64).min)
+        sums[slot] = 0
+        last = np.zeros(len(sums), np.int64)
+        for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(order)]):
+            here, total = target[a:b], sums[origin[a:b]] + worth[a:b]
+            better = np.flatnonzero(total > sums[here])
+            sums[here[better]] = total[better]
+            last[here[better]] = a + better
+
+        at, who = slot + sizes, np.arange(len(sizes))
+        counts = np.zeros(len(sizes), np.int64)
+        odd = np.zeros(len(sizes), bool)
+        whose, which, taken = [], [], []
+        while len(who):
+            edge = last[at]
+            whose.append(who)
+            which.append(counts[who])
+            taken.append(piece[edge])
+            odd[who[piece[edge] < 0]] = True
+            counts[who] += 1
+            at = at - size[edge]
+            on = at > slot[who]
+            at, who = at[on], who[on]
+        stop = np.cumsum(counts)
+        ids = np.empty(int(counts.sum()), np.int32)
+        if len(ids):
+            ids[stop[np.concatenate(whose)] - 1 - np.concatenate(which)] = np.concatenate(taken)
+        return sums[slot + sizes], counts, ids, odd
+
+    def paths(self, texts: list[str]) -> list[Path]:
+        """Sums and ids of texts that no piece leaves, about SLICE letters of them at a time."""
+        out: list[Path] = []
+        at = 0
+        while at < len(texts):
+            end, letters = at, 0
+            while end < len(texts) and letters < SLICE:
+                letters += len(texts[end])
+                end += 1
+            out += self._paths(texts[at:end])
+            at = end
+        return out
+
+    def _paths(self, texts: list[str]) -> list[Path]:
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = "".join(texts)
+        if not joined:
+            return [(0, b"")] * len(texts)
+        letters = code_points(joined)
+        of_text = np.cumsum(lengths) - lengths
+        begins = segment_starts(letters)
+        begins[of_text[lengths > 0]] = True
+        start = np.flatnonzero(begins)
+        sizes = np.diff(start, append=len(letters))
+        within = np.arange(len(letters)) - np.repeat(start, sizes)
+        # Segments are told apart by a hash, then compared letter by letter with the one that stands for them.
+        hashes = np.add.reduceat(mixed((letters + (within << 21)).astype(np.uint64) + np.uint64(1)), start)
+        _, stands, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        same = sizes[stands[kind]] == sizes
+        held = np.minimum(np.repeat(start[stands[kind]], sizes) + within, len(letters) - 1)
+        same &= np.logical_and.reduceat(letters[held] == letters, start)
+        other = np.flatnonzero(~same)
+        kind[other] = len(stands) + np.arange(len(other))
+        stands = np.concatenate([stands, other])
+
+        size = sizes[stands]
+        short = np.flatnonzero(size <= SHORT)
+        begin = np.cumsum(size[short]) - size[short]
+        flat = np.arange(int(size[short].sum())) + np.repeat(start[stands[short]] - begin, size[short])
+        total, n, ids, odd = self.search(letters[flat], size[short])
+        # Sums fall apart into scores and what tells equal ones apart, which add up without overflow.
+        score, tie, counts = np.zeros(len(stands), np.int64), np.zeros(len(stands), np.int64), np.zeros(len(stands), np.int64)
+        score[short], tie[short], counts[short] = -(-total >> SHORT_TIE_BITS), -total & ((1 << SHORT_TIE_BITS) - 1), n
+        first = np.zeros(len(stands), np.int64)
+        first[short] = np.cumsum(n) - n
+        more, have = [], len(ids)
+        for k in [*short[odd].tolist(), *np.flatnonzero(size > SHORT).tolist()]:
+            begin = int(start[stands[k]])
+            whole, raw = self.segment(joined[begin : begin + int(size[k])])
+            score[k] = -(-whole >> TIE_BITS)
+            tie[k] = (int(score[k]) << TIE_BITS) - whole
+            first[k], counts[k] = have, len(raw) // 4
+            more.append(np.frombuffer(raw, "<i4"))
+            have += len(raw) // 4
+        ids = np.concatenate([ids, *more])
+
+        each = counts[kind]
+        done = np.cumsum(each)
+        raw = ids[np.arange(int(done[-1])) + np.repeat(first[kind] - done + each, each)].astype("<u4").tobytes()
+        cuts = np.searchsorted(start, np.append(of_text, len(letters)))
+        ids_at = (4 * np.append(0, done)[cuts]).tolist()
+        scores, ties = (np.append(0, np.cumsum(v[kind]))[cuts] for v in (score, tie))
+        sums = [(a << TIE_BITS) - b for a, b in zip(np.diff(scores).tolist(), np.diff(ties).tolist())]
+        return [(v, raw[a:b]) for v, a, b in zip(sums, ids_at, ids_at[1:])]
 
     # -- chunks
 
     def edges(self, body: str, ahead: str) -> tuple[int, int] | None:
         """The first and last places of a chunk that no piece crosses, or None. Place 0 counts if the chunk
         begins at one, which its states then show."""
-        places = [m.start() for m in SEGMENT.finditer(body) if m.start()]
-        return (places[0], places[-1]) if places else None
+        places = np.flatnonzero(segment_starts(code_points(body)))[1:]
+        return (int(places[0]), int(places[-1])) if len(places) else None
 
     def matrix(self, body: str, ahead: str) -> list[list]:
         """Best sums from each state at the chunk's begin to each at its end; None where there is no way."""
@@ -149,7 +348,7 @@ class Lexicon:
                 rows.append([sums[n + j] if n + j < len(sums) else None for j in range(size)])
             return rows
         first, last = edges
-        inner = sum(self.segment(s)[0] for s in SEGMENT.findall(body[first:last]))
+        inner = self._paths([body[first:last]])[0][0]
         tail, _ = self.best(text[last:], 0, n - last)
         ends = [tail[n - last + j] if n - last + j < len(tail) else None for j in range(size)]
         rows = []
@@ -168,29 +367,26 @@ class Lexicon:
             return self.trace(text, self.best(text, entry, n)[1], entry, n + leave)
         first, last = edges
         out = self.trace(body, self.best(body[:first], entry, first)[1], entry, first)
-        for s in SEGMENT.findall(body[first:last]):
-            out += self.segment(s)[1]
+        out += np.frombuffer(self._paths([body[first:last]])[0][1], "<u4").tolist()
         tail = text[last:]
         return out + self.trace(tail, self.best(tail, 0, n - last)[1], 0, n - last + leave)
 
     def whole(self, text: str) -> list[int]:
         """Ids of a text in one chunk."""
-        out: list[int] = []
-        segment = self.segment
-        for s in SEGMENT.findall(text):
-            out += segment(s)[1]
-        return out
+        return np.frombuffer(self.paths([text])[0][1], "<u4").tolist()
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; a document's first chunk drops the space that encoding puts before it."""
-        raw = bytearray()
-        for i in ids:
-            b = self.of_byte.get(i)
-            raw += self.text[i].encode() if b is None else bytes([b])
-        text = raw.decode(errors="replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if first and text[:1] == " " else text
 
 
+@functools.lru_cache(maxsize=2)
+def lexicon_of(path: str) -> Lexicon:
+    """The lexicon of a model file: one for all tasks of a worker."""
+    return Lexicon(path)
+
+
 def prepared(text: str) -> str:
     """Spaces made visible and one put before. Texts that hold the visible space itself come back with
     spaces in its place, as the model has no other form for it."""
@@ -261,12 +457,12 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     short = F.length("text") < chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
-            ids = [np.array(lexicon.whole(prepared(t.as_py())), "<u4").tobytes() for t in batch.column(1)]
+            ids = [i for _, i in lexicon.paths([prepared(t.as_py()) for t in batch.column(1)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.binary())], [*KEYS, "ids"])
 
-    longest = Lexicon(model).longest
+    longest = lexicon_of(model).longest
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +475,7 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(cut, kinds)], ["doc_id", "text_key", "chunk_no", "body", "ahead"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
             found = [json.dumps(lexicon.matrix(b.as_py(), a.as_py())) for b, a in zip(batch.column("body"), batch.column("ahead"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(found, pa.string())], [*KEYS, "matrix"])
@@ -295,7 +491,7 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         return cut
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
             ids = [np.array(lexicon.ids(*args), "<u4").tobytes() for args in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "entry", "leave")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(ids, pa.binary())], [*KEYS, "ids"])
@@ -313,7 +509,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     """(doc_id, chunk_no, text) of ``encode``'s rows; a document's text is that of its chunks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
             texts = [
                 lexicon.decode(np.frombuffer(i.as_buffer(), "<u4").tolist(), k == 0)
@@ -332,7 +528,7 @@ def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
         return len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.encode()).hexdigest()
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         for batch in batches:
             out = [row(i.as_py(), lexicon.decode(np.frombuffer(i.as_buffer(), "<u4").tolist())) for i in batch.column("ids")]
             n, c, h = zip(*out) if out else ((), (), ())
@@ -340,7 +536,7 @@ def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, DIGEST)
 
     def joined(table: pa.Table) -> pa.Table:
-        lexicon = Lexicon(model)
+        lexicon = lexicon_of(model)
         table = table.sort_by("chunk_no")
         ids = [i.as_py() for i in table["ids"]]
         texts = [lexicon.decode(np.frombuffer(i, "<u4").tolist(), k == 0) for k, i in enumerate(ids)]
