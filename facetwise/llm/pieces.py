@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from facetwise.llm.common import mixed, plain
@@ -35,8 +36,8 @@ TIE_BITS = 44
 #: The same for a segment of at most SHORT letters, whose sum fits 64 bits.
 SHORT = 64
 SHORT_TIE_BITS = 27
-#: Letters of the texts that are cut at a time.
-SLICE = 1 << 20
+#: Letters of the texts that are cut at a time, and bytes of a batch.
+SLICE = 1 << 18
 #: Slots of the table of steps.
 SLOT_BITS = 19
 
@@ -434,6 +435,18 @@ def boundary_states(matrices: list[list[list]]) -> list[int]:
 
 # ---------------------------------------------------------------- jobs
 
+def portions(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``limit`` bytes of a column, so that a task holds few texts at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 CODED = "doc_id long, text_key long, chunk_no int, ids binary"
 
 
@@ -458,7 +471,7 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
-        for batch in batches:
+        for batch in portions(batches, 1):
             ids = [i for _, i in lexicon.paths([prepared(t.as_py()) for t in batch.column(1)])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.binary())], [*KEYS, "ids"])
 
@@ -476,7 +489,7 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
-        for batch in batches:
+        for batch in portions(batches, "body"):
             found = [json.dumps(lexicon.matrix(b.as_py(), a.as_py())) for b, a in zip(batch.column("body"), batch.column("ahead"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(found, pa.string())], [*KEYS, "matrix"])
 
@@ -492,7 +505,7 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
-        for batch in batches:
+        for batch in portions(batches, "body"):
             ids = [np.array(lexicon.ids(*args), "<u4").tobytes() for args in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "entry", "leave")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(ids, pa.binary())], [*KEYS, "ids"])
 
@@ -510,7 +523,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
-        for batch in batches:
+        for batch in portions(batches, "ids"):
             texts = [
                 lexicon.decode(np.frombuffer(i.as_buffer(), "<u4").tolist(), k == 0)
                 for i, k in zip(batch.column("ids"), batch.column("chunk_no").to_pylist())
@@ -529,7 +542,7 @@ def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
-        for batch in batches:
+        for batch in portions(batches, "ids"):
             out = [row(i.as_py(), lexicon.decode(np.frombuffer(i.as_buffer(), "<u4").tolist())) for i in batch.column("ids")]
             n, c, h = zip(*out) if out else ((), (), ())
             arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(h, pa.string())]
