@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -120,6 +121,26 @@ def test_pieces_have_the_best_sum(piece_model):
         assert sum(library.get_score(i) for i in ids) == best[0]
 
 
+def test_segments_side_by_side_are_cut_as_one_by_one(piece_model):
+    """Sums and ids of many texts at once, with unknown letters, long segments, repeats and empty texts."""
+    lexicon = pieces.Lexicon(piece_model)
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("aeinst\n \u2581\u65e5\ud7fb\U0001f600") for _ in range(rng.randint(0, 150))) for _ in range(60)]
+    texts = [pieces.prepared(t) for t in [*TEXTS, *odd, *odd[:5], "q" * 300 + " and"]]
+    for text, (total, ids) in zip(texts, lexicon.paths(texts)):
+        begins = [*np.flatnonzero(pieces.segment_starts(pieces.code_points(text))).tolist(), len(text)] if text else [0]
+        each = [lexicon.segment(text[a:b]) for a, b in zip(begins, begins[1:])]
+        assert (total, ids) == (sum(v for v, _ in each), b"".join(i for _, i in each))
+
+
+def test_portions_keep_all_rows():
+    batch = pa.record_batch([pa.array(range(7)), pa.array(["a" * 10, None, "", "b" * 100, "c", "d" * 9, ""])], ["id", "text"])
+    for limit in (1, 10, 50, 1000):
+        cut = list(pieces.portions(iter([batch, batch.slice(0, 0)]), "text", limit))
+        assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+        assert all(c.num_rows == 1 or sum(len(t.as_py() or "") for t in c.column("text")) <= limit for c in cut)
+
+
 def test_states_of_chunks_join_up(piece_model):
     lexicon = pieces.Lexicon(piece_model)
     text = pieces.prepared("internationalisation of uncharacteristically long words")
