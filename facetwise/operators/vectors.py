@@ -77,16 +77,17 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, relation: str = "
 
     ``queries``: query_id, query_group, embedding; ``items``: item_id, item_group,
     embedding. ``relation`` is "any", "same" or "other" group. Every task keeps ``k`` rows per
-    query and batch, never all pairs. Few queries (counted first) travel to the items, which are
-    then not shuffled; more are matched block by block.
+    query and batch, never all pairs. With relation "same" queries only meet items of their own group,
+    block by block. Else few queries (counted first) travel to the items, which are then not shuffled;
+    more are matched block by block.
     """
     queries = queries.where("embedding is not null").select(
         F.col("query_id").cast("string"), F.col("query_group").cast("string"), "embedding"
     )
-    head = queries.limit(limit + 1).collect()
-    if not head:
+    head = [] if relation == "same" else queries.limit(limit + 1).collect()
+    if relation != "same" and not head:
         return items.sparkSession.createDataFrame([], MATCH_SCHEMA + ", rank int")
-    if len(head) <= limit:
+    if relation != "same" and len(head) <= limit:
         matrix = np.array([r["embedding"] for r in head], dtype=np.float64)
         run = kernels.batch_matcher([r["query_id"] for r in head], [r["query_group"] for r in head], matrix, k, relation)
         found = items.mapInArrow(run, MATCH_SCHEMA)

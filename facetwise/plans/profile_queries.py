@@ -185,7 +185,7 @@ def duplicate_events_with_gaps(spark, sf_dir):
     ).join(["SELECT column_name, mean, std, min, max, median FROM (", ")"])
 )
 def numeric_columns(spark, sf_dir):
-    found = P.numeric_summary(table(spark, sf_dir, "lineitem", spread=True))
+    found = P.numeric_summary(table(spark, sf_dir, "lineitem"))
     # Seven digits: with six, the mean of 60,000 two-digit decimals can lie exactly between two
     # roundings, and the order of summation would decide.
     return rounded(rounded(found, "std", "median"), "mean", digits=7)
@@ -314,7 +314,7 @@ def distinct_values(spark, sf_dir):
     )
 )
 def column_skews(spark, sf_dir):
-    return rounded(P.skews(table(spark, sf_dir, "lineitem", spread=True)).select("column_name", "skew"), "skew")
+    return rounded(P.skews(table(spark, sf_dir, "lineitem")).select("column_name", "skew"), "skew")
 
 
 @query(

@@ -10,14 +10,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A stored table. ``spread`` is for compute-heavy queries: a small file comes in fewer splits
-    than there are cores, and is then dealt out; a large one has splits enough and is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, df.columns[0])
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table, in the splits that the session's settings give."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(sql: str | None = None):
