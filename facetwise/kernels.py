@@ -304,18 +304,14 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return nodes
 
 
-def tree_grower(pool: np.ndarray, tree_rows: int, seed: int):
-    """A ``mapInPandas`` function from tree numbers to node rows."""
+def tree_grower(n_features: int, seed: int):
+    """A grouped pandas function from the rows of one tree (f0, f1, ... and their number _n) to its nodes."""
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                size = min(tree_rows, len(pool))
-                rows = pool[rng.choice(len(pool), size=size, replace=False)]
-                out += [(int(tree), *node) for node in grow_tree(rows, rng)]
-            yield pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(key[0])
+        rows = pdf.sort_values("_n")[[f"f{i}" for i in range(n_features)]].to_numpy(dtype=np.float64)
+        out = [(tree, *node) for node in grow_tree(rows, np.random.default_rng([seed, tree]))]
+        return pd.DataFrame(out, columns=["tree", "node", "feature", "threshold", "left", "right", "depth"])
 
     return run
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from facetwise import kernels
 from facetwise.functions.values import col, number_columns
@@ -20,8 +20,6 @@ TREES = 100
 TREE_ROWS = 256
 CONTAMINATION = 0.05
 MAX_MISSING = 0.5
-# The rows trees draw from: at most 256 per tree, and at most five million cells in all.
-POOL_CELLS = 5_000_000
 TREE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 
 
@@ -47,14 +45,18 @@ def features(df: DataFrame, key: Sequence[str], keep_key: bool = False) -> tuple
 
 
 def fit_forest(table: DataFrame, names: Sequence[str], key: Sequence[str], trees: int = TREES, seed: int = 42, rows: int | None = None) -> DataFrame:
-    """Isolation trees as a node table. Trees are grown in parallel, each on 256 rows drawn from
-    a seeded pool of bounded size."""
-    size = max(TREE_ROWS, min(trees * TREE_ROWS, POOL_CELLS // max(1, len(names))))
-    pool = sample_rows(table, key, size, seed).select(*[col(n).cast("double") for n in names]).toPandas()
-    grow = kernels.tree_grower(pool.to_numpy(dtype=np.float64), TREE_ROWS, seed)
-    spark = table.sparkSession
-    spread = min(trees, spark.sparkContext.defaultParallelism)
-    return spark.range(0, trees, 1, spread).mapInPandas(grow, TREE_SCHEMA)
+    """Isolation trees as a node table. Trees are grown in parallel, each in its own task on 256 rows: its
+    own draw from a seeded pool of 256 rows a tree, whatever the number of columns."""
+    drawn = sample_rows(table, key, trees * TREE_ROWS, seed)
+    cells = drawn.select(*[col(n).cast("double").alias(f"f{i}") for i, n in enumerate(names)], F.xxhash64(*[col(k) for k in key]).alias("_k"))
+    values = F.to_json(F.struct(*[F.col(f"f{i}") for i in range(len(names))]))
+    # Bounded by the pool's size, not by the table's.
+    numbered = cells.withColumn("_n", F.row_number().over(W.orderBy("_k", values))).drop("_k")
+    pool = write_through(numbered, "forest-pool")
+    dealt = pool.select("_n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree"))
+    order = W.partitionBy("_tree").orderBy(F.xxhash64(F.lit(seed), F.col("_tree"), F.col("_n")), "_n")
+    own = dealt.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= TREE_ROWS).drop("_rank")
+    return own.join(pool, "_n").groupBy("_tree").applyInPandas(kernels.tree_grower(len(names), seed), TREE_SCHEMA)
 
 
 def score(table: DataFrame, names: Sequence[str], forest: DataFrame) -> DataFrame:
