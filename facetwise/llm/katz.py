@@ -1,19 +1,22 @@
-"""Language-model scores: a Katz backoff bigram model over words.
-
-The vocabulary holds every word with at least 2^-19 of the training tokens, so it has at most 2^19 words
-whatever the corpus; all others share the class ``rare``. Bigram counts of classes are discounted by
-Good-Turing, and what that frees goes, for each history, to the classes not seen after it, in proportion
-to their unigram probability and normalised exactly. Within ``rare`` a word has (c + 1) of the class's
-tokens, types and one unseen type.
-
-Counts are tables in the shared folder, one row per bucket of hashed keys with sorted keys and counts.
-Tokens meet them by bucket: a document gives each bucket its different keys and how often it has them,
-and takes back one sum. Only what has a bound by construction is sent to all tasks: the vocabulary, one
-backoff weight per word, and the pairs that are at least 2^-19 of all.
+"""Language-model scores: a Katz backoff bigram model over all words.
+
+Bigram counts are discounted by Good-Turing, and what that frees goes, for each history, to the words not
+seen after it, in proportion to their unigram probability and normalised exactly. A word never seen has
+(0 + 1) of the tokens, types and one unseen type. With ``least_part`` words with a smaller part of the
+tokens share one class instead, in which a word has (c + 1) of the class's tokens, types and one unseen type.
+
+Counts are tables in the shared folder, one row per bucket with sorted keys. A pair stands in the bucket of
+its history; where that is hot, of its word; where both are, of the pair. log10 p(w|v) is taken apart: each
+token adds what its word has as a word and as a history (unigram and backoff weight: a document's words are
+its histories as well), and a pair that was seen adds the difference to its discounted share. So tokens
+meet one table by word and one by pair: a document gives each bucket its different keys and how often it
+has them, and takes back one sum. Hot words and pairs, at least 2^-19 of all, are sent to all tasks too;
+that saves their look-up and changes no result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,16 +28,21 @@ from facetwise.llm.common import (
     LOWER, Docs, blob, buckets_of, column_bytes, group_sums, ids_array, mixed, plain, slices, split_words, stored, word_hashes,
 )
 
-#: Least part of the tokens, or of the pairs, that what is sent to all tasks has.
-LEAST_PART = 2.0**-19
+#: Least part of the tokens, or of the pairs, that is sent to all tasks; the rest is looked up.
+HOT_PART = 2.0**-19
 #: Counts up to this are discounted.
 DISCOUNTED = 5
-END_HASH = np.uint64(0x2545F4914F6CDD1D)
-RARE, END = 0, 1
-ID_BITS = 20
+END_HASH, RARE_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 TABLE = "bucket int, keys binary, counts binary, total long, distinct long, repeats array<long>"
+PAIR_COUNTS = "bucket int, v binary, w binary, counts binary, total long, repeats array<long>"
+#: Of one bucket: pairs, what a seen one adds, and the place of its history if that is hot; cold words,
+#: their counts and what a token of them adds; sums by hot history; the pairs that are hot.
+WEIGHED = (
+    "bucket int, pairs binary, adds binary, of binary, words binary, word_counts binary, word_adds binary, "
+    "hot binary, mass binary, seen binary, top binary, top_adds binary, top_of binary"
+)
 ENTRIES = "bucket int, kind int, keys binary, low binary, ids binary, n binary"
-PAIR, WORD, OWN, PAIR_TABLE, WORD_TABLE = range(5)
+PAIR, WORD, OWN, PAIR_TABLE, WORD_TABLE, ANSWER = range(6)
 
 
 def training_rows(id_col: str = "doc_id") -> Column:
@@ -43,20 +51,19 @@ def training_rows(id_col: str = "doc_id") -> Column:
 
 
 class Model(NamedTuple):
-    """What all tasks hold: sorted hashes of the vocabulary (ids from 2 on), their counts, and by id the
-    unigram probability, backoff weight, scale, and count as a history; discounts by count; heavy pairs."""
+    """What all tasks hold: sorted hashes of hot words, their counts, what a token of each adds, and what
+    all seen pairs of each as a history add; hot pairs and what they add; what an unknown word adds. With
+    classes, the words that are no part of the rare one; every class is hot then."""
 
     words: np.ndarray
-    word_counts: np.ndarray
-    uni: np.ndarray
-    alpha: np.ndarray
-    scale: np.ndarray
-    history: np.ndarray
-    discount: np.ndarray
+    counts: np.ndarray
+    adds: np.ndarray
+    after: np.ndarray
     pairs: np.ndarray
-    pair_counts: np.ndarray
-    rare_total: int
-    rare_distinct: int
+    pair_adds: np.ndarray
+    unknown: float
+    vocabulary: np.ndarray | None
+    buckets: int
 
 
 # ---------------------------------------------------------------- counting
@@ -75,18 +82,38 @@ def _tokens(part: Docs) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(n), np.diff(words.first) + 1)
 
 
-def _ids_of(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(words, hashes)
-    found = np.where((at < len(words)) & (np.append(words, np.uint64(0))[at] == hashes), at + 2, RARE)
-    return np.where(hashes == END_HASH, END, found)
+def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places in a sorted table, -1 where a key is not in it."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Values at places, 0 at -1."""
+    return np.append(values, np.zeros(1, values.dtype))[places]
+
+
+def _classes(hashes: np.ndarray, vocabulary: np.ndarray | None) -> np.ndarray:
+    if vocabulary is None:
+        return hashes
+    return np.where((_find(hashes, vocabulary) >= 0) | (hashes == END_HASH), hashes, RARE_HASH)
 
 
-def _pair_keys(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """A key for each token with the one before it; before the first stands the end."""
-    before = np.roll(ids, 1)
-    first = np.diff(doc, prepend=-1) != 0
-    before[first] = END
-    return (before.astype(np.uint64) << np.uint64(ID_BITS)) | ids.astype(np.uint64)
+def _before(w: np.ndarray, doc: np.ndarray, end) -> np.ndarray:
+    """Of each token the one before it; before the first stands the end."""
+    v = np.roll(w, 1)
+    v[np.diff(doc, prepend=-1) != 0] = end
+    return v
+
+
+def _pair_hashes(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(v * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def _pair_bucket(v: np.ndarray, w: np.ndarray, pairs: np.ndarray, v_hot: np.ndarray, w_hot: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(np.where(v_hot, np.where(w_hot, pairs, w), v), n)
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -124,6 +151,40 @@ def _count_table(rows: DataFrame, keys_of, n: int, label: str) -> DataFrame:
     return stored(merged, label)
 
 
+def _count_pairs(rows: DataFrame, hot, vocabulary: np.ndarray | None, n: int) -> DataFrame:
+    """Counts of pairs, merged in each task, then by bucket: one row per bucket."""
+
+    def merged(v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        pairs = _pair_hashes(v, w)
+        order = np.argsort(pairs, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(pairs[order]) != 0)[: len(pairs)])
+        return v[order[at]], w[order[at]], np.add.reduceat(counts[order], at) if len(at) else counts
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = hot.value[0]
+        for part in slices(batches, 12 << 20):
+            hashes, doc = _tokens(part)
+            w = _classes(hashes, vocabulary)
+            v, w, counts = merged(_before(w, doc, END_HASH), w, np.ones(len(w), np.int64))
+            bucket = _pair_bucket(v, w, _pair_hashes(v, w), _find(v, words) >= 0, _find(w, words) >= 0, n)
+            some = [(b, blob(v[i]), blob(w[i]), blob(counts[i].astype(np.uint32))) for b, i in _split(bucket)]
+            columns = list(zip(*some)) if some else [()] * 4
+            kinds = [pa.int32(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "v", "w", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        v, w = (np.concatenate(column_bytes(table[c], np.uint64)) for c in ("v", "w"))
+        v, w, counts = merged(v, w, np.concatenate(column_bytes(table["counts"], np.uint32)).astype(np.int64))
+        repeats = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+        row = [table["bucket"][0].as_py(), blob(v), blob(w), blob(counts), int(counts.sum()), repeats.tolist()]
+        kinds = [pa.int32(), *[pa.binary()] * 3, pa.int64(), pa.list_(pa.int64())]
+        names = ["bucket", "v", "w", "counts", "total", "repeats"]
+        return pa.Table.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+    found = rows.mapInArrow(count, "bucket int, v binary, w binary, counts binary")
+    return stored(found.groupBy("bucket").applyInArrow(merge, PAIR_COUNTS), "pair-counts")
+
+
 def _heavy(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Keys with at least ``least`` occurrences, sorted, and their counts: at most total / least."""
 
@@ -139,10 +200,8 @@ def _heavy(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _totals(table: DataFrame) -> tuple[int, int, list[int]]:
-    sums = [F.coalesce(F.sum(F.col("repeats")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]
-    r = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)), *sums).first()
-    return r[0], r[1], list(r[2:])
+def _repeats(table: DataFrame) -> list[int]:
+    return list(table.agg(*[F.coalesce(F.sum(F.col("repeats")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first())
 
 
 def good_turing(repeats: list[int]) -> np.ndarray:
@@ -158,6 +217,21 @@ def good_turing(repeats: list[int]) -> np.ndarray:
     return out
 
 
+def _backoff(count: np.ndarray, mass: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By history, from its count, the discounted count of what follows, and the unigram probability of all
+    that follows: log10 of its backoff weight, and what a seen pair of it adds besides its own part."""
+    left = np.where(count > 0, 1 - mass / np.maximum(count, 1), 1.0)
+    # Where nothing is discounted one occurrence is held back, so that no word is impossible.
+    scale = np.where(left < 1 / (count + 1), count / (count + 1) / np.maximum(1 - left, 1e-300), 1.0)
+    scale[count == 0] = 1.0
+    left = np.where(count > 0, 1 - scale * mass / np.maximum(count, 1), 1.0)
+    # After a history that every class follows nothing is left to back off to: then it has all mass.
+    full = 1 - seen < 1e-9
+    scale[full] /= np.maximum(1 - left[full], 1e-300)
+    back = np.log10(np.where(full, 1.0, left / np.maximum(1 - seen, 1e-300)))
+    return back, np.log10(scale / np.maximum(count, 1)) - back
+
+
 class Fitted(NamedTuple):
     model: Model
     words: DataFrame
@@ -166,136 +240,204 @@ class Fitted(NamedTuple):
     distinct: int
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_part: float = LEAST_PART) -> Fitted:
-    """Counts of all words and of all pairs of classes in all texts, and the model that follows."""
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_part: float = 0.0, hot_part: float = HOT_PART) -> Fitted:
+    """Counts of all words and of all pairs in all texts, and the model that follows.
+
+    ``least_part``: words with a smaller part of the tokens share one class; 0: every word is its own.
+    ``hot_part``: part of the tokens from which a word or pair is sent to all tasks; no result depends on it.
+    """
     rows = plain(train, id_col, text_col)
+    context = rows.sparkSession.sparkContext
     n = buckets_of(rows.sparkSession, 1)
     word_table = _count_table(rows, lambda part: _tokens(part)[0], n, "word-counts")
-    total, distinct, _ = _totals(word_table)
-    words, counts = _heavy(word_table, max(1.0, total * least_part))
-    keep = words != END_HASH
-    ends = rows.count()
-    words, counts = words[keep], counts[keep]
-
-    def pair_keys(part: Docs) -> np.ndarray:
-        hashes, doc = _tokens(part)
-        return _pair_keys(_ids_of(hashes, words), doc)
-
-    pair_table = _count_table(rows, pair_keys, n, "pair-counts")
-    pair_total, _, repeats = _totals(pair_table)
-    pairs, pair_counts = _heavy(pair_table, max(1.0, pair_total * least_part))
-    discount = good_turing(repeats)
-
-    classes = np.concatenate([[total - ends - counts.sum(), ends], counts]).astype(np.float64)
-    uni = (classes + 1) / (classes.sum() + len(classes))
-    history, mass, seen = _histories(pair_table, discount, uni)
-    left = np.where(history > 0, 1 - mass / np.maximum(history, 1), 1.0)
-    # Where nothing is discounted one occurrence is held back, so that no class is impossible.
-    scale = np.where(left < 1 / (history + 1), history / (history + 1) / np.maximum(1 - left, 1e-300), 1.0)
-    scale[history == 0] = 1.0
-    left = np.where(history > 0, 1 - scale * mass / np.maximum(history, 1), 1.0)
-    # After a history that every class follows nothing is left to back off to: then it has all mass.
-    open_part = 1 - seen
-    full = open_part < 1e-9
-    scale[full] /= np.maximum(1 - left[full], 1e-300)
-    alpha = np.where(full, 0.0, left / np.maximum(open_part, 1e-300))
-    rare = int(classes[RARE])
-    model = Model(words, counts, uni, alpha, scale, history, discount, pairs, pair_counts, rare, distinct - len(words) - (ends > 0))
-    return Fitted(model, word_table, pair_table, total, distinct)
-
+    r = word_table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    total, distinct = r[0], r[1]
+    words, counts = _heavy(word_table, max(1.0, total * (least_part or hot_part)))
+    vocabulary, classes = None, max(distinct, 1) + 1  # the end, and one for all that is unknown
+    if least_part:
+        keep = words != END_HASH
+        vocabulary, heavy, ends = words[keep], counts[keep], rows.count()
+        rare = int(total - ends - heavy.sum()), int(distinct - len(vocabulary) - (ends > 0))
+        classes = len(vocabulary) + 2
+        words = np.append(vocabulary, [END_HASH, RARE_HASH])
+        order = np.argsort(words)
+        words, counts = words[order], np.append(heavy, [ends, rare[0]])[order]
+    hot = context.broadcast((words, counts))  # bounded by the part
+    base = float(total + classes)
+
+    pair_table = _count_pairs(rows, hot, vocabulary, n)
+    discount = good_turing(_repeats(pair_table))
+    weighed = _weighed(pair_table, None if least_part else word_table, hot, discount, base, max(1.0, total * hot_part), n)
+    mass, seen = _hot_sums(weighed, len(words))
+    back, after = _backoff(counts, mass, seen)
+    adds = back + np.log10((counts + 1) / base)
+    top = weighed.where(F.length("top") > 0).select("top", "top_adds", "top_of").collect()
+    pairs, pair_adds, of = (
+        np.concatenate([np.empty(0, t), *(np.frombuffer(r[k], t) for r in top)]) for k, t in enumerate((np.uint64, np.float64, np.int32))
+    )
+    order = np.argsort(pairs)
+    pairs, pair_adds = pairs[order], (pair_adds + _at(after, of))[order]
+    # With classes this is the rest of an unknown word's share in the rare class.
+    unknown = -math.log10(sum(rare) + 1) if least_part else -math.log10(base)
+    model = Model(words, counts, adds, after, pairs, pair_adds, unknown, vocabulary, n)
+    none = F.lit(b"")
+    known = (
+        word_table.select("bucket", "keys", none.alias("adds"), "counts")
+        if least_part
+        else weighed.select("bucket", F.col("words").alias("keys"), F.col("word_adds").alias("adds"), F.col("word_counts").alias("counts"))
+    )
+    return Fitted(model, known, weighed.select("bucket", "pairs", "adds", "of"), total, distinct)
+
+
+def _counts_for_pairs(pair_table: DataFrame, word_table: DataFrame, hot, n: int) -> DataFrame:
+    """For each bucket of pairs the counts of its words that are not hot: (bucket, v: words, counts)."""
+    columns = ["bucket", "source", "keys", "counts"]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-def _histories(pair_table: DataFrame, discount: np.ndarray, uni: np.ndarray):
-    """By class: its count as a history, the discounted count of what follows, and the unigram probability
-    of all that follows. One row per class reaches the driver."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, c in zip(column_bytes(batch.column(0), np.uint64), column_bytes(batch.column(1), np.int64)):
-                d = discount[np.where(c <= DISCOUNTED, c, 0)] * c
-                v, *s = group_sums(k >> np.uint64(ID_BITS), c, d, uni[(k & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), *(pa.array(x) for x in s)], ["v", "c", "d", "p"])
-
-    rows = pair_table.select("keys", "counts").mapInArrow(sums, "v long, c long, d double, p double")
-    found = rows.groupBy("v").agg(F.sum("c"), F.sum("d"), F.sum("p")).toArrow()
-    out = np.zeros((3, len(uni)))
-    at = found.column(0).to_numpy()
-    for k in range(3):
-        out[k, at] = found.column(k + 1).to_numpy()
+            some = []
+            for source, w in zip(batch.column("bucket").to_pylist(), column_bytes(batch.column("w"), np.uint64)):
+                w = np.unique(w[_find(w, hot.value[0]) < 0])
+                some += [(b, source, blob(w[i]), b"") for b, i in _split(_bucket(w, n))]
+            columns_of = list(zip(*some)) if some else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_of, kinds)], columns)
+
+    def answer(table: pa.Table) -> pa.Table:
+        source = table["source"].to_numpy()
+        here = table.filter(pa.array(source < 0))
+        keys = np.concatenate([np.empty(0, np.uint64), *column_bytes(here["keys"], np.uint64)])
+        counts = np.concatenate([np.empty(0, np.int64), *column_bytes(here["counts"], np.int64)])
+        asked = column_bytes(table.filter(pa.array(source >= 0))["keys"], np.uint64)
+        found = [blob(_at(counts, _find(w, keys))) for w in asked]
+        out = [pa.array(source[source >= 0], pa.int32()), pa.array([blob(w) for w in asked], pa.binary()), pa.array(found, pa.binary())]
+        return pa.Table.from_arrays(out, ["bucket", "v", "counts"])
+
+    asks = pair_table.select("bucket", "w").mapInArrow(ask, "bucket int, source int, keys binary, counts binary")
+    met = asks.union(word_table.select("bucket", F.lit(-1).alias("source"), "keys", "counts"))
+    return met.groupBy("bucket").applyInArrow(answer, "bucket int, v binary, counts binary")
+
+
+def _weighed(pair_table: DataFrame, word_table: DataFrame | None, hot, discount: np.ndarray, base: float, top: float, n: int) -> DataFrame:
+    """The pairs with what they add. All pairs of a history that is not hot stand in one bucket."""
+
+    def weigh(table: pa.Table) -> pa.Table:
+        words, word_counts = hot.value
+        kind = table["kind"].to_numpy()
+        pairs, answers = (table.filter(pa.array(kind == k)) for k in (PAIR_TABLE, ANSWER))
+        v, w = (np.concatenate([np.empty(0, np.uint64), *column_bytes(pairs[c], np.uint64)]) for c in ("v", "w"))
+        c = np.concatenate([np.empty(0, np.int64), *column_bytes(pairs["counts"], np.int64)])
+        keys = np.concatenate([np.empty(0, np.uint64), *column_bytes(answers["v"], np.uint64)])
+        counts = np.concatenate([np.empty(0, np.int64), *column_bytes(answers["counts"], np.int64)])
+        order = np.argsort(keys)
+        at = _find(w, words)
+        p = (np.where(at >= 0, _at(word_counts, at), _at(counts[order], _find(w, keys[order]))) + 1) / base
+        d = discount[np.where(c <= DISCOUNTED, c, 0)] * c
+        adds = np.log10(d) - np.log10(p)
+        of = _find(v, words)
+        cold = of < 0
+        own, count, mass, seen = group_sums(v[cold], c[cold], d[cold], p[cold])
+        back, after = _backoff(count, mass, seen)
+        adds[cold] += after[np.searchsorted(own, v[cold])]
+        heavy = group_sums(of[~cold].astype(np.int32), d[~cold], p[~cold])
+        pair = _pair_hashes(v, w)
+        order, much = np.argsort(pair), c >= top
+        of = of.astype(np.int32)
+        row = [pair[order], adds[order], of[order], own, count, back + np.log10((count + 1) / base), *heavy, pair[much], adds[much], of[much]]
+        columns = [pa.array([table["bucket"][0].as_py()], pa.int32()), *(pa.array([blob(x)], pa.binary()) for x in row)]
+        return pa.Table.from_arrays(columns, [c.split()[0] for c in WEIGHED.split(", ")])
+
+    met = pair_table.select("bucket", F.lit(PAIR_TABLE).alias("kind"), "v", "w", "counts")
+    if word_table is not None:
+        answers = _counts_for_pairs(pair_table, word_table, hot, n)
+        met = met.union(answers.select("bucket", F.lit(ANSWER).alias("kind"), "v", F.lit(b"").alias("w"), "counts"))
+    return stored(met.groupBy("bucket").applyInArrow(weigh, WEIGHED), "pair-weights")
+
+
+def _hot_sums(weighed: DataFrame, size: int) -> np.ndarray:
+    """By hot history: the discounted count of what follows, and the unigram probability of all that follows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, d, p in zip(*(column_bytes(batch.column(k), t) for k, t in enumerate((np.int32, np.float64, np.float64)))):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(d), pa.array(p)], ["at", "d", "p"])
+
+    found = weighed.select("hot", "mass", "seen").mapInArrow(rows, "at int, d double, p double")
+    found = found.groupBy("at").agg(F.sum("d"), F.sum("p")).toArrow()
+    out = np.zeros((2, size))
+    for k in range(2):
+        out[k, found.column(0).to_numpy()] = found.column(k + 1).to_numpy()
     return out
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def pair_log10(model: Model, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 p(w|v): the discounted share if the pair was seen, else the backoff weight times p(w)."""
-    v = (keys >> np.uint64(ID_BITS)).astype(np.int64)
-    w = (keys & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
-    d = model.discount[np.where(counts <= DISCOUNTED, counts, 0)]
-    seen = model.scale[v] * d * counts / np.maximum(model.history[v], 1)
-    return np.log10(np.where(counts > 0, seen, model.alpha[v] * model.uni[w]))
-
-
-def _look_up(keys: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, counts[at], 0)
-
-
-def _entries(part: Docs, model: Model, n: int) -> list[tuple]:
+def _entries(part: Docs, model: Model) -> list[tuple]:
     """What a document has to ask of each bucket, and what it can answer itself."""
+    n = model.buckets
     hashes, doc = _tokens(part)
-    ids = _ids_of(hashes, model.words)
+    w = _classes(hashes, model.vocabulary)
+    at = _find(w, model.words)
     rows: list[tuple] = []
     own = np.zeros((4, len(part.ids)))  # tokens, known tokens, sum of log10(c + 1), sum of log10 p
     own[0] = np.bincount(doc, minlength=len(part.ids))
-    known = ids > RARE
-    ends = model.history[END]
-    count = np.where(ids == END, ends, np.append(model.word_counts, 0)[np.maximum(ids - 2, -1)])
+    hot = at >= 0
+    known = hot & (w != RARE_HASH)
+    count = _at(model.counts, at)
     own[1] = np.bincount(doc[known & (count > 0)], minlength=len(part.ids))
     own[2] = np.bincount(doc[known], np.log10(count[known] + 1), len(part.ids))
-    keys = _pair_keys(ids, doc)
-    counts = _look_up(keys, model.pairs, model.pair_counts)
-    sure = counts > 0
-    own[3] = np.bincount(doc[sure], pair_log10(model, keys[sure], counts[sure]), len(part.ids))
-    for kind, pick, key in ((PAIR, ~sure, keys), (WORD, ids == RARE, hashes)):
-        k, d = key[pick], doc[pick]
+    v = _before(w, doc, END_HASH)
+    v_at = _before(at, doc, _find(np.array([END_HASH]), model.words)[0])
+    pairs = _pair_hashes(v, w)
+    found = _find(pairs, model.pairs)
+    own[3] = np.bincount(doc, _at(model.adds, at) + _at(model.pair_adds, found), len(part.ids))
+    for kind, pick, key, bucket in (
+        (PAIR, found < 0, pairs, _pair_bucket(v, w, pairs, v_at >= 0, hot, n)),
+        (WORD, ~known, hashes, _bucket(hashes, n)),
+    ):
+        k, d, b = key[pick], doc[pick], bucket[pick]
         order = np.lexsort((k, d))
-        k, d = k[order], d[order]
-        at = np.flatnonzero((np.diff(k, prepend=k[:1] + np.uint64(1)) != 0) | (np.diff(d, prepend=-1) != 0))
-        times = np.diff(np.append(at, len(k))).astype(np.uint32)
-        k, i = k[at], part.ids[d[at]]
-        for b, x in _split(_bucket(k, n)):
-            low = k[x].astype(np.uint32)
-            high = (k[x] >> np.uint64(32)).astype(np.uint16 if kind == PAIR else np.uint32)
-            rows.append((b, kind, blob(high), blob(low), blob(np.diff(i[x], prepend=np.int64(0))), blob(times[x])))
+        k, d, b = k[order], d[order], b[order]
+        first = np.flatnonzero((np.diff(k, prepend=k[:1] + np.uint64(1)) != 0) | (np.diff(d, prepend=-1) != 0))
+        times = np.diff(np.append(first, len(k))).astype(np.uint32)
+        k, i, b = k[first], part.ids[d[first]], b[first]
+        for to, x in _split(b):
+            rows.append((to, kind, blob(k[x]), b"", blob(np.diff(i[x], prepend=np.int64(0))), blob(times[x])))
     for b, x in _split(_bucket(part.ids.view(np.uint64), n)):
         rows.append((b, OWN, b"", blob(own[:, x]), blob(part.ids[x]), b""))
     return rows
 
 
-def _answers(table: pa.Table, model: Model, n: int) -> pa.Table:
-    """In one bucket: counts looked up, and one sum per document and bucket."""
+def _answers(table: pa.Table, model: Model) -> pa.Table:
+    """In one bucket: what keys add, looked up, and one sum per document and bucket."""
+    n = model.buckets
     kind = table["kind"].to_numpy()
     of = {k: table.filter(pa.array(kind == k)) for k in range(5)}
     ids, sums = [np.empty(0, np.int64)], [np.empty((4, 0))]
-    for k, high_type, source in ((PAIR, np.uint16, PAIR_TABLE), (WORD, np.uint32, WORD_TABLE)):
+
+    def held(source: int, column: str, dtype) -> np.ndarray:
+        return np.concatenate([np.empty(0, dtype), *column_bytes(of[source][column], dtype)])
+
+    for k in (PAIR, WORD):
         rows = of[k]
         if not rows.num_rows:
             continue
-        high = np.concatenate(column_bytes(rows["keys"], high_type)).astype(np.uint64)
-        keys = (high << np.uint64(32)) | np.concatenate(column_bytes(rows["low"], np.uint32))
-        times = np.concatenate(column_bytes(rows["n"], np.uint32))
+        keys, times = held(k, "keys", np.uint64), held(k, "n", np.uint32)
         i = np.concatenate([np.cumsum(x) for x in column_bytes(rows["ids"], np.int64)])
-        known = [column_bytes(of[source][c], t) for c, t in (("keys", np.uint64), ("n", np.int64))]
-        counts = _look_up(keys, *(x[0] if x else np.empty(0, np.int64) for x in known))
         s = np.zeros((4, len(keys)))
         if k == PAIR:
-            s[3] = times * pair_log10(model, keys, counts)
+            at = _find(keys, held(PAIR_TABLE, "keys", np.uint64))
+            after = _at(model.after, _at(held(PAIR_TABLE, "low", np.int32), at))
+            s[3] = times * np.where(at >= 0, _at(held(PAIR_TABLE, "n", np.float64), at) + after, 0.0)
         else:
+            at = _find(keys, held(WORD_TABLE, "keys", np.uint64))
+            counts = _at(held(WORD_TABLE, "n", np.int64), at)
             s[1], s[2] = times * (counts > 0), times * np.log10(counts + 1)
-            s[3] = s[2] - times * np.log10(model.rare_total + model.rare_distinct + 1)
+            if model.vocabulary is not None:
+                s[3] = s[2] + times * model.unknown
+            else:
+                s[3] = times * np.where(at >= 0, _at(held(WORD_TABLE, "low", np.float64), at), model.unknown)
         i, *s = group_sums(i, *s)
         ids.append(i)
         sums.append(np.array(s))
@@ -326,22 +468,20 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
     id. Other columns are ignored; no rows give no rows; after no training all tokens are unknown.
     """
     model = fitted.model
-    n = buckets_of(docs.sparkSession, 1)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by least_part
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by hot_part, or by least_part
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 6 << 20):
-            columns = list(zip(*_entries(part, held.value, n)))
+            columns = list(zip(*_entries(part, held.value)))
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "kind", "keys", "low", "ids", "n"])
 
-    def tables(df: DataFrame, kind: int) -> DataFrame:
-        empty = F.lit(b"")
-        return df.select("bucket", F.lit(kind).alias("kind"), "keys", empty.alias("low"), empty.alias("ids"), F.col("counts").alias("n"))
+    def tables(df: DataFrame, kind: int, keys: str, low: str, n: str) -> DataFrame:
+        return df.select("bucket", F.lit(kind).alias("kind"), F.col(keys).alias("keys"), F.col(low).alias("low"), F.lit(b"").alias("ids"), F.col(n).alias("n"))
 
     entries = plain(docs, id_col, text_col).mapInArrow(ask, ENTRIES)
-    met = entries.union(tables(fitted.pairs, PAIR_TABLE)).union(tables(fitted.words, WORD_TABLE))
-    answers = met.groupBy("bucket").applyInArrow(lambda t: _answers(t, held.value, n), "part int, ids binary, sums binary")
+    met = entries.union(tables(fitted.pairs, PAIR_TABLE, "pairs", "of", "adds")).union(tables(fitted.words, WORD_TABLE, "keys", "adds", "counts"))
+    answers = met.groupBy("bucket").applyInArrow(lambda t: _answers(t, held.value), "part int, ids binary, sums binary")
     sums = answers.groupBy("part").applyInArrow(_totalled, "doc_id long, n_tokens long, n_known long, known_log double, score double")
     base = F.col("known_log") - F.col("n_tokens") * F.log10(F.lit(float(fitted.total + fitted.distinct + 1)))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(fitted.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

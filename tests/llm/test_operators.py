@@ -352,6 +352,32 @@ def test_katz_against_a_plain_model(spark, least_part):
     assert {r.n_known for r in katz.score(df, nothing).collect()} == {0}
 
 
+def test_katz_counts_bigrams_of_rare_words(spark):
+    """Some 1.2 million tokens, so that a word that occurs once is far below 2^-19 of them."""
+    rng = random.Random(12)
+    docs = [(d, " ".join(rng.choice("abcdefgh") for _ in range(100_000))) for d in range(12)] + [(20, "a qa qb b"), (21, "c qd qe d")]
+    fitted = katz.fit(frame(spark, docs))
+    asked = [(1, "a qa qb b"), (2, "a qb qa b"), (3, "a qa qe b"), (4, "a qx qy b")]
+    got = {r.doc_id: r for r in katz.score(frame(spark, asked), fitted).collect()}
+    assert [got[k].n_known for k in (1, 2, 3, 4)] == [5, 5, 5, 3]
+    assert got[1].score > got[3].score + 1 and got[1].score > got[2].score + 1 and got[3].score > got[4].score
+
+
+@pytest.mark.parametrize("hot_part", [0.004, 0.02, 2.0])
+def test_katz_does_not_depend_on_what_is_sent_to_all(spark, hot_part):
+    rng = random.Random(10)
+    vocab = [f"W{k}é" for k in range(300)]
+    docs = [(d, " ".join(rng.choice(vocab[: rng.choice([5, 40, 300])]) for _ in range(rng.randint(0, 60)))) for d in range(120)]
+    docs += [(500, None), (501, ""), (502, "never seen words"), (503, "W1é never W2é"), (1, "w1é w2é"), (None, "w3é")]
+    df = frame(spark, docs)
+    train = df.where(katz.training_rows())
+    whole, some = ({r.doc_id: r for r in katz.score(df, katz.fit(train, **k)).collect()} for k in ({"least_part": 2.0**-19}, {"hot_part": hot_part}))
+    assert whole.keys() == some.keys()
+    for i, a in whole.items():
+        b = some[i]
+        assert a[:3] == b[:3] and (a.train_tokens, a.base_score, a.score) == (b.train_tokens, pytest.approx(b.base_score), pytest.approx(b.score))
+
+
 # ---------------------------------------------------------------- 7 licenses
 
 
