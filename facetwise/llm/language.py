@@ -23,6 +23,9 @@ MARGIN = 0.005
 #: Effort of the codes; where the first leaves less than NARROW between the best two, the second is added.
 LEVELS = (9, 12)
 NARROW = 0.03
+#: A text is coded in pieces of about so many bytes, each with the dictionary fresh, so that what a dictionary
+#: saves does not shrink with the length of the text.
+PIECE_BYTES = 8 << 10
 #: Rows that a task gives back at a time.
 ROWS = 500
 LETTER = regex.compile(r"\p{L}")
@@ -69,12 +72,24 @@ def coders_of(dictionaries: list[bytes], level: int) -> list[zstandard.ZstdCompr
     return out
 
 
+def pieces_of(text: bytes) -> list[bytes]:
+    """A UTF-8 text in pieces of nearly equal size, at most about PIECE_BYTES, cut between characters."""
+    n = -(-len(text) // PIECE_BYTES) or 1
+    cuts = [len(text) * k // n for k in range(n + 1)]
+    for k in range(1, n):
+        while text[cuts[k]] & 0xC0 == 0x80:
+            cuts[k] -= 1
+    return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
 def code_lengths(text: bytes, coders: list[list[zstandard.ZstdCompressor]]) -> list[int]:
-    """Bytes of the text's code with each dictionary; with more effort too where two are nearly as short."""
-    sizes = [len(c.compress(text)) for c in coders[0]]
+    """Bytes of the codes of the text's pieces with each dictionary, summed; with more effort too where two
+    are nearly as short."""
+    pieces = pieces_of(text)
+    sizes = [sum(len(c.compress(p)) for p in pieces) for c in coders[0]]
     two = sorted(sizes)[:2]
     if len(two) == 2 and two[1] - two[0] < NARROW * two[1]:
-        sizes = [s + len(c.compress(text)) for s, c in zip(sizes, coders[1])]
+        sizes = [s + sum(len(c.compress(p)) for p in pieces) for s, c in zip(sizes, coders[1])]
     return sizes
 
 
@@ -82,7 +97,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", t
              margin: float = MARGIN, whole_row: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row; with ``whole_row`` also row, a struct of its columns.
 
-    The whole text, in lower case, is compressed with each language's dictionary; the shortest code wins,
+    The whole text, in lower case, is compressed in pieces with each language's dictionary; the shortest sum wins,
     ties go to the first name. score is the part by which it is shorter than the second-best, from 0 to 1. Rejected: no language at all, or that part under ``margin``. Null or
     letterless text, or an empty model: ``und``, score 0, rejected. Repeated rows and null ids come back
     as they are; other columns are ignored; no rows give no rows.

@@ -488,3 +488,22 @@ def test_languages_at_the_edges(spark):
     assert language.fit(none) == {} and language.identify(none, model).count() == 0
     rows = language.identify(frame(spark, docs), model, whole_row=True).select("row.*")
     assert rows.columns == frame(spark, docs).columns
+
+
+def test_long_texts_of_one_language_are_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(language.training_rows()))
+    texts = {}
+    for r in docs.where(~language.training_rows()).where("text IS NOT NULL").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    long = [(k, (lang, ("\n".join(t) * (5_000_000 // sum(map(len, t)) + 1))[:5_000_000])) for k, (lang, t) in enumerate(sorted((x for x in texts.items() if x[0] in model)))]
+    assert len(long) >= 4
+    got = {r.doc_id: r for r in language.identify(frame(spark, [(k, t) for k, (_, t) in long]), model).collect()}
+    for k, (lang, _) in long:
+        assert got[k].lang_pred == lang and not got[k].rejected and got[k].score > 0.02
+
+
+def test_pieces_of_a_text_are_whole_characters():
+    for text in ("", "a", "日本語é" * 9000, "x" * language.PIECE_BYTES):
+        cut = language.pieces_of(text.encode())
+        assert "".join(p.decode() for p in cut) == text and max(map(len, cut)) <= language.PIECE_BYTES + 4
