@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     first = first.groupBy("hash").agg(F.min("text").alias("stays")).repartition("hash", "stays")
     collided = members.join(first, "hash").where("text <> stays").select("hash")
-    bad = {bytes(r[0]) for r in collided.limit(MAX_LISTED + 1).collect()}
+    bad = {bytes(r[0]) for r in collided.distinct().limit(MAX_LISTED + 1).collect()}
 
     def answer(rows: DataFrame, of: DataFrame, keys: list[str]) -> DataFrame:
         rows = rows.select("doc_id", *keys, *[c.alias(f"carry_{name}") for name, c in (carry or {}).items()])

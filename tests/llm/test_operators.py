@@ -433,6 +433,15 @@ def test_exact_groups_even_when_hashes_collide(spark, bits, keep):
     assert exact.exact_groups(empty(spark)).count() == 0
 
 
+def test_exact_lists_hashes_not_rows(spark, monkeypatch):
+    """One collided hash with many rows must not hide the others."""
+    monkeypatch.setattr(exact, "MAX_LISTED", 5)
+    docs = [(d, f"{d:04d}") for d in range(300)] + [(1000 + d, "x" * (5 + 2 * d)) for d in range(6)]
+    df = spark.createDataFrame([(d, t, 1, "k", 2) for d, t in docs], DOCS).coalesce(1)
+    got = exact.exact_groups(df, content_hash=lambda t: F.hex(F.length(t) % 2).cast("binary")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(d, d, 1) for d, _ in docs]
+
+
 # ---------------------------------------------------------------- 9 passages
 
 
