@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from facetwise.llm import exact, katz, language, licenses, lines, packing, pieces, simhash, substrings, vectors
+from facetwise.llm import exact, katz, language, licenses, lines, packing, phrases, pieces, resampling, simhash, substrings, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,6 +161,61 @@ def op10_language_id(spark, sf_dir):
     )
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PHRASES_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({lower}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS f
+      FROM p, LATERAL (SELECT unnest(range(1, 5)) AS s), LATERAL (SELECT unnest(range(1, len(w) - s + 2)) AS i) GROUP BY ALL),
+h AS (SELECT lang, s, phrase, f, string_split(phrase, ' ') AS w FROM g WHERE f >= 30),
+cuts AS (SELECT h.lang, h.phrase, h.s, h.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * h.f // (x.f + y.f))::BIGINT AS score
+         FROM h, LATERAL (SELECT unnest(range(1, s)) AS k)
+         JOIN h x ON x.lang = h.lang AND x.phrase = array_to_string(h.w[1:k], ' ')
+         JOIN h y ON y.lang = h.lang AND y.phrase = array_to_string(h.w[k + 1 :], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ins AS (SELECT lang, f, array_to_string(w[i : i + z - 1], ' ') AS phrase
+        FROM h, LATERAL (SELECT unnest(range(2, s)) AS z), LATERAL (SELECT unnest(range(1, s - z + 2)) AS i)),
+gone AS (SELECT DISTINCT low.lang, low.phrase FROM low JOIN ins ON ins.lang = low.lang AND ins.phrase = low.phrase AND 100 * ins.f >= 80 * low.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low ANTI JOIN gone USING (lang, phrase) JOIN totals USING (lang) QUALIFY rank <= 2000
+""".replace("{lower}", LOWER_SQL)
+
+
+@query(PHRASES_SQL)
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+# Words of {table} with their buckets: the CRC-32 is worked out byte by byte from its table.
+RESAMPLING_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT unnest(list_filter(string_split_regex({lower}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+u AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT unnest(w) AS w FROM d UNION ALL SELECT w FROM b)),
+k AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i : i + 1])::BIGINT),
+                    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM u, crc),
+x AS (SELECT doc_id, bucket FROM (SELECT doc_id, unnest(w) AS w FROM d) JOIN k USING (w)),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM x GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM b JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)
+             / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+m AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN g USING (bucket) GROUP BY doc_id),
+e AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+f AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank FROM f LEFT JOIN r USING (doc_id)
+""".replace("{lower}", LOWER_SQL)
+
+
+@query(RESAMPLING_SQL)
+def op13_importance_resampling(spark, sf_dir):
+    ranked = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query()
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, one after the other."""
