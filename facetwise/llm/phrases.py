@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from facetwise.llm.common import LOWER, SLICE_BYTES, Docs, Words, mixed, slices, split_words, stored, word_hashes
+from facetwise.llm.common import LOWER, MASKS, SLICE_BYTES, Docs, Words, mixed, slices, split_words, stored, word_hashes
 
 UNKNOWN = "und"
 #: Pieces end here; words stand between these, spaces and tabs.
@@ -83,6 +83,21 @@ class Grams:
         m = max(len(self.doc) - n + 1, 0)
         return self.piece[:m] == self.piece[n - 1 : n - 1 + m]
 
+    def same_words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words have equal bytes, pair by pair, eight bytes of all pairs at a time."""
+        start, length = self.words.start, self.words.length
+        padded = np.concatenate([self.docs.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(self.docs.data) + 1,), "<u8", buffer=padded, strides=(1,))
+        same = length[a] == length[b]
+        todo, at = np.flatnonzero(same & (a != b)), 0
+        while len(todo):
+            left = MASKS[np.minimum(length[a[todo]] - at, 8)]
+            equal = (lanes[start[a[todo]] + at] & left) == (lanes[start[b[todo]] + at] & left)
+            same[todo[~equal]] = False
+            at += 8
+            todo = todo[equal & (length[a[todo]] > at)]
+        return same
+
     def texts(self, at: np.ndarray, n: int) -> pa.Array:
         """The ``n`` words from each given word on, joined by one space."""
         which = (at[:, None] + np.arange(n)).ravel()
@@ -133,6 +148,8 @@ def _parts(batches: Iterator[pa.RecordBatch], collided: np.ndarray, bits: int, l
     for batch in batches:
         langs = batch.column(1).dictionary_encode()
         codes = [np.uint64(xxhash.xxh64_intdigest(x.as_py())) for x in langs.dictionary]
+        if len(set(codes)) < len(codes):
+            raise ValueError("two languages share a hash")
         code = np.array(codes, np.uint64)[langs.indices.to_numpy(zero_copy_only=False)] if codes else np.empty(0, np.uint64)
         pointers = batch.column(0).to_numpy(zero_copy_only=False)
         rows = pa.array(np.arange(batch.num_rows, dtype=np.int64))
@@ -188,9 +205,13 @@ def _words(collided, bits, limit):
         for g, _, langs in _parts(batches, collided, bits, limit):
             if not len(g.doc):
                 continue
-            fp, first, n = np.unique(g.prints(1), return_index=True, return_counts=True)
-            lang = langs.take(pa.array(g.doc[first]))
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n.astype(np.int64)), lang, g.texts(first, 1)], names)
+            fp, first, back, n = np.unique(g.prints(1), return_index=True, return_inverse=True, return_counts=True)
+            odd = np.flatnonzero(~g.same_words(first[back], np.arange(len(back))))  # other words under the fingerprint
+            n = n - np.bincount(back[odd], minlength=len(n))
+            fp, at = np.concatenate([fp, fp[back[odd]]]), np.concatenate([first, odd])
+            n = np.concatenate([n, np.ones(len(odd), np.int64)]).astype(np.int64)
+            lang = langs.take(pa.array(g.doc[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n), lang, g.texts(at, 1)], names)
             code, first, n = np.unique(g.lang, return_index=True, return_counts=True)
             lang = langs.take(pa.array(g.doc[first]))
             empty = pa.array([""] * len(code), pa.string())
