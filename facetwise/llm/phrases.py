@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from facetwise.llm.common import LOWER, MASKS, SLICE_BYTES, Docs, Words, mixed, slices, split_words, stored, word_hashes
+from facetwise.llm.common import LOWER, MASKS, Docs, Words, mixed, slices, split_words, stored, word_hashes
 
 UNKNOWN = "und"
 #: Pieces end here; words stand between these, spaces and tabs.
@@ -36,9 +36,11 @@ BREAKS = ENDS.copy()
 BREAKS[[0x20, 0x09]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Entries that a task adds up before it gives them away.
-ENTRIES = 1 << 21
+#: Bytes of text at a time, and entries that a task adds up before it gives them away.
+SLICE = 2 << 20
+ENTRIES = 1 << 20
 MAX_BITS = 27
+SHARES = 32
 #: Words that share a fingerprint with another; more of them than this stop the job.
 MAX_COLLIDED = 100_000
 WORDS = "fp long, n long, lang string, word string"
@@ -280,7 +282,7 @@ def _word_counts(rows: DataFrame, min_count: int, bits: int, limit: int) -> tupl
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 4, min_count: int = 30, id_col: str = "doc_id", text_col: str = "text",
-                  lang_col: str = "lang", bits: int = 64, limit: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame]:
+                  lang_col: str = "lang", bits: int = 64, limit: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``max_words`` words that stand ``min_count`` times or more: (lang, size, phrase, a); and the
     words of each language: (lang, n).
 
@@ -361,7 +363,9 @@ def collocations(docs: DataFrame, max_words: int = 4, min_count: int = 30, conta
     ).groupBy("lang", "phrase").agg(F.max("outer").alias("outer"))
     wide = lambda c, by: F.lit(by).cast("decimal(3,0)") * F.col(c).cast("decimal(20,0)")
     free = lowest.join(inner, ["lang", "phrase"], "left").where(F.col("outer").isNull() | (wide("outer", 100) < wide("a", contained)))
-    ranked = free.select("lang", "phrase", "a", "best.l", "best.r", "best.score").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
-    ).where(F.col("rank") <= top)
+    # The best of each share of a language's phrases first, so that the last ranking reads SHARES * top rows at most.
+    order = F.desc("score"), F.desc("a"), "phrase"
+    ranked = free.select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share"))
+    for by in (["lang", "share"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
