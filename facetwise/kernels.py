@@ -205,65 +205,373 @@ def pair_sums(pairs: list[tuple[int, int, int]]):
     return run
 
 
-def arma_residuals(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of squares and last residual of w[t] = phi w[t-1] + e[t] + theta e[t-1], for many
-    parameter pairs at once, starting from a zero residual."""
-    e = np.zeros_like(phi)
-    total = np.zeros_like(phi)
-    for now, before in zip(w[1:], w[:-1]):
-        e = now - phi * before - theta * e
-        total += e * e
-    return total, e
-
-
-def fit_arma(w: np.ndarray, rounds: int = 6, side: int = 15) -> tuple[float, float, float, float]:
-    """Conditional least squares for phi and theta by a grid that closes in on its best point
-    -> phi, theta, residual variance, last residual."""
-    phi, theta, reach = 0.0, 0.0, 0.98
-    for _ in range(rounds):
-        steps = np.linspace(-reach, reach, side)
-        p, q = np.meshgrid(np.clip(phi + steps, -0.98, 0.98), np.clip(theta + steps, -0.98, 0.98))
-        p, q = p.ravel(), q.ravel()
-        total, last = arma_residuals(w, p, q)
-        # Equal fits (white noise has a ridge) go to the smallest parameters.
-        best = np.lexsort((np.abs(p) + np.abs(q), np.round(total, 12)))[0]
-        phi, theta = float(p[best]), float(q[best])
-        result = float(total[best]), float(last[best])
-        reach = 2.0 * reach / (side - 1)
-    return phi, theta, result[0] / max(len(w) - 1, 1), result[1]
-
-
-def arima_forecast(y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """ARIMA(1,1,1) without constant -> forecast means and standard errors."""
-    w = np.diff(y)
-    phi, theta, variance, last = fit_arma(w)
+#: Bounds of both parameters, and how many grid points a side the search starts from.
+ARMA_BOUND = 0.98
+ARMA_SIDE = 15
+#: Products of residual e and its derivatives p (by phi) and q (by theta) that a Gauss-Newton step needs.
+FIRST, SECOND = np.array([0, 1, 2, 1, 0, 0]), np.array([0, 1, 2, 2, 1, 2])
+
+
+def arma_grid() -> tuple[np.ndarray, np.ndarray]:
+    steps = np.linspace(-ARMA_BOUND, ARMA_BOUND, ARMA_SIDE)
+    p, q = np.meshgrid(steps, steps)
+    return p.ravel(), q.ravel()
+
+
+def strands(*series: np.ndarray):
+    """Consecutive stretches of equal length side by side as (step, strand), then the rest as one strand."""
+    n = len(series[0])
+    length = max(int(np.sqrt(n)), 1)
+    whole = n - n % length
+    if whole:
+        yield [x[:whole].reshape(-1, length).T for x in series]
+    if whole < n:
+        yield [x[whole:].reshape(-1, 1) for x in series]
+
+
+def residual_map(now: np.ndarray, before: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """What a stretch does to the residual r before it, for many parameters: the last residual is m0 + m1 r,
+    the sum of squares m2 + 2 m3 r + m4 r r. Residuals are e[t] = now[t] - phi before[t] - theta e[t-1]."""
+    out = np.stack([np.zeros_like(phi), np.ones_like(phi), *[np.zeros_like(phi)] * 3])
+    for a, b in strands(now, before):
+        e = np.zeros((a.shape[1], len(phi)))
+        c, s0, s1, s2 = np.ones_like(phi), np.zeros_like(e), np.zeros_like(e), np.zeros_like(phi)
+        for x, y in zip(a, b):
+            e = x[:, None] - phi * y[:, None] - theta * e
+            c = -theta * c
+            s0 += e * e
+            s1 += e * c
+            s2 += c * c
+        for k in range(a.shape[1]):
+            out = then(out, np.stack([e[k], c, s0[k], s1[k], s2]))
+    return out
+
+
+def then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One residual map after another."""
+    e, c, s0, s1, s2 = first
+    f, d, t0, t1, t2 = second
+    return np.stack([f + d * e, d * c, s0 + t0 + 2 * t1 * e + t2 * e * e, s1 + t1 * c + t2 * e * c, s2 + t2 * c * c])
+
+
+def newton_map(now: np.ndarray, before: np.ndarray, phi: float, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch does to the state (e, p, q, 1) before it, p and q the derivatives of e: the matrix that gives
+    the state after it, and six matrices whose quadratic forms are the sums of the products FIRST by SECOND."""
+    move, forms = np.eye(4), np.zeros((6, 4, 4))
+    for a, b in strands(now, before):
+        n = a.shape[1]
+        z, sums = np.zeros((n, 3, 4)), np.zeros((n, 6, 4, 4))
+        e, p, q, c, k = np.zeros(n), np.zeros(n), np.zeros(n), 1.0, 0.0
+        for x, y in zip(a, b):
+            q = -e - theta * q
+            e = x - phi * y - theta * e
+            p = -y - theta * p
+            c, k = -theta * c, -c - theta * k
+            z[:, 0, 0] = z[:, 1, 1] = z[:, 2, 2] = c
+            z[:, 2, 0] = k
+            z[:, 0, 3], z[:, 1, 3], z[:, 2, 3] = e, p, q
+            sums += z[:, FIRST, :, None] * z[:, SECOND, None, :]
+        for one, part in zip(z, sums):
+            forms = forms + move.T @ part @ move
+            move = np.vstack([one, [0.0, 0.0, 0.0, 1.0]]) @ move
+    return move, forms
+
+
+def search_start(totals: np.ndarray) -> tuple[float, float]:
+    """The best grid point; equal fits (white noise has a ridge) go to the smallest parameters."""
+    p, q = arma_grid()
+    least = totals.min()
+    best = np.lexsort((np.abs(p) + np.abs(q), np.round(totals / least, 9) if least > 0 else totals))[0]
+    return float(p[best]), float(q[best])
+
+
+#: State of a search: the point to look at, the best point and its sum, gradient, curvature and last residual, the
+#: damping, and whether the search has ended.
+SEARCH = ("phi", "theta", "best_phi", "best_theta", "best", "g0", "g1", "h00", "h01", "h11", "last", "damping", "done")
+
+
+def search_state(phi: float, theta: float) -> dict[str, float]:
+    return dict.fromkeys(SEARCH, 0.0) | {"phi": phi, "theta": theta, "best": np.inf, "damping": 1e-3}
+
+
+def search_step(state: dict[str, float], sums: np.ndarray, last: float) -> dict[str, float]:
+    """One damped Gauss-Newton step from the sums at the point looked at."""
+    s = dict(state)
+    if sums[0] < s["best"]:
+        gain = s["best"] - sums[0]
+        s.update(best_phi=s["phi"], best_theta=s["theta"], best=float(sums[0]), last=float(last), damping=max(s["damping"] / 10, 1e-12))
+        s.update(h00=float(sums[1]), h11=float(sums[2]), h01=float(sums[3]), g0=float(sums[4]), g1=float(sums[5]))
+        s["done"] = float(gain <= 1e-15 * sums[0])
+    else:
+        s["damping"] *= 10
+        s["done"] = float(s["damping"] > 1e8)
+    a, d, b = s["h00"] * (1 + s["damping"]), s["h11"] * (1 + s["damping"]), s["h01"]
+    det = a * d - b * b
+    if det <= 0:
+        s["done"] = 1.0
+        return s
+    step = np.array([-(d * s["g0"] - b * s["g1"]), -(a * s["g1"] - b * s["g0"])]) / det
+    point = np.array([s["best_phi"], s["best_theta"]])
+    new = np.clip(point + step, -ARMA_BOUND, ARMA_BOUND)
+    held = (np.abs(point) == ARMA_BOUND) & (new == point)
+    if held.any():  # along the bound only the other parameter moves
+        step = np.where(held, 0.0, -np.array([s["g0"], s["g1"]]) / np.array([a, d]))
+        new = np.clip(point + step, -ARMA_BOUND, ARMA_BOUND)
+    s["phi"], s["theta"] = float(new[0]), float(new[1])
+    if np.abs(new - point).max() < 1e-11:
+        s["done"] = 1.0
+    return s
+
+
+MAX_STEPS = 200
+
+
+def fit_arma(w: np.ndarray) -> tuple[float, float, float, float]:
+    """Conditional least squares for phi and theta of w[t] = phi w[t-1] + e[t] + theta e[t-1], from a residual of zero:
+    the best of a grid, then damped Gauss-Newton -> phi, theta, residual variance, last residual."""
+    now, before = w[1:], w[:-1]
+    state = search_state(*search_start(residual_map(now, before, *arma_grid())[2]))
+    for _ in range(MAX_STEPS):
+        move, forms = newton_map(now, before, state["phi"], state["theta"])
+        state = search_step(state, forms[:, 3, 3], move[0, 3])
+        if state["done"]:
+            break
+    return state["best_phi"], state["best_theta"], state["best"] / max(len(w) - 1, 1), state["last"]
+
+
+def arima_ahead(level: float, change: float, last: float, phi: float, theta: float, variance: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """ARIMA(1,1,1) without constant, from the last level, change and residual -> forecast means and standard errors."""
     changes = np.empty(steps)
-    changes[0] = phi * w[-1] + theta * last
+    changes[0] = phi * change + theta * last
     for i in range(1, steps):
         changes[i] = phi * changes[i - 1]
     # Weights of past shocks on the level: running sums of 1, phi + theta, phi (phi + theta), ...
     psi = np.concatenate([[1.0], (phi + theta) * phi ** np.arange(steps - 1)])
     errors = np.sqrt(variance * np.cumsum(np.cumsum(psi) ** 2))
-    return y[-1] + np.cumsum(changes), errors
+    return level + np.cumsum(changes), errors
+
+
+def arima_forecast(y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forecast means and standard errors of a whole series."""
+    w = np.diff(y)
+    phi, theta, variance, last = fit_arma(w)
+    return arima_ahead(y[-1], w[-1], last, phi, theta, variance, steps)
 
 
 NORMAL_975 = 1.959963984540054
 
 
-def arima_forecaster(n_keys: int, steps: int, min_points: int):
-    """A grouped pandas function: one row per future step."""
+def ahead_columns(mean: np.ndarray, error: np.ndarray) -> dict[str, np.ndarray]:
+    return {"i": np.arange(1, len(mean) + 1), "value": mean, "lower": mean - NORMAL_975 * error, "upper": mean + NORMAL_975 * error}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [f"k{i}" for i in range(n_keys)] + ["i", "value", "lower", "upper"]
-        y = pdf.sort_values("ts")["value"].to_numpy(dtype=float)
-        if len(y) < min_points:
-            return pd.DataFrame(columns=columns)
-        mean, error = arima_forecast(y, steps)
-        rows = {f"k{i}": [key[i]] * steps for i in range(n_keys)}
-        rows.update(
-            i=np.arange(1, steps + 1), value=mean, lower=mean - NORMAL_975 * error, upper=mean + NORMAL_975 * error
-        )
-        return pd.DataFrame(rows, columns=columns)
+
+def block_packer(n_keys: int, size: int):
+    """A ``mapInArrow`` function over rows (keys, us, value) in order: consecutive points of a series as one row of
+    arrays, at most ``size`` points each -> keys, seq, n, us, value."""
+
+    def run(batches):
+        rows, held, seq, bulk = [], None, 0, 0
+        kinds = names = None
+
+        def out():
+            arrays = [pa.array([r[i] for r in rows], kinds[i]) for i in range(n_keys)]
+            arrays.append(pa.array([r[n_keys] for r in rows], pa.int64()))
+            arrays.append(pa.array([len(r[n_keys + 1]) for r in rows], pa.int64()))
+            arrays += [pa.array([r[n_keys + i].tobytes() for r in rows], pa.binary()) for i in (1, 2)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        def closed(upto):
+            """Blocks of the points held, all of them or only full ones."""
+            nonlocal seq, bulk
+            us, value = np.concatenate(held[1]), np.concatenate(held[2])
+            at = 0
+            while len(us) - at >= size or (upto and at < len(us)):
+                rows.append((*held[0], seq, us[at : at + size], value[at : at + size]))
+                bulk += min(size, len(us) - at)
+                seq, at = seq + 1, at + size
+            held[1], held[2] = [us[at:]], [value[at:]]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.column(i).type for i in range(n_keys)]
+            names = [*batch.schema.names[:n_keys], "seq", "n", "us", "value"]
+            us = batch.column(n_keys).to_numpy(zero_copy_only=False)
+            value = np.asarray(batch.column(n_keys + 1).to_numpy(zero_copy_only=False), dtype=np.float64)
+            new = np.zeros(len(us), bool)
+            new[0] = True
+            for i in range(n_keys):
+                codes = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            cuts = np.append(np.flatnonzero(new), len(us))
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                key = tuple(batch.column(i)[int(a)].as_py() for i in range(n_keys))
+                if held is None or held[0] != key:
+                    if held is not None:
+                        closed(True)
+                    held, seq = [key, [], []], 0
+                held[1].append(us[a:z])
+                held[2].append(value[a:z])
+            if sum(map(len, held[1])) >= size:
+                closed(False)
+            if len(rows) >= 1000 or bulk >= 1 << 20:
+                yield out()
+                rows, bulk = [], 0
+        if held is not None:
+            closed(True)
+        if rows:
+            yield out()
+
+    return run
+
+
+def block_ends():
+    """A ``mapInPandas`` function: blocks with the ends of their time and of their known values."""
+
+    def run(frames):
+        for pdf in frames:
+            found = []
+            for us, value in zip(pdf["us"], pdf["value"]):
+                us, value = np.frombuffer(us, np.int64), np.frombuffer(value, np.float64)
+                known = np.flatnonzero(~np.isnan(value))
+                ends = [{"us": int(us[k]), "v": float(value[k])} for k in known[[0, -1]]] if len(known) else [None, None]
+                found.append((int(us[0]), int(us[-1]), *ends, float(value[-2]) if len(value) > 1 else None))
+            yield pdf.assign(**dict(zip(("us0", "us1", "first", "last", "second"), ([*x] for x in zip(*found)))))
+
+    return run
+
+
+def neighbours(keys: list[str]):
+    """A ``mapInPandas`` function: neighbouring stamps within blocks."""
+
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                us = np.frombuffer(row["us"], np.int64)
+                if len(us) > 1:
+                    yield pd.DataFrame({"prev": us[:-1], "us": us[1:]}).assign(**{k: [row[k]] * (len(us) - 1) for k in keys})
+
+    return run
+
+
+def block_filler(keys: list[str]):
+    """A ``mapInPandas`` function: points of blocks, missing values between the known ones around them."""
+
+    def run(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                us, value = np.frombuffer(row["us"], np.int64), np.frombuffer(row["value"], np.float64)
+                known = ~np.isnan(value)
+                at, level = us[known], value[known]
+                if row["before"] is not None:
+                    at, level = np.append(row["before"]["us"], at), np.append(row["before"]["v"], level)
+                if row["after"] is not None:
+                    at, level = np.append(at, row["after"]["us"]), np.append(level, row["after"]["v"])
+                if len(at) and not known.all():
+                    right = np.searchsorted(at, us, "left")
+                    left = np.clip(right - 1, 0, len(at) - 1)
+                    right = np.minimum(right, len(at) - 1)
+                    left = np.where(at[right] <= us, right, left)  # beyond the last known one
+                    left = np.where(at[left] > us, right, left)  # before the first
+                    width = (at[right] - at[left]).astype(np.float64)
+                    share = np.divide((us - at[left]).astype(np.float64), width, out=np.zeros(len(us)), where=width > 0)
+                    value = np.where(known, value, level[left] + (level[right] - level[left]) * share)
+                yield pd.DataFrame({"us": us, "value": value}).assign(**{k: [row[k]] * len(us) for k in keys})
+
+    return run
+
+
+def block_changes(block, before: float | None, change: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Changes and the ones before them of a block of levels, given the last level and change before it; the first
+    change of a series has none before it."""
+    y = np.frombuffer(block, np.float64)
+    w = np.diff(y) if before is None or np.isnan(before) else np.diff(y, prepend=before)
+    if change is None or np.isnan(change):
+        return w[1:], w[:-1]
+    return w, np.concatenate([[change], w[:-1]])[: len(w)]
+
+
+def whole_forecaster(keys: list[str], steps: int, min_points: int):
+    """A ``mapInPandas`` function: forecasts of series that lie in one block."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.to_dict("records"):
+                y = np.frombuffer(row["value"], np.float64)
+                if len(y) >= min_points:
+                    out.append(pd.DataFrame({k: [row[k]] * steps for k in keys} | ahead_columns(*arima_forecast(y, steps))))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def grid_mapper(keys: list[str]):
+    """A ``mapInPandas`` function: the residual map of each block at every grid point."""
+
+    def run(frames):
+        for pdf in frames:
+            maps = [residual_map(*block_changes(*x), *arma_grid()).tobytes() for x in zip(pdf["value"], pdf["before"], pdf["change"])]
+            yield pdf[[*keys, "us0", "seq"]].assign(map=maps)
+
+    return run
+
+
+def grid_chooser(keys: list[str]):
+    """A grouped pandas function: the maps of a series in order, and the search state at its best grid point."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for raw in pdf.sort_values(["us0", "seq"])["map"]:
+            one = np.frombuffer(raw, np.float64).reshape(5, -1)
+            whole = one if whole is None else then(whole, one)
+        return pd.DataFrame([{k: pdf[k].iloc[0] for k in keys} | search_state(*search_start(whole[2]))])
+
+    return run
+
+
+def newton_mapper(keys: list[str]):
+    """A ``mapInPandas`` function: the Gauss-Newton map of each block at the point its series looks at."""
+
+    def run(frames):
+        for pdf in frames:
+            maps = []
+            for x in zip(pdf["value"], pdf["before"], pdf["change"], pdf["phi"], pdf["theta"]):
+                move, forms = newton_map(*block_changes(*x[:3]), *x[3:])
+                maps.append(np.concatenate([move.ravel(), forms.ravel()]).tobytes())
+            yield pdf[[*keys, "us0", "seq", *SEARCH]].assign(map=maps)
+
+    return run
+
+
+def newton_stepper(keys: list[str]):
+    """A grouped pandas function: sums of a series through its maps in order, and the state after one step."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, sums = np.array([0.0, 0.0, 0.0, 1.0]), np.zeros(6)
+        for raw in pdf.sort_values(["us0", "seq"])["map"]:
+            one = np.frombuffer(raw, np.float64)
+            sums += np.einsum("i,kij,j->k", at, one[16:].reshape(6, 4, 4), at)
+            at = one[:16].reshape(4, 4) @ at
+        first = pdf.iloc[0]
+        state = search_step({c: float(first[c]) for c in SEARCH}, sums, at[0])
+        return pd.DataFrame([{k: first[k] for k in keys} | state])
+
+    return run
+
+
+def long_forecaster(keys: list[str], steps: int):
+    """A ``mapInPandas`` function: forecasts from fitted states with the ends of their series."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                ahead = arima_ahead(r["level"], r["end_change"], r["last"], r["best_phi"], r["best_theta"], r["best"] / max(r["points"] - 2, 1), steps)
+                out.append(pd.DataFrame({k: [r[k]] * steps for k in keys} | ahead_columns(*ahead)))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return run
 

@@ -1,9 +1,10 @@
 """Time series: find the columns, collapse, infer the frequency, fill, forecast.
 
 A series table has keys (none for a single series), ts and value. One series
-may be very long, so ordered work is done in two levels: inside chunks of time,
-and over one summary row per chunk. Set the session time zone to UTC to keep
-daylight saving out of gaps.
+may be very long, so ordered work never sees a whole one: points are dealt by ranges
+of key and time and packed into blocks, work is done inside blocks, and what crosses
+their borders is carried over one summary row per block. Set the session time zone to
+UTC to keep daylight saving out of gaps.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from facetwise import kernels
 from facetwise.functions.values import col, dtype, missing, number, number_columns, per_column, text_columns
 from facetwise.operators.analysis import join_on_keys
 from facetwise.operators.quantiles import long_quantiles
+from facetwise.session import write_through
 
 # Date texts understood, tried in this order.
 DATE_FORMATS = (
@@ -27,8 +29,9 @@ DATE_FORMATS = (
 MIN_ROWS = 5
 MIN_POINTS = 10
 MIN_DISTINCT = 3
-FIT_POINTS = 50_000
 HISTORY_POINTS = 30
+#: Points of a block: 1 MB of stamps and values.
+BLOCK_POINTS = 1 << 16
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
@@ -135,25 +138,70 @@ def to_series(df: DataFrame, ts: str, y: str, keys: Sequence[str] = ()) -> DataF
     return dated.where("ts is not null").groupBy(*[col(k) for k in keys], "ts").agg(F.avg("value").alias("value"))
 
 
+# --- series as blocks of points ---
+
+
+def _named(series: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Key columns as k0, k1, ... (a constant where there are none), so that no name can clash."""
+    names = [f"k{i}" for i in range(len(keys) or 1)]
+    own = [col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("k0")]
+    return series.select(*own, micros(F.col("ts")).alias("us"), F.col("value").cast("double").alias("value")), names
+
+
+def _kinds(frame: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(n, frame.schema[n].dataType) for n in names]
+
+
+def blocks(series: DataFrame, keys: Sequence[str] = (), size: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Points in order of time as rows of arrays -> (k0, k1, ..., seq, n, us, value, us0, us1, first, last, second), key names.
+
+    Rows are dealt by ranges of key and time, so a long series is many tasks. us0 and us1 are the ends of a block, and
+    (us0, seq) orders the blocks of a series; equal stamps are never parted. first and last are the known
+    values nearest to the ends with their stamps, null where a block knows none, second the value before the
+    last point. ``us`` and ``value`` are arrays of longs and doubles as bytes; missing is NaN.
+    """
+    points, names = _named(series, keys)
+    dealt = points.repartitionByRange(*names, "us").sortWithinPartitions(*names, "us", "value")
+    schema = T.StructType([*_kinds(points, names), *T._parse_datatype_string("seq long, n long, us binary, value binary").fields])
+    packed = dealt.mapInArrow(kernels.block_packer(len(names), size or BLOCK_POINTS), schema)
+
+    ends = "us0 long, us1 long, first struct<us:long,v:double>, last struct<us:long,v:double>, second double"
+    return write_through(packed.mapInPandas(kernels.block_ends(), T.StructType([*schema.fields, *T._parse_datatype_string(ends).fields])), "blocks"), names
+
+
+def _in_order(names: Sequence[str], backwards: bool = False) -> W:
+    order = [F.desc("us0"), F.desc("seq")] if backwards else ["us0", "seq"]
+    return W.partitionBy(*names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+
+
+def _back_to_blocks(packed: DataFrame, carried: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Blocks with what was carried to them; both have one row per (keys, us0, seq)."""
+    on = None
+    for c in [*names, "us0", "seq"]:
+        same = F.col(f"b.{c}").eqNullSafe(F.col(f"c.{c}"))
+        on = same if on is None else on & same
+    rest = [F.col(f"c.`{c}`") for c in carried.columns if c not in (*names, "us0", "seq")]
+    return packed.alias("b").join(carried.alias("c"), on).select("b.*", *rest)
+
+
 def gaps(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Distances between neighbours -> keys, gap (microseconds), months (calendar months apart).
 
-    Neighbours are found inside minutes (at most 60 million stamps each) and
-    between the ends of neighbouring minutes (half a million a year).
+    Neighbours are found inside blocks, and between the ends of neighbouring blocks.
     """
-    by = [col(k) for k in keys]
-    stamped = series.select(*by, micros(F.col("ts")).alias("us")).withColumn("_chunk", F.floor(F.col("us") / MINUTE))
-    inside = stamped.withColumn("prev", F.lag("us").over(W.partitionBy(*by, "_chunk").orderBy("us")))
-    ends = stamped.groupBy(*by, "_chunk").agg(F.min("us").alias("us"), F.max("us").alias("_last"))
-    between = ends.withColumn("prev", F.lag("_last").over(W.partitionBy(*by).orderBy("_chunk")))
-    both = inside.select(*by, "us", "prev").unionByName(between.select(*by, "us", "prev")).where("prev is not null")
+    packed, names = blocks(series.select(*[col(k) for k in keys], "ts", F.lit(0.0).alias("value")), keys)
+    ends = packed.select(*names, "us0", "us1", "seq").withColumn("before", F.last("us1").over(_in_order(names)))
+    between = ends.where("before is not null").select(*names, F.col("before").alias("prev"), F.col("us0").alias("us"))
+    schema = T.StructType([*_kinds(packed, names), *T._parse_datatype_string("prev long, us long").fields])
+    inside = packed.select(*names, "us").mapInPandas(kernels.neighbours(list(names)), schema)
 
     def month(us):
         stamp = from_micros(us)
         return F.year(stamp) * 12 + F.month(stamp)
 
-    return both.select(
-        *by, (F.col("us") - F.col("prev")).alias("gap"), (month(F.col("us")) - month(F.col("prev"))).alias("months")
+    own = [F.col(n).alias(k) for k, n in zip(keys, names)]
+    return inside.unionByName(between).select(
+        *own, (F.col("us") - F.col("prev")).alias("gap"), (month(F.col("us")) - month(F.col("prev"))).alias("months")
     )
 
 
@@ -197,7 +245,7 @@ def frequency(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.bool_and(midnight & (F.dayofmonth("ts") == 1)).alias("_starts"),
         F.bool_and(midnight & (F.dayofmonth("ts") == F.dayofmonth(F.last_day("ts")))).alias("_ends"),
     )
-    steps = gaps(series, keys)
+    steps = write_through(gaps(series, keys), "gaps")
     ranges = steps.groupBy(*by).agg(
         F.min("gap").alias("_g0"), F.max("gap").alias("_g1"), F.min("months").alias("_m0"), F.max("months").alias("_m1")
     )
@@ -268,37 +316,25 @@ def with_step(series: DataFrame, step: int, keys: Sequence[str] = ()) -> DataFra
     )
 
 
-def fill(series: DataFrame, keys: Sequence[str] = (), width: int = MINUTE) -> DataFrame:
-    """Missing values by linear interpolation in time, the ends by their nearest value.
+def fill(series: DataFrame, keys: Sequence[str] = (), size: int | None = None) -> DataFrame:
+    """Missing values by linear interpolation in time, the ends by their nearest value -> keys, ts, value.
 
-    ``width`` is the chunk length in microseconds. The nearest known points come
-    from within the chunk or, through one summary row per chunk, from others.
+    The nearest known points come from within a block of points or are carried to it from the last known point of
+    the blocks before and the first of the blocks after.
     """
-    by = [col(k) for k in keys]
-    us = micros(F.col("ts"))
-    known = F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.struct(us.alias("us"), F.col("value").alias("v")))
-    points = series.withColumn("_chunk", F.floor(us / width)).withColumn("_known", known)
-
-    def running(partition, order, end):
-        # Frames that grow from the start cost one step a row; backwards is the same in reverse order.
-        return W.partitionBy(*partition).orderBy(order).rowsBetween(W.unboundedPreceding, end)
-
-    inner = [*by, "_chunk"]
-    local = points.withColumn("_prev", F.last("_known", True).over(running(inner, F.asc("ts"), W.currentRow)))
-    local = local.withColumn("_next", F.last("_known", True).over(running(inner, F.desc("ts"), W.currentRow)))
-    chunks = points.groupBy(*by, "_chunk").agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
-    around = chunks.select(
-        *by,
-        "_chunk",
-        F.last("_last", True).over(running(by, F.asc("_chunk"), -1)).alias("_before"),
-        F.last("_first", True).over(running(by, F.desc("_chunk"), -1)).alias("_after"),
+    packed, names = blocks(series, keys, size)
+    ends = packed.select(*names, "us0", "seq", "first", "last")
+    carried = ends.select(
+        *names,
+        "us0",
+        "seq",
+        F.last("last", True).over(_in_order(names)).alias("before"),
+        F.last("first", True).over(_in_order(names, backwards=True)).alias("after"),
     )
-    joined = join_on_keys(local, around, [*keys, "_chunk"])
-    prev, nxt = F.coalesce("_prev", "_before"), F.coalesce("_next", "_after")
-    share = F.try_divide((us - prev["us"]).cast("double"), (nxt["us"] - prev["us"]).cast("double"))
-    between = prev["v"] + (nxt["v"] - prev["v"]) * share
-    value = F.coalesce(F.col("_known.v"), between, prev["v"], nxt["v"])
-    return joined.select(*[c for c in series.columns if c != "value"], value.alias("value"))
+    schema = T.StructType([*_kinds(packed, names), *T._parse_datatype_string("us long, value double").fields])
+    wanted = _back_to_blocks(packed, carried, names).select(*names, "us", "value", "before", "after")
+    filled = wanted.mapInPandas(kernels.block_filler(list(names)), schema)
+    return filled.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], from_micros(F.col("us")).alias("ts"), F.nanvl("value", F.lit(None).cast("double")).alias("value"))
 
 
 def regularise(series: DataFrame, keys: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
@@ -318,45 +354,71 @@ def regularise(series: DataFrame, keys: Sequence[str] = (), freq: DataFrame | No
 def last_points(series: DataFrame, n: int, keys: Sequence[str] = ()) -> DataFrame:
     """The last ``n`` points of every series, with their rank from the end -> ..., rank.
 
-    Counts per minute tell which minutes can matter; only those are ranked.
+    The rank is cut at ``n``, so each task keeps ``n`` points a series before they meet.
     """
-    by = [col(k) for k in keys]
-    points = series.withColumn("_chunk", F.floor(micros(F.col("ts")) / MINUTE))
-    later = W.partitionBy(*by).orderBy(F.desc("_chunk"))
-    counts = points.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    wanted = (
-        counts.withColumn("_after", F.coalesce(F.sum("_n").over(later.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .where(F.col("_after") < n)
-        .select(*by, "_chunk", F.lit(True).alias("_wanted"))
-    )
-    near_end = join_on_keys(points, wanted, [*keys, "_chunk"], "inner").drop("_wanted", "_chunk")
+    by = [col(k) for k in keys] or [F.lit(0)]
     ranked = W.partitionBy(*by).orderBy(F.desc("ts"))
-    return near_end.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
-
-
-def forecast(series: DataFrame, steps: int = 10, keys: Sequence[str] = (), freq: DataFrame | None = None) -> DataFrame:
+    return series.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
+
+
+def _fitted(packed: DataFrame, names: Sequence[str], steps: int) -> DataFrame:
+    """Forecasts -> k0, k1, ..., i, value, lower, upper. A series within one block is fitted in one place. Of a longer one every
+    block is a map of the search state (see ``kernels.newton_map``); a step of the search joins the states to the blocks and
+    puts the maps of each series together, so no task sees more points than a block's."""
+    names = list(names)
+    ahead = T.StructType([*_kinds(packed, names), *T._parse_datatype_string("i long, value double, lower double, upper double").fields])
+    # The last change of a block needs the level before it, which may lie in an earlier block.
+    levels = packed.select(*names, "us0", "seq", F.col("n"), F.col("last.v").alias("level"), F.col("second"))
+    whole = W.partitionBy(*names)
+    levels = levels.withColumn("before", F.last("level").over(_in_order(names))).withColumn("blocks", F.count(F.lit(1)).over(whole))
+    levels = levels.withColumn("own_change", F.col("level") - F.coalesce("second", "before"))
+    levels = levels.withColumn("change", F.last("own_change", True).over(_in_order(names)))
+    levels = write_through(levels.withColumn("points", F.sum("n").over(whole)), "block-levels")
+    carried = levels.where(F.col("points") >= MIN_POINTS).select(*names, "us0", "seq", "before", "change", "blocks")
+    parts = _back_to_blocks(packed.select(*names, "us0", "seq", "value"), carried, names)
+    short = parts.where("blocks = 1").select(*names, "value").mapInPandas(kernels.whole_forecaster(names, steps, MIN_POINTS), ahead)
+
+    long = write_through(parts.where("blocks > 1").select(*names, "us0", "seq", "value", "before", "change"), "block-changes")
+    if long.isEmpty():
+        return short
+    state = T.StructType([*_kinds(packed, names), *[T.StructField(c, T.DoubleType()) for c in kernels.SEARCH]])
+    mapped = T.StructType([*_kinds(packed, names), *T._parse_datatype_string("us0 long, seq long, map binary").fields])
+    found = long.mapInPandas(kernels.grid_mapper(names), mapped).groupBy(*names).applyInPandas(kernels.grid_chooser(names), state)
+    found = write_through(found, "search")
+    mapped = T.StructType([*_kinds(packed, names), *T._parse_datatype_string("us0 long, seq long").fields, *state.fields[len(names) :], T.StructField("map", T.BinaryType())])
+    for _ in range(kernels.MAX_STEPS):
+        open_ = found.where("done = 0")
+        if open_.isEmpty():
+            break
+        moving = _on_names(long, open_, names).mapInPandas(kernels.newton_mapper(names), mapped)
+        stepped = moving.groupBy(*names).applyInPandas(kernels.newton_stepper(names), state)
+        found = write_through(stepped.unionByName(found.where("done > 0")), "search")
+    newest = W.partitionBy(*names).orderBy(F.desc("us0"), F.desc("seq"))
+    last = levels.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select(*names, "level", F.coalesce("own_change", "change").alias("end_change"), "points")
+    fitted = _on_names(found, last, names).mapInPandas(kernels.long_forecaster(names, steps), ahead)
+    return short.unionByName(fitted)
+
+
+def _on_names(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on key columns, null keys equal."""
+    on = None
+    for c in names:
+        same = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        on = same if on is None else on & same
+    return left.alias("l").join(right.alias("r"), on).select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in names])
+
+
+def forecast(series: DataFrame, steps: int = 10, keys: Sequence[str] = (), freq: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """ARIMA(1,1,1) per series -> keys, ts, kind (history or forecast), value, lower, upper.
 
-    Takes a series without gaps (see ``regularise``). Each model is fitted in
-    its own task on the last 50,000 points; series with fewer than 10 give nothing.
+    Takes a series without gaps (see ``regularise``). Models are fitted by conditional least squares on all points,
+    in blocks of ``size``; series with fewer than 10 points give no forecast.
     """
     freq = frequency(series, keys) if freq is None else freq
     by = [col(k) for k in keys]
-    tail = last_points(series, FIT_POINTS, keys).where("value is not null")
-    keyed = tail.select(*by, "ts", "value") if keys else tail.select(F.lit(0).alias("_all"), "ts", "value")
-    names = list(keys) or ["_all"]
-    fields = [keyed.schema[k] for k in names]
-    schema = T.StructType(
-        [
-            *[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(fields)],
-            T.StructField("i", T.LongType()),
-            T.StructField("value", T.DoubleType()),
-            T.StructField("lower", T.DoubleType()),
-            T.StructField("upper", T.DoubleType()),
-        ]
-    )
-    fitted = keyed.groupBy(*[col(k) for k in names]).applyInPandas(kernels.arima_forecaster(len(names), steps, MIN_POINTS), schema)
-    fitted = fitted.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(names)], "i", "value", "lower", "upper")
+    packed, names = blocks(series.where("value is not null AND NOT isnan(value)"), keys, size)
+    fitted = _fitted(packed, names, steps)
+    fitted = fitted.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "i", "value", "lower", "upper")
     paces = freq.drop("points", "first_ts", "label")
     if keys:
         paced = join_on_keys(fitted, paces, keys)

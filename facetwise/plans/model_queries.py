@@ -59,14 +59,14 @@ def forecast_targets(spark, sf_dir):
 
 
 HOURLY_SQL = f"""
-{EVENTS_SQL}, hourly AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS value
-  FROM ev WHERE event_id % 4 > 0 AND hour(ts) % 6 <> 2 AND event_type IS NOT NULL GROUP BY 1, 2)
+{EVENTS_SQL}, hourly AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts,
+  avg(CASE WHEN hour(ts) % 6 <> 2 THEN value END) AS value FROM ev GROUP BY 1, 2)
 """
 
 
 def hourly(spark, sf_dir):
-    """Mean per hour and type, some hours without rows."""
-    events = events_with_gaps(spark, sf_dir).where("event_id % 4 > 0 AND hour(ts) % 6 <> 2 AND event_type IS NOT NULL")
+    """Mean per hour and type (those without a type are a series too), some hours without values."""
+    events = events_with_gaps(spark, sf_dir).withColumn("value", F.expr("CASE WHEN hour(ts) % 6 <> 2 THEN value END"))
     events = events.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return I.to_series(events, "ts", "value", ["event_type"])
 
@@ -126,7 +126,7 @@ FILLED_SQL = f"""
 {HOURLY_SQL}, span AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM hourly GROUP BY 1),
 grid AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM span),
 j AS (SELECT g.event_type, g.ts, h.value, epoch_us(g.ts) AS us FROM grid g
-      LEFT JOIN hourly h ON g.event_type = h.event_type AND g.ts = h.ts),
+      LEFT JOIN hourly h ON g.event_type IS NOT DISTINCT FROM h.event_type AND g.ts = h.ts),
 w AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv,
              last_value(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER b AS pt,
              first_value(value IGNORE NULLS) OVER f AS nv,
@@ -303,7 +303,7 @@ def labelled_clusters(spark, sf_dir):
 
 @query(
     """
-    WITH c AS (SELECT CAST(p_size % 7 AS INTEGER) AS k, sum(p_retailprice) AS inertia FROM part WHERE p_size % 7 >= 2 GROUP BY 1),
+    WITH c AS (SELECT CAST(2 + p_size % 5 AS INTEGER) AS k, sum(p_retailprice) AS inertia FROM part GROUP BY 1),
     d AS (SELECT *, lag(inertia) OVER (ORDER BY k) AS before FROM c),
     e AS (SELECT *, CASE WHEN before > 0 THEN (before - inertia) / before END AS drop_share FROM d)
     SELECT k, round(inertia, 2) AS inertia, round(drop_share, 6) AS drop_share,
@@ -311,7 +311,7 @@ def labelled_clusters(spark, sf_dir):
     """
 )
 def elbow_rule(spark, sf_dir):
-    costs = table(spark, sf_dir, "part").where("p_size % 7 >= 2").groupBy((F.col("p_size") % 7).cast("int").alias("k"))
+    costs = table(spark, sf_dir, "part").groupBy((2 + F.col("p_size") % 5).cast("int").alias("k"))
     found = U.choose_k(costs.agg(F.sum("p_retailprice").alias("inertia")))
     return rounded(rounded(found, "drop_share"), "inertia", digits=2)
 

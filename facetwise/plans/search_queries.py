@@ -8,6 +8,7 @@ from facetwise.functions import text as X
 from facetwise.operators import catalog as K, vectors as V
 from facetwise.plans.profile_queries import rounded
 from facetwise.plans.registry import query, table
+from facetwise.session import write_through
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -122,15 +123,21 @@ def described_columns(spark, sf_dir):
     return V.column_descriptions(table(spark, sf_dir, "nation"), "nation", ["n_nationkey"])
 
 
+#: What orders the rows of each test table.
+TABLE_KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+    "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    "events": ["event_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"],
+    "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"],
+}
+
+
 def described_tables(spark, sf_dir):
-    frames = [
-        V.column_descriptions(table(spark, sf_dir, name), name, [key])
-        for name, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"))
-    ]
-    described = frames[0]
-    for frame in frames[1:]:
-        described = described.unionByName(frame)
-    return described
+    described = None
+    for name in TABLES:
+        frame = V.column_descriptions(table(spark, sf_dir, name), name, TABLE_KEYS[name])
+        described = frame if described is None else described.unionByName(frame)
+    return write_through(described, "descriptions")
 
 
 @query()

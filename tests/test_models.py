@@ -154,6 +154,85 @@ def test_forecast_contract(spark):
     assert sum(r["kind"] == "history" and r["k"] == "a" for r in got) == 30
 
 
+def residuals(w, phi, theta):
+    e = np.zeros(len(w))
+    for t in range(1, len(w)):
+        e[t] = w[t] - phi * w[t - 1] - theta * e[t - 1]
+    return e
+
+
+def test_arma_fit_is_the_best_nearby_and_agrees_with_its_residuals():
+    rng = np.random.default_rng(7)
+    for n in (9, 30, 400):
+        w = np.convolve(rng.normal(size=n + 2), [1.0, 0.7, 0.2], "valid")
+        phi, theta, variance, last = kernels.fit_arma(w)
+        own = residuals(w, phi, theta)
+        assert variance == pytest.approx((own**2).sum() / (n - 1), rel=1e-9) and last == pytest.approx(own[-1], abs=1e-9)
+        for a, b in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3)):
+            if max(abs(phi + a), abs(theta + b)) <= kernels.ARMA_BOUND:
+                assert (residuals(w, phi + a, theta + b) ** 2).sum() >= (own**2).sum() - 1e-9
+    assert kernels.fit_arma(np.zeros(20))[2] == 0
+
+
+@pytest.mark.parametrize("size", [3, 50])
+def test_forecast_of_blocks_equals_that_of_the_whole(spark, size):
+    """Whatever the blocks, forecasts are those of a fit of the whole series; null keys are a series."""
+    rng = np.random.default_rng(size)
+    w = np.convolve(rng.normal(size=403), [1.0, 0.6, 0.3], "valid")
+    series = {"a": np.cumsum(w), None: np.cumsum(w[::-1][:120]) + 5, "k": np.arange(11.0) ** 2, "short": np.arange(9.0)}
+    rows = [(k, i, float(v)) for k, y in series.items() for i, v in enumerate(y)]
+    frame = spark.createDataFrame(rows, "k0 string, i int, value double").select(
+        F.col("k0").alias("seq"), F.expr("cast(date_add(DATE'2020-01-01', i) AS timestamp_ntz)").alias("ts"), "value"
+    )
+    got = timeseries.forecast(frame, 5, ["seq"], size=size).where("kind = 'forecast'").orderBy("ts").collect()
+    assert len(got) == 15
+    for k in ("a", None, "k"):
+        mean, error = kernels.arima_forecast(series[k], 5)
+        mine = [r for r in got if r["seq"] == k]
+        assert [r["value"] for r in mine] == pytest.approx(mean.tolist(), abs=1e-6)
+        assert [r["upper"] for r in mine] == pytest.approx((mean + kernels.NORMAL_975 * error).tolist(), abs=1e-6)
+
+
+def test_long_series_is_many_tasks(spark):
+    n = 200_000
+    points = spark.range(n).select(F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("ts"), F.sin("id").alias("value"))
+    packed, names = timeseries.blocks(points, size=1 << 14)
+    assert packed.agg(F.sum("n")).first()[0] == n and packed.count() >= n >> 14
+    assert packed.agg(F.max("n")).first()[0] <= 1 << 14
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_fill_through_blocks(spark, size):
+    rng = np.random.default_rng(size)
+    rows, want = [], {}
+    for k in ("a", None, "none"):
+        days = np.sort(rng.choice(400, 60, replace=False))
+        value = np.where(rng.random(60) < (1.0 if k == "none" else 0.6), np.nan, rng.normal(size=60))
+        rows += [(k, int(d), None if np.isnan(v) and d % 2 else float(v)) for d, v in zip(days, value)]
+        known = ~np.isnan(value)
+        for d, v in zip(days, np.interp(days, days[known], value[known]) if known.any() else value):
+            want[k, int(d)] = v
+    frame = spark.createDataFrame(rows, "key string, i int, value double").select(
+        "key", "i", F.expr("cast(date_add(DATE'2020-01-01', i) AS timestamp_ntz)").alias("ts"), "value"
+    )
+    got = timeseries.fill(frame.drop("i"), ["key"], size=size).select("key", F.datediff("ts", F.lit("2020-01-01")).alias("i"), "value").collect()
+    assert len(got) == len(want)
+    for r in got:
+        v = want[r["key"], r["i"]]
+        assert r["value"] is None if np.isnan(v) else r["value"] == pytest.approx(v, abs=1e-12)
+    assert timeseries.fill(frame.drop("i").limit(0), ["key"]).count() == 0
+
+
+def test_gaps_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(timeseries, "BLOCK_POINTS", 3)
+    days = [0, 1, 5, 6, 10, 40, 41, 80]
+    frame = spark.createDataFrame([(k, d) for k in ("a", None) for d in days], "key string, i int").select(
+        "key", F.expr("cast(date_add(DATE'2020-01-01', i) AS timestamp_ntz)").alias("ts")
+    )
+    got = timeseries.gaps(frame, ["key"]).groupBy("key").agg(F.sort_array(F.collect_list(F.col("gap") / timeseries.DAY)).alias("g")).collect()
+    assert {r["key"]: r["g"] for r in got} == {k: sorted(np.diff(days).astype(float).tolist()) for k in ("a", None)}
+
+
 def test_last_points(spark):
     series = daily(spark, 40)
     got = timeseries.last_points(series, 7).orderBy("rank").collect()
