@@ -176,6 +176,25 @@ def text_ratio(new: pd.Series, old: pd.Series, above: float) -> pd.Series:
     return pd.Series(np.where(scores > above, scores, 0.0))
 
 
+def letter_runs(texts: pd.Series, sizes: tuple[int, ...], different: bool) -> pd.Series:
+    """Runs of so many letters of each text as numbers: three letters at most take 21 bits each and stay apart, of
+    more letters 16 bits each are kept, so rare signs may look alike."""
+    out = []
+    for text in texts:
+        codes = np.frombuffer((text or "").encode("utf-32-le"), "<u4").astype(np.int64) + 1
+        found = []
+        for n in sizes:
+            bits = 21 if n <= 3 else 16
+            m = max(len(codes) - n + 1, 0)
+            run = np.zeros(m, np.int64)
+            for i in range(n):
+                run = (run << bits) | (codes[i : i + m] & ((1 << bits) - 1))
+            found.append(run)
+        runs = np.concatenate(found)
+        out.append(np.unique(runs) if different else runs)
+    return pd.Series(out, index=texts.index, dtype=object)
+
+
 PAIR_SUMS = "pair int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 

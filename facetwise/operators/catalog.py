@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from facetwise import kernels
-from facetwise.functions.text import ACCEPTED_OVERLAP, overlap_score, plain, words_of
+from facetwise.functions.text import ACCEPTED_OVERLAP, CONTAINED_SCORE, overlap_score, plain, words_of
 from facetwise.operators.vectors import best_matches, embed, hashed_ngrams
+from facetwise.session import write_through
 
 SUMMARY_CHARS = 200
 HISTORY_SCORE = 0.75
@@ -130,13 +131,14 @@ def search_log(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HI
     )
 
 
-def _with_known(asked: DataFrame, known: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Questions joined to the known entries that agree in ``keys``.
+def _with_known(
+    asked: DataFrame, known: DataFrame, keys: Sequence[str] = ("dataset_id",), idents: tuple[str, str] = ("question_id", "id")
+) -> DataFrame:
+    """Questions joined to the known entries that agree in ``keys``; ``idents`` tell the rows of each side apart.
 
-    A dataset may hold a large share of all questions: both sides are counted, cut into blocks of about
+    A key may hold a large share of all rows: both sides are counted, cut into blocks of about
     ``BLOCK_ROWS``, and every block of one meets every block of the other in a task of its own.
     """
-    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(frame, alias):
         return frame.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("bigint").alias(alias))
@@ -151,59 +153,221 @@ def _with_known(asked: DataFrame, known: DataFrame, keys: Sequence[str] = ("data
             .drop("_na", "_nk")
         )
 
-    left = dealt(asked, "question_id", "_a", "_na", "_k", "_nk")
-    right = dealt(known, "id", "_k", "_nk", "_a", "_na")
+    left = dealt(asked, idents[0], "_a", "_na", "_k", "_nk")
+    right = dealt(known, idents[1], "_k", "_nk", "_a", "_na")
     by = [*keys, "_a", "_k"]
-    return left.repartition(partitions, *by).join(right, by).drop("_a", "_k")
+    return left.join(right, by).drop("_a", "_k")
 
 
-def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HISTORY_SCORE) -> DataFrame:
-    """Earlier questions of the same dataset, by text: all entries with question and summary count
-    -> question_id, id, dataset_id, score, rank.
+#: Letters of the keys by which similar texts meet.
+TEXT_GRAM = 4
+#: A first look for good matches: so many of a question's rarest keys, each in so many known texts at most.
+FIRST_KEYS = 8
+FIRST_TEXTS = 32
 
-    Texts whose ratio is above ``cut`` differ in length by a factor below (2 - cut) / cut. Lengths are
-    put into bands of that factor, and only texts of one band or of neighbouring ones meet.
-    """
-    share = min(max(cut, 1e-6), 1 - 1e-6)
-    width = math.log((2 - share) / share) + 1e-9
 
+def _ratio(cut: float):
     @F.pandas_udf("double")
     def ratio(new: pd.Series, old: pd.Series) -> pd.Series:
         return kernels.text_ratio(new, old, cut)
 
-    @F.pandas_udf("long")
-    def folded_length(texts: pd.Series) -> pd.Series:
-        return texts.str.casefold().str.len()
+    # So that a filter on the score does not work it out a second time, or before pairs are made distinct.
+    return ratio.asNondeterministic()
+
+
+def text_pairs(asked: DataFrame, known: DataFrame, entries: DataFrame, k: int, cut: float) -> DataFrame:
+    """Pairs among which are the ``k`` entries most similar to each question, above ``cut`` -> dataset_id, y, x.
+    ``asked``: dataset_id, y; ``known``: dataset_id, x; both folded, different texts; ``entries``: dataset_id, x, at, id.
+
+    Texts whose matched letters are the part r of their letters share a good part of their runs of four letters: an unmatched
+    letter of the question breaks four of them, one of the entry three, so at least 7 M - 3 s - 3 of the question's runs
+    stand in the entry, M matched letters, s letters of both. A first look at entries that share a rare run finds
+    ``k`` good ones for most questions. What is to beat them shares so many runs that it has one of the question's
+    rarest runs, as many as may be broken and one more. Only questions for which that number
+    says nothing meet all texts whose length allows the score: lengths are put into bands of a factor
+    (2 - cut) / cut, and only neighbouring bands meet.
+    """
+    by = ["dataset_id", "gram"]
+    in_known = write_through(known.select("dataset_id", "x", F.explode(_grams("x", [TEXT_GRAM])).alias("gram")), "known-runs")
+    held = in_known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("dataset_id", "y", F.explode_outer(_grams("y", [TEXT_GRAM], False)).alias("gram")).join(held, by, "left")
+    own = own.groupBy("dataset_id", "y").agg(
+        F.sort_array(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))).alias("gs")
+    )
+    own = write_through(own, "asked-runs")
+
+    def meeting(keys: DataFrame) -> DataFrame:
+        # Rare runs: what one holds is small, and adaptive execution splits one that is not.
+        return keys.join(in_known, by).select("dataset_id", "y", "x").distinct()
+
+    few = F.slice(F.filter("gs", lambda g: g["n"].between(1, FIRST_TEXTS)), 1, FIRST_KEYS)
+    first = meeting(own.select("dataset_id", "y", F.explode(F.array_distinct(few)).alias("g")).select("dataset_id", "y", "g.gram"))
+    first = first.withColumn("score", _ratio(cut)("y", "x")).where(F.col("score") > cut).join(entries.select("dataset_id", "x"), ["dataset_id", "x"])
+    best = W.partitionBy("dataset_id", "y").orderBy(F.desc("score"))
+    reached = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("dataset_id", "y", F.col("score").alias("reached"))
+
+    to_beat = F.coalesce("reached", F.lit(cut))
+    bounded = own.join(reached, ["dataset_id", "y"], "left").withColumn("to_beat", to_beat)
+    # The sum of both lengths is at least 2 |y| / (2 - r).
+    q = TEXT_GRAM
+    shared = 2 * F.length("y") / (2 - F.col("to_beat")) * ((2 * q - 1) / 2 * F.col("to_beat") - (q - 1)) - (q - 1)
+    bounded = write_through(bounded.withColumn("shared", F.floor(shared - 1e-6)), "asked-bounds")
+    some = bounded.where("shared >= 1").withColumn("g", F.explode(F.slice("gs", F.lit(1), F.greatest(F.size("gs") - F.col("shared") + 1, F.lit(0)).cast("int"))))
+    near = meeting(some.where("g.n > 0").select("dataset_id", "y", "g.gram").distinct())
+
+    share = min(max(cut, 1e-6), 1 - 1e-6)
+    width = math.log((2 - share) / share) + 1e-9
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / width)
+    left = bounded.where("shared < 1").select("dataset_id", "y", band("y").alias("band"))
+    right = known.withColumn("band", F.explode(F.array(*[band("x") + d for d in (-1, 0, 1)])))
+    far = _with_known(left, right, ("dataset_id", "band"), ("y", "x")).select("dataset_id", "y", "x")
+    return near.unionByName(far)
 
-    def band(text):
-        return F.floor(F.log(folded_length(text).cast("double")) / width)
 
-    asked = questions.select("question_id", "dataset_id", F.trim("question").alias("_new")).where("_new <> ''")
+def similar_text(log: DataFrame, questions: DataFrame, k: int = 3, cut: float = HISTORY_SCORE) -> DataFrame:
+    """Earlier questions of the same dataset, by text: all entries with question and summary count
+    -> question_id, id, dataset_id, score, rank. Equal texts are scored once; see ``text_pairs`` for what meets."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.str.casefold()
+
+    asked = questions.select("question_id", "dataset_id", F.trim("question").alias("q")).where("q <> ''")
+    asked = write_through(asked.select("question_id", "dataset_id", folded("q").alias("y")), "asked")
     known = log.where((F.trim("question") != "") & (F.trim("answer_summary") != "")).select(
-        "dataset_id", "id", F.trim("question").alias("_old"), F.col("created_at").alias("_at")
+        "dataset_id", "id", F.trim("question").alias("q"), F.col("created_at").alias("at")
+    )
+    newest = W.partitionBy("dataset_id", "x").orderBy(F.desc("at"), F.desc("id"))
+    entries = known.select("dataset_id", "id", "at", folded("q").alias("x")).withColumn("r", F.row_number().over(newest))
+    entries = write_through(entries.where(F.col("r") <= k).drop("r"), "known")
+    pairs = text_pairs(asked.select("dataset_id", "y").distinct(), entries.select("dataset_id", "x").distinct(), entries, k, cut)
+    scored = pairs.withColumn("score", _ratio(cut)("y", "x")).where(F.col("score") > cut)
+    found = scored.join(entries, ["dataset_id", "x"]).join(asked, ["dataset_id", "y"])
+    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("at"), F.desc("id"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("question_id", "id", "dataset_id", "score", "rank")
+
+
+#: Characters of the keys by which one text is found inside another.
+GRAM = 3
+
+
+def _grams(text: str, sizes: Sequence[int], different: bool = True) -> Column:
+    """The runs of so many characters in a text, as numbers."""
+    wanted = tuple(sizes)
+
+    @F.pandas_udf("array<long>")
+    def runs(texts: pd.Series) -> pd.Series:
+        return kernels.letter_runs(texts, wanted, different)
+
+    return runs(text)
+
+
+def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of texts of which one may hold the other -> dataset_id, y, x, newest.
+
+    A text is looked for under one key: itself if it has GRAM characters at most, else its GRAM characters that
+    the fewest texts of the other side have. For a short question the newest entry with it is enough.
+    """
+    sizes = range(1, GRAM + 1)
+    by = ["dataset_id", "gram"]
+    whole = F.array_max  # of the runs of a short text, itself is the largest number
+    in_known = write_through(known.select("dataset_id", "x", "newest", F.explode(_grams("x", sizes)).alias("gram")), "known-runs")
+    in_asked = write_through(asked.select("dataset_id", "y", F.explode(_grams("y", sizes)).alias("gram")), "asked-runs")
+    full = F.col("gram") >= 1 << 42  # runs of GRAM characters
+    short = asked.where(F.length("y") <= GRAM).withColumn("gram", whole(_grams("y", sizes)))
+    newest = in_known.groupBy(*by).agg(F.max(F.struct("newest", "x")).alias("top")).select(*by, "top.x", "top.newest")
+    found = short.join(newest, by).select("dataset_id", "y", "x", "newest")
+
+    def rarest(frame: DataFrame, text: str, others: DataFrame) -> DataFrame:
+        held = others.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        own = frame.where(full & (F.length(text) > GRAM)).join(held, by, "left")
+        rest = [c for c in frame.columns if c not in ("dataset_id", text, "gram")]
+        return own.groupBy("dataset_id", text, *rest).agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key")
+        ).where("key.n > 0").withColumn("gram", F.col("key.gram")).drop("key")
+
+    long = rarest(in_asked, "y", in_known.where(full).select(*by))
+    met = long.join(in_known.where(full), by).where(F.contains("x", F.col("y")))
+    found = found.unionByName(met.select("dataset_id", "y", "x", "newest"))
+
+    few = known.where(F.length("x") <= GRAM).withColumn("gram", whole(_grams("x", sizes)))
+    many = rarest(in_known, "x", in_asked.where(full).select(*by))
+    met = in_asked.join(few.unionByName(many), by).where(F.contains("y", F.col("x")))
+    return found.unionByName(met.select("dataset_id", "y", "x", "newest"))
+
+
+def _sharing(asked: DataFrame, known: DataFrame, accept: float) -> DataFrame:
+    """Pairs of texts that can share so many words -> dataset_id, y, x, newest.
+
+    Words are put in one order for a dataset, rare ones first. A question may lack the part 1 - ``accept`` of its words,
+    so one of its first words, just more than that part, must be in the entry. Where no word of the question
+    repeats, the same holds for the words of the entry. Lengths that cannot reach ``accept`` do not meet.
+    """
+    by = ["dataset_id", "w"]
+    held = known.select("dataset_id", F.explode(F.array_distinct("xs")).alias("w")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+    def ordered(frame: DataFrame, text: str, words: str) -> DataFrame:
+        """Different words with their counts, rare ones first."""
+        own = frame.select("dataset_id", text, F.explode(words).alias("w")).groupBy("dataset_id", text, "w").agg(F.count(F.lit(1)).alias("c"))
+        own = own.join(held, by, "left").groupBy("dataset_id", text).agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "c"))).alias("ws"), F.sum("c").alias("size")
+        )
+        return own
+
+    def first_words(ws: str, spare: Column) -> Column:
+        """Words, in order, until their counts pass ``spare``."""
+        numbered = F.expr(
+            f"transform({ws}, (v, i) -> struct(v.n AS n, v.w AS w, aggregate(slice({ws}, 1, i), 0L, (a, u) -> a + u.c) AS before))"
+        )
+        return F.filter(numbered, lambda v: v["before"] <= spare)
+
+    slack = F.col("size") * (1 - accept) + 1e-9
+    left = ordered(asked, "y", "ys").withColumn("repeats", F.exists("ws", lambda v: v["c"] > 1))
+    left = left.select("dataset_id", "y", "repeats", F.col("size").alias("ny"), F.explode(first_words("ws", slack)).alias("v")).where("v.n > 0")
+    right = ordered(known, "x", "xs")
+    # Of the different words of an entry at least accept * size must be met, if none counts twice.
+    alone = F.expr("transform(ws, v -> struct(v.n AS n, v.w AS w, 1L AS c))")
+    right = right.withColumn("ds", alone).withColumn("early", first_words("ds", F.size("ds") - F.col("size") * accept + 1e-9))
+    right = right.select(
+        "dataset_id", "x", F.col("size").alias("nx"), F.explode(F.transform("ws", lambda v: F.struct(v["w"].alias("w"), F.exists("early", lambda e: e["w"] == v["w"]).alias("early")))).alias("v")
     )
-    known = known.withColumn("_own", band("_old")).withColumn("_band", F.explode(F.array(*[F.col("_own") + d for d in (-1, 0, 1)])))
-    pairs = _with_known(asked.withColumn("_band", band("_new")), known.drop("_own"), ("dataset_id", "_band"))
-    scored = pairs.withColumn("score", ratio("_new", "_old")).where(F.col("score") > cut)
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("_at"), F.desc("id"))
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("question_id", "id", "dataset_id", "score", "rank")
+    met = _with_known(
+        left.select("dataset_id", "y", "ny", "repeats", F.col("v.w").alias("w")), right.select("dataset_id", "x", "nx", F.col("v.w").alias("w"), F.col("v.early").alias("early")), by, ("y", "x")
     )
+    met = met.where((F.col("ny") >= F.col("nx") * accept - 1e-9) & (F.col("repeats") | (F.col("early") & (F.col("nx") >= F.col("ny") * accept - 1e-9))))
+    return met.select("dataset_id", "y", "x").distinct().join(known.select("dataset_id", "x", "newest"), ["dataset_id", "x"])
 
 
-def overlapping(log: DataFrame, questions: DataFrame, n: int = 20, accept: float = ACCEPTED_OVERLAP) -> DataFrame:
-    """The recent question of the same dataset sharing most words with a new one
-    -> question_id, id, score."""
-    # Texts are cleaned and split once, before they meet.
-    asked = questions.select("question_id", "dataset_id", plain(F.col("question")).alias("_y"))
-    known = recent(log, n).select("dataset_id", "id", plain(F.col("question")).alias("_x"), F.col("rank").alias("_age"))
-    pairs = _with_known(asked.withColumn("_ys", words_of(F.col("_y"))), known.withColumn("_xs", words_of(F.col("_x"))))
-    score = overlap_score(F.col("_x"), F.col("_xs"), F.col("_y"), F.col("_ys"))
+def overlap_candidates(asked: DataFrame, known: DataFrame, accept: float) -> DataFrame:
+    """Pairs of different texts of a dataset that can reach ``accept`` -> dataset_id, y, x, newest.
+    ``asked``: dataset_id, y, ys; ``known``: dataset_id, x, xs, newest; texts are plain, not empty, and come once."""
+    pairs = _sharing(asked, known, accept)
+    if accept <= CONTAINED_SCORE:
+        pairs = pairs.unionByName(_contained(asked.select("dataset_id", "y"), known.select("dataset_id", "x", "newest")).select(*pairs.columns))
+    equal = asked.select("dataset_id", "y").join(known.select("dataset_id", F.col("x").alias("y"), "newest"), ["dataset_id", "y"])
+    return pairs.unionByName(equal.select("dataset_id", "y", F.col("y").alias("x"), "newest").select(*pairs.columns))
+
+
+def overlapping(log: DataFrame, questions: DataFrame, accept: float = ACCEPTED_OVERLAP) -> DataFrame:
+    """The question of the same dataset, over the whole log, sharing most words with a new one; of equal scores the
+    newest -> question_id, id, score.
+
+    Equal texts count once on both sides. Pairs meet by keys that any pair with the score ``accept`` shares
+    (see ``overlap_candidates``), not all with all.
+    """
+    if not 0 < accept <= 1:
+        raise ValueError("accept lies above 0, up to 1")
+    texts = questions.select("question_id", "dataset_id", plain(F.col("question")).alias("y")).where("y <> ''")
+    asked = texts.select("dataset_id", "y").distinct().withColumn("ys", words_of(F.col("y")))
+    known = log.select("dataset_id", plain(F.col("question")).alias("x"), F.struct(F.col("created_at").alias("at"), "id").alias("own"))
+    known = known.where("x <> ''").groupBy("dataset_id", "x").agg(F.max("own").alias("newest"))
+    asked, known = write_through(asked, "asked"), write_through(known.withColumn("xs", words_of(F.col("x"))), "known")
+    pairs = overlap_candidates(asked, known, accept)
+    pairs = pairs.join(asked, ["dataset_id", "y"]).join(known.select("dataset_id", "x", "xs"), ["dataset_id", "x"])
+    score = overlap_score(F.col("x"), F.col("xs"), F.col("y"), F.col("ys"))
     scored = pairs.withColumn("score", score).where(F.col("score") >= accept)
-    best = W.partitionBy("question_id").orderBy(F.desc("score"), "_age")
-    return scored.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("question_id", "id", "score")
+    best = scored.groupBy("dataset_id", "y").agg(F.max(F.struct("score", "newest")).alias("best"))
+    return texts.join(best, ["dataset_id", "y"]).select("question_id", F.col("best.newest.id").alias("id"), F.col("best.score").alias("score"))
 
 
 def log_with_names(log: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ PLAIN_SQL = """regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[
     pairs AS (SELECT n.id AS question_id, o.id, o.age, o.x, n.x AS y,
                      list_filter(string_split(o.x, ' '), lambda w: w <> '') AS xs,
                      list_filter(string_split(n.x, ' '), lambda w: w <> '') AS ys
-              FROM p n JOIN p o ON n.dataset_id = o.dataset_id WHERE o.age <= 20),
+              FROM p n JOIN p o ON n.dataset_id = o.dataset_id),
     scored AS (SELECT question_id, id, age,
         CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.92
              ELSE len(list_filter(ys, lambda w: list_contains(xs, w))) / greatest(len(xs), len(ys)) END AS score FROM pairs),
@@ -340,7 +340,7 @@ PLAIN_SQL = """regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[
 def overlapping_questions(spark, sf_dir):
     log = question_log(spark, sf_dir)
     asked = log.select(F.col("id").alias("question_id"), "dataset_id", "question")
-    return rounded(K.overlapping(log, asked, 20, accept=0.4), "score")
+    return rounded(K.overlapping(log, asked, accept=0.4), "score")
 
 
 # --- question texts ---

@@ -1,6 +1,8 @@
 """Question routing, mentions, log search and vector search."""
 
 import difflib
+import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -176,3 +178,85 @@ def test_running_best_over_many_batches(spark):
         assert [r["item_id"] for r in found] == [r[0] for r in by_second[:5]]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def plain_text(text):
+    text = re.sub(r"[_\-]+", " ", (text or "").strip(" ").lower())
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", text))
+
+
+def overlap(x, y):
+    if not x or not y:
+        return 0.0
+    if x == y:
+        return 1.0
+    if x in y or y in x:
+        return 0.92
+    xs, ys = [w for w in x.split(" ") if w], [w for w in y.split(" ") if w]
+    return sum(w in set(xs) for w in ys) / max(len(xs), len(ys)) if xs and ys else 0.0
+
+
+@pytest.mark.parametrize("accept", [0.34, 0.78, 1.0])
+def test_overlap_over_the_whole_log(spark, accept):
+    rng = random.Random(int(accept * 100))
+    words = ["show", "sales", "by", "month", "a", "of", "the", "Region", "x-y", "to_tal", "is"]
+    some = lambda: rng.choice(["", " ", "?", "--"]) + " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 5, 8]))) + rng.choice(["", "?", "s"])
+    entries = [(f"{i:03d}", f"d{i % 3}", some()) for i in range(150)] + [("900", "d0", None), ("901", "d1", "--"), ("902", None, "sales by month")]
+    log = spark.createDataFrame([(i, d, q, n) for n, (i, d, q) in enumerate(entries)], "id string, dataset_id string, question string, n int").withColumn(
+        "created_at", F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(n % 40)")
+    )
+    asked = [(f"q{i}", f"d{i % 4}", some()) for i in range(60)] + [("qa", "d1", "ale"), ("qb", "d1", "a"), ("qc", "d0", None), ("qd", "d2", "th ow"), ("qe", "d0", " - ")]
+    asked += [("qf", "d0", entries[0][2]), ("qg", "d0", entries[0][2])]
+    got = catalog.overlapping(log, spark.createDataFrame(asked, "question_id string, dataset_id string, question string"), accept).collect()
+    want = {}
+    for q, d, y in asked:
+        scored = [(overlap(plain_text(x), plain_text(y)), n % 40, i) for n, (i, e, x) in enumerate(entries) if e == d]
+        best = max(scored, default=(0.0,))
+        if best[0] >= accept:
+            want[q] = (best[2], pytest.approx(best[0]))
+    assert {r["question_id"]: (r["id"], r["score"]) for r in got} == want and len(want) >= (20 if accept < 0.5 else 4)
+
+
+def test_only_texts_that_can_reach_the_score_meet(spark):
+    """A log of a template: no words but common ones are shared, so hardly any pairs come up."""
+    texts = [(f"{i:04d}", "d", f"show w{i} of v{i * 7} by u{i * 3} and t{i} per s{i}") for i in range(400)]
+    log = spark.createDataFrame(texts, "id string, dataset_id string, question string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    known = log.select("dataset_id", F.col("question").alias("x"), F.struct("created_at", "id").alias("newest")).withColumn("xs", F.split("x", " "))
+    asked = known.select("dataset_id", F.col("x").alias("y"), F.col("xs").alias("ys"))
+    assert catalog.overlap_candidates(asked, known, 0.78).count() <= 4 * 400  # each text meets itself, by each kind of key
+    with pytest.raises(ValueError):
+        catalog.overlapping(log, log, 0.0)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_text_search_equals_all_pairs(spark, k):
+    rng = random.Random(k)
+    words = ["sales", "Straße", "by", "month", "region", "total", "the", "of", "profit", "customer"]
+    some = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+    texts = [some() for _ in range(60)]
+    change = lambda t: "".join(c for c in t if rng.random() > 0.04) + rng.choice(["", "?", " now"])
+    log = log_of(spark, [(f"d{i % 2}", rng.choice(texts) if i % 3 else some()) for i in range(160)])
+    asked = [(f"q{i}", f"d{i % 3}", change(rng.choice(texts)) if i % 4 else some().upper()) for i in range(50)] + [("qx", "d0", " "), ("qy", "d0", "a")]
+    got = catalog.similar_text(log, spark.createDataFrame(asked, "question_id string, dataset_id string, question string"), k, 0.7).collect()
+    want, entries = {}, log.collect()
+    for q, d, y in asked:
+        scored = []
+        for r in entries:
+            if r["dataset_id"] == d and y.strip():
+                score = difflib.SequenceMatcher(None, y.strip().casefold(), r["question"].strip().casefold()).ratio()
+                if score > 0.7:
+                    scored.append((-score, -r["t"], r["id"]))
+        for rank, (score, _, i) in enumerate(sorted(scored)[:k], 1):
+            want[q, rank] = (i, pytest.approx(-score))
+    assert {(r["question_id"], r["rank"]): (r["id"], r["score"]) for r in got} == want and len(want) > 15
+
+
+def test_near_copies_meet_few_texts(spark):
+    """Questions with a near copy in the log are scored against few texts, not against all of their length."""
+    rng = random.Random(2)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [" ".join(letters() for _ in range(12)) for _ in range(300)]
+    known = spark.createDataFrame([("d", t) for t in texts], "dataset_id string, x string")
+    asked = spark.createDataFrame([("d", t + "?") for t in texts], "dataset_id string, y string")
+    entries = known.select("dataset_id", "x", F.lit("1").alias("id"), F.lit(1).alias("at"))
+    assert catalog.text_pairs(asked, known, entries, 1, 0.75).count() < 0.01 * 300 * 300
