@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from facetwise.functions.values import col, missing, number, number_columns, per_column, present
+from facetwise.functions.values import col, missing, number, number_columns, per_column, present, text_columns
+from facetwise.operators.profile import tops
 from facetwise.operators.quantiles import medians, scalar_values
 
 
@@ -63,31 +64,60 @@ def scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(*[z_score(df, c, *learnt[c]).alias(c) if c in learnt else col(c) for c in df.columns])
 
 
+def learnt_fills(df: DataFrame, fills: Sequence[tuple]) -> dict[str, object]:
+    """The values that ``("fill", column, how[, value])`` rules put in, by column; null where a column knows none. One job for
+    all means, one for all medians, one for the modes of all text columns."""
+    wanted: dict[str, list[str]] = {"constant": [], "mean": [], "median": [], "mode": []}
+    for rule in fills:
+        if rule[2] not in wanted:
+            raise ValueError(f"unknown fill: {rule[2]}")
+        wanted[rule[2]].append(rule[1])
+    found = {rule[1]: rule[3] for rule in fills if rule[2] == "constant"}
+    if wanted["mean"]:
+        found |= scalar_values(per_column(df, wanted["mean"], lambda n: {"mean": F.avg(number(df, n))}), "column_name", "mean")
+    if wanted["median"]:
+        found |= scalar_values(medians(df, wanted["median"]), "column_name", "median")
+    texts = [n for n in wanted["mode"] if n in text_columns(df)]
+    if texts:
+        found |= scalar_values(tops(df, texts), "column_name", "top")
+    for name in set(wanted["mode"]) - set(texts):
+        counts = df.where(~missing(df, name)).groupBy(col(name).alias("v")).count()
+        best = counts.orderBy(F.desc("count"), "v").limit(1).head()
+        found[name] = best["v"] if best else None
+    return {rule[1]: found.get(rule[1]) for rule in fills}
+
+
+def filled(df: DataFrame, name: str, value) -> Column:
+    """The column with a value where it is missing; without a value as it is, NaN as null."""
+    return present(df, name) if value is None else F.coalesce(present(df, name), F.lit(value))
+
+
 def apply_fixes(df: DataFrame, rules: Sequence[tuple]) -> DataFrame:
-    """Cleaning steps in order: ``("fill", column, "mean" | "median" | "mode" | "constant"[, value])``,
-    ``("drop_rows", [columns])``, ``("drop_duplicates", [columns])``."""
-    for rule in rules:
-        kind = rule[0]
+    """Cleaning steps in order: ``("trim", column)``, ``("fill", column, "mean" | "median" | "mode" | "constant"[, value])``,
+    ``("drop_rows", [columns])``, ``("drop_column", column)``, ``("drop_duplicates", [columns])``. Fills that follow one
+    another are learnt together, from the table as it is before the first of them."""
+    at = 0
+    while at < len(rules):
+        kind = rules[at][0]
         if kind == "fill":
-            name, how = rule[1], rule[2]
-            if how == "constant":
-                value = rule[3]
-            elif how == "mean":
-                value = df.agg(F.avg(number(df, name))).head()[0]
-            elif how == "median":
-                value = scalar_values(medians(df, [name]), "column_name", "median").get(name)
-            elif how == "mode":
-                counts = df.where(~missing(df, name)).groupBy(col(name).alias("v")).count()
-                best = counts.orderBy(F.desc("count"), "v").limit(1).head()
-                value = best["v"] if best else None
-            else:
-                raise ValueError(f"unknown fill: {how}")
-            df = df.withColumn(name, F.coalesce(present(df, name), F.lit(value)))
+            end = at
+            while end < len(rules) and rules[end][0] == "fill" and rules[end][1] not in [r[1] for r in rules[at:end]]:
+                end += 1
+            values = learnt_fills(df, rules[at:end])
+            df = df.select(*[filled(df, c, values[c]).alias(c) if c in values else col(c) for c in df.columns])
+            at = end
+            continue
+        rule = rules[at]
+        if kind == "trim":
+            df = df.withColumn(rule[1], F.trim(col(rule[1])))
         elif kind == "drop_rows":
             for name in rule[1] or df.columns:
                 df = df.where(~missing(df, name))
+        elif kind == "drop_column":
+            df = df.select(*[col(c) for c in df.columns if c != rule[1]])
         elif kind == "drop_duplicates":
             df = df.dropDuplicates(rule[1] or df.columns)
         else:
             raise ValueError(f"unknown rule: {kind}")
+        at += 1
     return df

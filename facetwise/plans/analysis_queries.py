@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetwise.operators import analysis as A, prep as R
+from facetwise.operators import analysis as A, cleaning as L, prep as R
 from facetwise.plans.inputs import DOCS_SQL, EVENTS_SQL, docs, events_with_gaps
 from facetwise.plans.profile_queries import rounded
 from facetwise.plans.registry import query, table
@@ -251,3 +251,99 @@ def cleaned_events(spark, sf_dir):
         ],
     )
     return rounded(fixed.select("user_id", "event_type", "value"), "value")
+
+
+# All rows of events with every kind of issue; every 20th row twice.
+MESSY_SQL = """
+once AS (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN ts END AS happened, CASE WHEN event_id % 5 > 0 THEN user_id END AS user_id,
+                CASE WHEN event_id % 7 > 0 THEN value END AS value, CASE WHEN event_id % 7 > 0 THEN value * value * value END AS cubed,
+                CASE WHEN event_id % 10 > 6 THEN value END AS rare, 'x' AS same, NULL::DOUBLE AS nothing,
+                CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 0 THEN ' ' || event_type ELSE event_type END AS kind,
+                CASE WHEN event_id % 2 = 0 THEN event_type END AS half FROM events),
+messy AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE event_id % 20 = 0)
+"""
+
+
+def messy(spark, sf_dir):
+    once = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 9 > 0 THEN ts END AS happened", "CASE WHEN event_id % 5 > 0 THEN user_id END AS user_id",
+        "CASE WHEN event_id % 7 > 0 THEN value END AS value", "CASE WHEN event_id % 7 > 0 THEN value * value * value END AS cubed",
+        "CASE WHEN event_id % 10 > 6 THEN value ELSE double('NaN') END AS rare", "'x' AS same", "CAST(NULL AS DOUBLE) AS nothing",
+        "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 4 = 0 THEN ' ' || event_type ELSE event_type END AS kind",
+        "CASE WHEN event_id % 2 = 0 THEN event_type END AS half",
+    )
+    return once.unionByName(once.where("event_id % 20 = 0"))
+
+
+@query(
+    f"""
+    WITH {MESSY_SQL}, n AS (SELECT count(*) AS rows FROM messy),
+    top AS (SELECT trim(kind) AS t FROM messy WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    i AS (
+      SELECT 'padded_text' AS kind, 'kind' AS c, count(*) FILTER (kind <> trim(kind)) AS affected, 'trim' AS action,
+             NULL::DOUBLE AS fill_number, NULL AS fill_text FROM messy
+      UNION ALL SELECT 'missing_values', 'user_id', count(*) - count(user_id), 'fill_mean', avg(user_id), NULL FROM messy
+      UNION ALL SELECT 'missing_values', 'value', count(*) - count(value),
+                       CASE WHEN abs(skewness(value)) > 2 THEN 'fill_median' ELSE 'fill_mean' END,
+                       CASE WHEN abs(skewness(value)) > 2 THEN quantile_cont(value, 0.5) ELSE avg(value) END, NULL FROM messy
+      UNION ALL SELECT 'missing_values', 'cubed', count(*) - count(cubed),
+                       CASE WHEN abs(skewness(cubed)) > 2 THEN 'fill_median' ELSE 'fill_mean' END,
+                       CASE WHEN abs(skewness(cubed)) > 2 THEN quantile_cont(cubed, 0.5) ELSE avg(cubed) END, NULL FROM messy
+      UNION ALL SELECT 'missing_values', 'kind', count(*) - count(kind), 'fill_mode', NULL, (SELECT t FROM top) FROM messy
+      UNION ALL SELECT 'missing_values', 'half', count(*) - count(half), 'fill_constant', NULL, 'unknown' FROM messy
+      UNION ALL SELECT 'undated_rows', 'happened', count(*) - count(happened), 'drop_rows', NULL, NULL FROM messy
+      UNION ALL SELECT 'empty_column', 'nothing', count(*), 'drop_column', NULL, NULL FROM messy
+      UNION ALL SELECT 'sparse_column', 'rare', count(*) - count(rare), 'drop_column', NULL, NULL FROM messy
+      UNION ALL SELECT 'constant_column', 'same', count(*), 'drop_column', NULL, NULL FROM messy
+      UNION ALL SELECT 'duplicate_rows', NULL, (SELECT rows FROM n) - count(*), 'drop_duplicates', NULL, NULL FROM (SELECT DISTINCT * FROM messy))
+    SELECT kind || coalesce(':' || c, '') AS issue_id, kind, c AS column_name, affected, round(100.0 * affected / rows, 6) AS pct,
+           action, round(fill_number, 4) AS fill_number, fill_text FROM i, n
+    """
+)
+def cleaning_plan(spark, sf_dir):
+    return rounded(rounded(L.cleaning_plan(messy(spark, sf_dir)), "pct"), "fill_number", digits=4)
+
+
+PREVIEW_RULES = [
+    ("trim", "kind"), ("fill", "value", "mean"), ("fill", "cubed", "median"), ("fill", "kind", "mode"), ("fill", "half", "constant", "unknown"),
+    ("drop_rows", ["happened", "user_id"]), ("drop_column", "nothing"),
+]
+
+
+@query(
+    f"""
+    WITH {MESSY_SQL}, v AS (SELECT avg(value) AS value, quantile_cont(cubed, 0.5) AS cubed FROM messy),
+    top AS (SELECT trim(kind) AS t FROM messy WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+    f AS (SELECT m.event_id, m.happened, m.user_id, coalesce(m.value, v.value) AS value, coalesce(m.cubed, v.cubed) AS cubed, m.rare, m.same, m.nothing,
+                 coalesce(trim(m.kind), t) AS kind, coalesce(m.half, 'unknown') AS half
+          FROM messy m, v, top WHERE m.happened IS NOT NULL AND m.user_id IS NOT NULL),
+    """
+    + "b AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows_before, count(*) - count({c}) AS missing_before, "
+        f"{f'avg({c})' if c in ('event_id', 'user_id', 'value', 'cubed', 'rare', 'nothing') else 'NULL::DOUBLE'} AS mean_before FROM messy"
+        for c in ("event_id", "happened", "user_id", "value", "cubed", "rare", "same", "nothing", "kind", "half")
+    ) + "), a AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS rows_after, {'NULL::BIGINT' if c == 'nothing' else f'count(*) - count({c})'} AS missing_after, "
+        f"{f'avg({c})' if c in ('event_id', 'user_id', 'value', 'cubed', 'rare') else 'NULL::DOUBLE'} AS mean_after FROM f"
+        for c in ("event_id", "happened", "user_id", "value", "cubed", "rare", "same", "nothing", "kind", "half")
+    )
+    + """) SELECT column_name, rows_before, rows_after, missing_before, missing_after, round(mean_before, 4) AS mean_before,
+                  round(mean_after, 4) AS mean_after, column_name <> 'nothing' AS stays FROM a JOIN b USING (column_name)"""
+)
+def cleaning_preview(spark, sf_dir):
+    return rounded(L.preview(messy(spark, sf_dir), PREVIEW_RULES), "mean_before", "mean_after", digits=4)
+
+
+@query(
+    f"""
+    WITH {MESSY_SQL}, top AS (SELECT trim(kind) AS t FROM messy WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+    SELECT DISTINCT event_id, happened, user_id, round(value, 6) AS value, round(cubed, 6) AS cubed, coalesce(trim(kind), t) AS kind, half, rare
+    FROM messy, top WHERE happened IS NOT NULL
+    """
+)
+def cleaned_by_plan(spark, sf_dir):
+    """Some issues of the plan, by their ids."""
+    df = messy(spark, sf_dir)
+    ids = ["duplicate_rows", "undated_rows:happened", "padded_text:kind", "missing_values:kind", "constant_column:same", "empty_column:nothing"]
+    fixed = L.apply_cleaning(df, L.cleaning_plan(df), ids)
+    return rounded(fixed.withColumn("rare", F.nanvl("rare", F.lit(None).cast("double"))), "value", "cubed")
