@@ -60,32 +60,52 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.forget()
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, words
+    def forget(self) -> None:
+        """What is known: hashes of runs in order, where the ids of each begin, how many, and all ids."""
+        self.hashes, self.begin = np.empty(0, np.uint64), np.empty(0, np.uint32)
+        self.size, self.ids = np.empty(0, np.uint32), np.empty(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, encode([w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+        parts, sizes = [self.ids], [self.size]
+        for at in range(0, len(words), 20_000):
+            some = [e.ids for e in encode([w.decode() for w in words[at : at + 20_000]], add_special_tokens=False)]
+            sizes.append(np.array([len(x) for x in some], np.uint32))
+            parts.append(np.array([i for x in some for i in x], np.uint32))
+        self.ids = np.concatenate(parts)
+        new = np.concatenate(sizes[1:]) if len(sizes) > 1 else np.empty(0, np.uint32)
+        begin = np.concatenate([self.begin, (len(parts[0]) + np.cumsum(new, dtype=np.int64) - new).astype(np.uint32)])
+        hashes, size = np.concatenate([self.hashes, hashes]), np.concatenate([self.size, new])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.begin, self.size = hashes[order], begin[order], size[order]
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is in what is known, and whether it is."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, known
 
     def encode(self, part: Docs) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some documents, and how many each document has."""
         part = part._replace(data=LOWER[part.data])
         words = split_tokens(part)
-        _, first, which = np.unique(word_hashes(part.data, words), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(word_hashes(part.data, words), return_index=True, return_inverse=True)
+        _, known = self.places(hashes)
+        if len(self.hashes) + np.count_nonzero(~known) > MEMORY:
+            self.forget()
+            known[:] = False
+        new = np.flatnonzero(~known)
         raw = part.data.tobytes()
-        spans = zip(words.start[first].tolist(), words.length[first].tolist())
-        each = self.words([raw[s : s + n] for s, n in spans])
-        size = np.array([len(x) for x in each], np.int64)
-        flat = np.concatenate([np.empty(0, np.uint32), *each])
-        begin, n = (np.cumsum(size) - size)[which], size[which]
+        spans = zip(words.start[first[new]].tolist(), words.length[first[new]].tolist())
+        self.learn(hashes[new], [raw[s : s + n] for s, n in spans])
+        at = self.places(hashes)[0][which]
+        begin, n = self.begin[at].astype(np.int64), self.size[at].astype(np.int64)
         stop = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(begin - stop[:-1], n) + np.arange(stop[-1])]
+        ids = self.ids[np.repeat(begin - stop[:-1], n) + np.arange(stop[-1])]
         return ids, np.diff(stop[words.first])
 
 
@@ -97,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for part in slices(batches, 6 << 20):
+        for part in slices(batches, 3 << 20):
             flat, counts = encoder.encode(part)
             at, rows, cut = 0, [], []
             for d, n in enumerate(counts.tolist()):
