@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from facetwise.functions.values import col, missing, number, number_columns, per_column, present, text_columns
-from facetwise.operators.profile import tops
+from facetwise.operators.profile import frequent_texts
 from facetwise.operators.quantiles import medians, scalar_values
 
 
@@ -79,7 +79,7 @@ def learnt_fills(df: DataFrame, fills: Sequence[tuple]) -> dict[str, object]:
         found |= scalar_values(medians(df, wanted["median"]), "column_name", "median")
     texts = [n for n in wanted["mode"] if n in text_columns(df)]
     if texts:
-        found |= scalar_values(tops(df, texts), "column_name", "top")
+        found |= scalar_values(frequent_texts(df, texts), "column_name", "top")
     for name in set(wanted["mode"]) - set(texts):
         counts = df.where(~missing(df, name)).groupBy(col(name).alias("v")).count()
         best = counts.orderBy(F.desc("count"), "v").limit(1).head()

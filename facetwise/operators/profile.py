@@ -186,7 +186,7 @@ def value_counts_all(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return union_all(parts).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tops(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def frequent_texts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Text columns -> column_name, unique, top, freq (ties: smallest value)."""
     counts = value_counts_all(df, names).where("value is not null")
     return counts.groupBy("column_name").agg(
@@ -212,7 +212,7 @@ def describe_all(df: DataFrame) -> DataFrame:
             [], "column_name string, mean double, std double, min double, max double, q25 double, q50 double, q75 double"
         )
     if others:
-        tops = tops(df, others)
+        tops = frequent_texts(df, others)
     else:
         tops = df.sparkSession.createDataFrame([], "column_name string, unique bigint, top string, freq bigint")
     return (
