@@ -133,6 +133,85 @@ def block_matcher(k: int, relation: str):
     return run
 
 
+# Cosines come out of rounded sums: a cell is skipped only where it is out of reach by more than this.
+ANGLE_SLACK = 1e-6
+
+
+def angles(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Angle of every row with every centre; NaN for rows without a direction, infinite for such centres."""
+    cosine = unit_rows(matrix) @ np.nan_to_num(unit_rows(centres)).T
+    found = np.arccos(np.clip(cosine, -1.0, 1.0))
+    found[:, ~centres.any(axis=1)] = np.inf
+    found[np.isnan(cosine).any(axis=1)] = np.nan
+    return found
+
+
+def matrix_steps(batches, column: str, width: int):
+    """(slice of a batch, its vectors), so many rows at a time that ``width`` numbers a row stay small."""
+    step = max(1, SCORE_CELLS // max(width, 1))
+    for whole in batches:
+        for start in range(0, whole.num_rows, step):
+            batch = whole.slice(start, step)
+            yield batch, list_matrix(batch.column(column))
+
+
+def cell_finder(centres: np.ndarray):
+    """A ``mapInArrow`` function: appends the nearest cell and the angle to its centre; -1 and null without a direction."""
+
+    def run(batches):
+        for batch, vectors in matrix_steps(batches, "embedding", len(centres)):
+            found = angles(vectors, centres)
+            lost = np.isnan(found).any(axis=1)
+            cell = np.where(lost, -1, np.argmin(np.where(lost[:, None], 0.0, found), axis=1))
+            angle = pa.array(found[np.arange(len(cell)), np.maximum(cell, 0)], pa.float64(), mask=lost)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), angle], [*batch.schema.names, "cell", "angle"])
+
+    return run
+
+
+def cell_visitor(centres: np.ndarray, radii: np.ndarray, first: int, within: bool):
+    """A ``mapInArrow`` function: one row (query_id, query_group, embedding, _g) for every cell that a query visits.
+
+    Either its ``first`` nearest cells that hold rows; or, ``within`` reach, all others that may hold a row of
+    at least the column ``bound`` (null: any): such a cell has a row no nearer than the angle to its centre
+    less its radius. Empty cells have a radius of -1.
+    """
+    filled = radii >= 0
+
+    def run(batches):
+        for batch, vectors in matrix_steps(batches, "embedding", len(centres)):
+            found = angles(vectors, centres)
+            known = ~np.isnan(found).any(axis=1)
+            found = np.where(filled, found, np.inf)
+            order = np.argsort(found, axis=1, kind="stable")
+            near = np.zeros(found.shape, bool)
+            np.put_along_axis(near, order[:, :first], True, axis=1)
+            visits = near & filled & known[:, None]
+            if within:
+                bound = np.asarray(batch.column("bound").to_pylist(), dtype=np.float64)  # null becomes NaN
+                best = np.cos(np.clip(np.where(filled, found, np.pi) - radii, 0.0, np.pi)) + ANGLE_SLACK
+                visits = ~near & filled & known[:, None] & ~(best < bound[:, None])
+            rows, cells = np.nonzero(visits)
+            kept = batch.select(["query_id", "query_group", "embedding"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cells, pa.int32())], [*kept.schema.names, "_g"])
+
+    return run
+
+
+def cell_places(centres: np.ndarray, radii: np.ndarray):
+    """A ``mapInArrow`` function: the place (from 1) of a row's cell in the order in which its vector visits cells."""
+    filled = radii >= 0
+
+    def run(batches):
+        for batch, vectors in matrix_steps(batches, "embedding", len(centres)):
+            order = np.argsort(np.where(filled, angles(vectors, centres), np.inf), axis=1, kind="stable")
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            place = np.argmax(order == cell[:, None], axis=1) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32())], ["place"])
+
+    return run
+
+
 def letter_masks(text: str) -> dict[str, int]:
     """For every letter the bit set of its positions."""
     masks: dict[str, int] = {}

@@ -101,7 +101,11 @@ def _blocked(queries: DataFrame, items: DataFrame, k: int, relation: str) -> Dat
     """Block against block: memory per task is bounded by the block sizes, however large a group
     is. With relation "same" only blocks of one group meet."""
     part = (lambda group: F.coalesce(F.col(group), F.lit(""))) if relation == "same" else (lambda group: F.lit(""))
-    queries, items = queries.withColumn("_g", part("query_group")), items.withColumn("_g", part("item_group"))
+    return by_blocks(queries.withColumn("_g", part("query_group")), items.withColumn("_g", part("item_group")), k, relation)
+
+
+def by_blocks(queries: DataFrame, items: DataFrame, k: int, relation: str) -> DataFrame:
+    """Queries meet the items of the same ``_g``, block against block -> the ``k`` best of every block."""
 
     def blocks(frame, size, alias):
         return frame.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / size).cast("bigint").alias(alias))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from facetwise.operators import catalog as K
-from facetwise.operators.udf import apply_table
+from facetwise.operators.udf import apply_merged, apply_table
 from facetwise.plans import reports
 from facetwise.plans.inputs import DOCS_SQL, EVENTS_SQL, docs, events_with_gaps, melted_sql
 from facetwise.plans.profile_queries import DOC_NUMBERS, DOCS, rounded
@@ -190,14 +190,20 @@ def streamed_ingest(spark, sf_dir):
 def user_code_per_group(spark, sf_dir):
     keys = ["o_orderpriority", "o_orderstatus"]
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        price = pdf["o_totalprice"]
-        first = pdf[keys].head(1).reset_index(drop=True)
-        return first.assign(n=len(pdf), spread=price.max() - price.min())
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        grouped = pdf.groupby(keys, dropna=False)["o_totalprice"]
+        return grouped.agg(n="size", lo="min", hi="max").reset_index()
+
+    def merge(states: pd.DataFrame) -> pd.DataFrame:
+        return states.groupby(keys, dropna=False).agg(n=("n", "sum"), lo=("lo", "min"), hi=("hi", "max")).reset_index()
+
+    def spread(states: pd.DataFrame) -> pd.DataFrame:
+        return states[[*keys, "n"]].assign(spread=states["hi"] - states["lo"])
 
     orders = table(spark, sf_dir, "orders").select(*keys, "o_totalprice")
     schema = "o_orderpriority string, o_orderstatus string, n bigint, spread double"
-    return rounded(apply_table(orders, spread, schema, keys), "spread", digits=4)
+    found = apply_merged(orders, keys, partial, merge, spread, "n bigint, lo double, hi double", schema)
+    return rounded(found, "spread", digits=4)
 
 
 @query("SELECT p_partkey, upper(p_name) AS p_name FROM part WHERE p_size > 25")

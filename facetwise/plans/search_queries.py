@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetwise.functions import text as X
-from facetwise.operators import catalog as K, vectors as V
+from facetwise.operators import catalog as K, cells as C, vectors as V
 from facetwise.plans.profile_queries import rounded
 from facetwise.plans.registry import query, table
-from facetwise.session import write_through
+from facetwise.session import scratch_path, write_through
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -153,13 +153,57 @@ def column_search_by_text(spark, sf_dir):
     return V.search_columns(described, catalog(spark, sf_dir), "retail price of a part", 5)
 
 
+def stored_index(spark, sf_dir, cells=8):
+    path = scratch_path(spark, "vector-index")
+    frame = registry(spark, sf_dir)
+    late = F.col("column_name").endswith("3")
+    C.write_index(frame.where(~late), path, cells)
+    C.add_to_index(frame.where(late), path, "late")
+    return path
+
+
+def hundredths(spark, sf_dir, rest="00"):
+    """The stated query set: every vector whose id is divisible by 100."""
+    frame = registry(spark, sf_dir).where(F.col("column_name").endswith(rest))
+    return frame.select(F.col("column_name").alias("query_id"), F.col("dataset_id").alias("query_group"), "embedding")
+
+
 @query()
 def index_probe(spark, sf_dir):
-    """Approximate search over cells; tests compare it with the exact one."""
-    frame = registry(spark, sf_dir)
-    index, centres = V.build_index(frame, cells=8)
-    vector = frame.where("column_name = 'v000007'").head()["embedding"]
-    return V.probe(index, centres, vector, 10, cells=3)
+    """Approximate search in the stored index, with as many cells as other vectors needed; tests compare it with the
+    exact one."""
+    path = stored_index(spark, sf_dir)
+    # 200 other vectors by hash: a sample for the number of cells only, every vector is in the index.
+    others = hundredths(spark, sf_dir, "").where(~F.col("query_id").endswith("00")).orderBy(F.xxhash64("query_id"), "query_id").limit(200)
+    probes = C.probes_for(others, path, 10)
+    return C.probe_index(hundredths(spark, sf_dir), path, 10, probes)
+
+
+HUNDREDTHS_SQL = f"""
+{REGISTRY_SQL}, pairs AS (
+  SELECT l.column_name AS query_id, r.column_name AS item_id, r.dataset_id AS item_group,
+         round(list_cosine_similarity(l.e, r.e), 9) AS score
+  FROM reg l JOIN reg r ON l.dataset_id <> r.dataset_id WHERE l.column_name LIKE '%00'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM pairs)
+"""
+
+
+@query(f"WITH {HUNDREDTHS_SQL} SELECT query_id, item_id, item_group, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5")
+def nearest_through_cells(spark, sf_dir):
+    """Exact: cells of the stored index are skipped only where they cannot hold one of the best."""
+    found = C.join_index(hundredths(spark, sf_dir), stored_index(spark, sf_dir), 5, "other").found
+    return rounded(found.withColumn("rank", F.col("rank").cast("bigint")), "score")
+
+
+@query(
+    f"""WITH {HUNDREDTHS_SQL} SELECT query_id, count(*) AS matches, round(max(score), 6) AS best
+        FROM ranked WHERE rank <= 5 AND score >= 0.35 GROUP BY 1"""
+)
+def strong_matches_through_cells(spark, sf_dir):
+    """With a least score, cells that cannot reach it are skipped too."""
+    found = C.join_index(hundredths(spark, sf_dir), stored_index(spark, sf_dir), 5, "other", min_score=0.35).found
+    grouped = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"), F.max("score").alias("best"))
+    return rounded(grouped, "best")
 
 
 # --- catalog: the test tables themselves ---
