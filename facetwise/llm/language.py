@@ -41,7 +41,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A raw-content dictionary for each language, of at most ``texts`` times ``chars`` characters.
 
     The sample: ids are dealt into ``texts`` groups by hash, and each group gives, for each language,
-    the text of the smallest hash. The rows are found by hashes alone; only their texts reach the driver.
+    the text of the smallest hash; of rows that share id (or its lack) and language, the text whose beginning has
+    the smallest hash. The rows are found by hashes alone; at most ``texts`` texts a language reach the driver.
     Rows with null or letterless text or null language are left out.
     """
     rows = docs.select(
@@ -49,17 +50,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         F.col(f"`{text_col}`").cast("string").alias("text"),
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    mark = F.xxhash64("doc_id")
-    best = rows.groupBy("lang", F.pmod(mark, F.lit(texts)).alias("part")).agg(F.min(mark).alias("mark"))
-    wanted = [r["mark"] for r in best.limit(texts * MAX_LANGUAGES + 1).collect()]
+    mark, pair = F.xxhash64("doc_id"), F.xxhash64("lang", "doc_id")
+    best = rows.groupBy("lang", F.pmod(mark, F.lit(texts)).alias("part")).agg(F.min_by(pair, mark).alias("pair"))
+    wanted = [r["pair"] for r in best.limit(texts * MAX_LANGUAGES + 1).collect()]
     if len(wanted) > texts * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not wanted:
         return {}
-    found = rows.where(mark.isin(wanted)).select("lang", mark.alias("mark"), F.substring("text", 1, chars).alias("text"))
+    begin = F.substring("text", 1, chars)
+    found = rows.where(pair.isin(wanted)).groupBy("lang", mark.alias("mark")).agg(F.min(F.struct(F.xxhash64(begin), begin.alias("text"))).alias("first"))
     by_lang: dict[str, list[tuple[int, str]]] = {}
-    for r in found.distinct().collect():
-        by_lang.setdefault(r["lang"], []).append((r["mark"], r["text"]))
+    for r in found.collect():
+        by_lang.setdefault(r["lang"], []).append((r["mark"], r["first"]["text"]))
     return {k: "\n".join(t for _, t in sorted(v)).lower().encode() for k, v in sorted(by_lang.items())}
 
 
