@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from facetwise.llm.common import LOWER, Docs, Words, ids_array, plain, slices, split_words, word_hashes
+from facetwise.llm.common import LOWER, SPACES, Docs, Words, ids_array, plain, slices, split_words, word_hashes
 
 CAPACITY = 2048
 END_ID = 1
@@ -34,8 +35,23 @@ SIGNS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 SIGNS[39] = False
 
 
-def split_tokens(part: Docs) -> Words:
-    """Words cut further between ASCII letters and signs, where no token crosses either."""
+def spans_of(part: Docs, added: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the tokenizer's added tokens in texts, from the left, none across two documents."""
+    if not added:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    longest_first = b"|".join(re.escape(a) for a in sorted(added, key=len, reverse=True))
+    raw = part.data.tobytes()
+    # Bytes of two documents lie end to end: each is searched apart only where a token is there at all.
+    if not re.search(longest_first, raw):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = [m.span() for a, b in zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist()) for m in re.compile(longest_first).finditer(raw, a, b)]
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def split_tokens(part: Docs, spans: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words cut further between ASCII letters and signs, where no token crosses either. ``spans`` are added tokens,
+    each a run of its own."""
     words, data = split_words(part), part.data
     if not len(words.start):
         return words
@@ -44,6 +60,15 @@ def split_tokens(part: Docs) -> Words:
     cut[1:] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
     cut[part.offsets[part.offsets < len(data)]] = False  # the byte before is another document's
     cut[words.start] = True
+    if spans is not None and len(spans[0]):
+        begin, stop = spans
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, begin + 1, 1)
+        np.add.at(inside, stop, -1)
+        cut[np.cumsum(inside)[:-1] > 0] = False
+        cut[begin] = True
+        after = stop[stop < len(data)]
+        cut[after] |= ~SPACES[data[after]]
     start = np.flatnonzero(cut)
     end = (words.start + words.length)[np.searchsorted(words.start, start, "right") - 1]
     end = np.minimum(end, np.append(start[1:], len(data)))
@@ -53,13 +78,19 @@ def split_tokens(part: Docs) -> Words:
 class Encoder:
     """Token ids of many texts. The tokenizer drops white space and the case of letters, and no token
     crosses a space or goes from ASCII letters to signs, so each different run is encoded once and the ids
-    are put together by run."""
+    are put together by run. The tokenizer's added tokens, as they are written, are runs of their own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        # Runs are cut at white space and found before letters lose their case.
+        plain = all(not (t.single_word or t.lstrip or t.rstrip or t.normalized) and not re.search(r"\s", t.content) for t in tokens)
+        if not plain:
+            raise ValueError("added tokens must be taken as they are written, without white space")
+        self.added = [t.content.encode() for t in tokens]
         self.forget()
 
     def forget(self) -> None:
@@ -91,8 +122,13 @@ class Encoder:
 
     def encode(self, part: Docs) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some documents, and how many each document has."""
-        part = part._replace(data=LOWER[part.data])
-        words = split_tokens(part)
+        spans = spans_of(part, self.added)
+        # Only an added token keeps its case.
+        data = LOWER[part.data]
+        for a, b in zip(*spans):
+            data[a:b] = part.data[a:b]
+        part = part._replace(data=data)
+        words = split_tokens(part, spans)
         hashes, first, which = np.unique(word_hashes(part.data, words), return_index=True, return_inverse=True)
         _, known = self.places(hashes)
         if len(self.hashes) + np.count_nonzero(~known) > MEMORY:
@@ -100,8 +136,8 @@ class Encoder:
             known[:] = False
         new = np.flatnonzero(~known)
         raw = part.data.tobytes()
-        spans = zip(words.start[first[new]].tolist(), words.length[first[new]].tolist())
-        self.learn(hashes[new], [raw[s : s + n] for s, n in spans])
+        places = zip(words.start[first[new]].tolist(), words.length[first[new]].tolist())
+        self.learn(hashes[new], [raw[s : s + n] for s, n in places])
         at = self.places(hashes)[0][which]
         begin, n = self.begin[at].astype(np.int64), self.size[at].astype(np.int64)
         stop = np.concatenate([[0], np.cumsum(n)])
