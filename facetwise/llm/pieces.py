@@ -73,6 +73,8 @@ class Lexicon:
         for i, p in enumerate(self.text):
             if i not in special:
                 score = max(LOWEST, round(model.get_score(i)))
+                if score != LOWEST and score != model.get_score(i):
+                    raise ValueError("piece scores must be whole numbers, as those of a merge model are")
                 least = min(least, score)
                 self.weight[p] = ((score << TIE_BITS) - zlib.crc32(b"%d" % i) % (1 << 20), i)
         # Pieces letter by letter, so that a search ends where no piece goes on: weight, id, what may follow.
@@ -447,17 +449,18 @@ def portions(batches: Iterator[pa.RecordBatch], column: str | int, limit: int =
             at = end
 
 
-CODED = "doc_id long, text_key long, chunk_no int, ids binary"
+CODED = "doc_id long, text_key string, chunk_no int, copies long, ids binary"
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text_key, chunk_no, ids): little-endian 32-bit ids; a document's ids are those of its chunks in
-    order. text_key is null for a text of one chunk, else a checksum of the text.
+    """(doc_id, text_key, chunk_no, copies, ids): little-endian 32-bit ids; a document's ids are those of its
+    chunks in order. text_key is null for a text of one chunk, else a 128-bit hash of the text.
 
     ``chunk``: characters of a chunk. Texts of one chunk are cut where they are read. Longer ones are dealt
     out by chunk, and only their matrices meet by document. Null and empty texts have one chunk without
-    ids. Rows that repeat an id are told apart by a checksum of their text. Other columns are ignored; no
-    rows give no rows.
+    ids. Different texts of one id are told apart by text_key. Repeated rows of one chunk come back as often as
+    they stand (copies 1), longer ones once, with their number as copies. Other columns are ignored; no rows
+    give no rows.
     """
     short, long = encode_parts(docs, model, id_col, text_col, chunk)
     return short.union(long)
@@ -473,7 +476,8 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         lexicon = lexicon_of(model)
         for batch in portions(batches, 1):
             ids = [i for _, i in lexicon.paths([prepared(t.as_py()) for t in batch.column(1)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.binary())], [*KEYS, "ids"])
+            one = [pa.nulls(len(ids), pa.string()), pa.array(np.zeros(len(ids), np.int32)), pa.array(np.ones(len(ids), np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *one, pa.array(ids, pa.binary())], [*KEYS, "copies", "ids"])
 
     longest = lexicon_of(model).longest
 
@@ -481,10 +485,10 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for d, t in zip(batch.column(0), batch.column(1)):
                 text = prepared(t.as_py())
-                key = zlib.crc32(text.encode())
+                key = hashlib.blake2b(text.encode(), digest_size=16).hexdigest()
                 for k, s in enumerate(range(0, len(text), chunk)):
                     cut = [d.as_py(), key, k, text[s : s + chunk], text[s + chunk : s + chunk + longest - 1]]
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(cut, kinds)], ["doc_id", "text_key", "chunk_no", "body", "ahead"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,10 +499,8 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def states(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk_no")
-        at = table["chunk_no"].to_pylist()
-        each = {k: m for k, m in zip(at, table["matrix"].to_pylist())}  # copies of a document have one
-        found = boundary_states([json.loads(each[k]) for k in sorted(each)])
-        cut = table.select(KEYS).take([at.index(k) for k in sorted(each)])
+        found = boundary_states([json.loads(m.as_py()) for m in table["matrix"]])
+        cut = table.select(KEYS)
         for name, values in (("entry", found[:-1]), ("leave", found[1:])):
             cut = cut.append_column(name, pa.array(values, pa.int32()))
         return cut
@@ -507,11 +509,12 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         lexicon = lexicon_of(model)
         for batch in portions(batches, "body"):
             ids = [np.array(lexicon.ids(*args), "<u4").tobytes() for args in zip(*(batch.column(c).to_pylist() for c in ("body", "ahead", "entry", "leave")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(ids, pa.binary())], [*KEYS, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*KEYS, "copies"]), pa.array(ids, pa.binary())], [*KEYS, "copies", "ids"])
 
-    kinds = "doc_id long, text_key long, chunk_no int"
+    kinds = "doc_id long, text_key string, chunk_no int"
     parts = rows.where(~short).mapInArrow(chunks, f"{kinds}, body string, ahead string")
-    parts = parts.repartition(*KEYS)
+    # Copies of a chunk are one row from here on; partial groups keep a text of very many copies small.
+    parts = parts.groupBy(*KEYS).agg(F.first("body").alias("body"), F.first("ahead").alias("ahead"), F.count(F.lit(1)).alias("copies"))
     found = parts.mapInArrow(matrices, f"{kinds}, matrix string").groupBy("doc_id", "text_key").applyInArrow(states, f"{kinds}, entry int, leave int")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEYS]
     joined = parts.alias("p").join(found.alias("s"), same[0] & same[1] & same[2]).select("p.*", "s.entry", "s.leave")
@@ -519,7 +522,8 @@ def encode_parts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, chunk_no, text) of ``encode``'s rows; a document's text is that of its chunks in order."""
+    """(doc_id, text_key, chunk_no, copies, text) of ``encode``'s rows; a document's text is that of its chunks in order."""
+    KEYS = ["doc_id", "text_key", "chunk_no", "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model)
@@ -528,14 +532,14 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
                 lexicon.decode(np.frombuffer(i.as_buffer(), "<u4").tolist(), k == 0)
                 for i, k in zip(batch.column("ids"), batch.column("chunk_no").to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk_no"), pa.array(texts, pa.string())], ["doc_id", "chunk_no", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(texts, pa.string())], [*KEYS, "text"])
 
-    return coded.select("doc_id", "chunk_no", "ids").mapInArrow(run, "doc_id long, chunk_no int, text string")
+    return coded.select(*KEYS, "ids").mapInArrow(run, "doc_id long, text_key string, chunk_no int, copies long, text string")
 
 
 def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, text_sha256) per document, from the ids of ``encode_parts`` and from the
-    text they decode to."""
+    """(doc_id, n_pieces, ids_crc32, text_sha256) per row of documents, repeated ones too, from the ids of
+    ``encode_parts`` and from the text they decode to."""
 
     def row(ids: bytes, text: str) -> tuple[int, int, str]:
         return len(ids) // 4, zlib.crc32(ids), hashlib.sha256(text.encode()).hexdigest()
@@ -554,8 +558,12 @@ def digests(short: DataFrame, long: DataFrame, model: str) -> DataFrame:
         ids = [i.as_py() for i in table["ids"]]
         texts = [lexicon.decode(np.frombuffer(i, "<u4").tolist(), k == 0) for k, i in enumerate(ids)]
         values = [table["doc_id"][0].as_py(), *row(b"".join(ids), "".join(texts))]
-        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], DIGEST)
+        values.append(table["copies"][0].as_py())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [*DIGEST, "copies"])
 
     DIGEST = ["doc_id", "n_pieces", "ids_crc32", "text_sha256"]
     kinds = "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string"
-    return short.mapInArrow(single, kinds).union(long.groupBy("doc_id", "text_key").applyInArrow(joined, kinds))
+    once = long.groupBy("doc_id", "text_key").applyInArrow(joined, f"{kinds}, copies long")
+    each = once.select(*DIGEST, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*DIGEST)
+    return short.mapInArrow(single, kinds).union(each)
