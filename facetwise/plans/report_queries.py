@@ -134,18 +134,31 @@ def json_export(spark, sf_dir):
     f"WITH {EVENTS_SQL} "
     + " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean,
-            round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max" FROM ev"""
+            round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max",
+            round(skewness({c}), 6) + 0.0 AS skew FROM ev"""
         for c in ("event_id", "user_id", "value")
     )
 )
 def streamed_profile(spark, sf_dir):
     """The events table cut into files, streamed a few files at a time."""
+    found = rounded(streamed_facts(spark, sf_dir), "mean", "std", "skew")
+    return found.withColumn("skew", F.col("skew") + 0.0).drop("distinct", "median")
+
+
+@query()
+def streamed_estimates(spark, sf_dir):
+    """Distinct values and the median of streamed columns, from stored sketches."""
+    return streamed_facts(spark, sf_dir).select("column_name", "distinct", "median")
+
+
+def streamed_facts(spark, sf_dir):
+    """The running profile of the events table, streamed a few files at a time."""
     landing, root = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-facts")
     frame = events_with_gaps(spark, sf_dir)
     frame.repartition(6, "event_id").write.parquet(landing)
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(landing)
     jobs.stream_profile(stream, root, scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return rounded(jobs.running_profile(spark, root), "mean", "std")
+    return jobs.running_profile(spark, root)
 
 
 @query(f"WITH {LOG_SQL} SELECT id, dataset_id, question FROM log")

@@ -1,12 +1,13 @@
 """CSV inference, landing checks, exports and streaming jobs."""
 
+import functools
 import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from facetwise.operators import catalog
+from facetwise.operators import catalog, profile
 from facetwise.sources import tables
 from facetwise.streaming import jobs
 
@@ -107,7 +108,35 @@ def test_replayed_batch_is_not_counted_twice(spark, tmp_path):
     for mark in ("one", "two"):
         # A new checkpoint makes the stream start over.
         jobs.stream_profile(stream, root, str(tmp_path / mark)).awaitTermination()
-    assert jobs.running_profile(spark, root).head()["rows"] == 100
+    found = jobs.running_profile(spark, root).head()
+    assert found["rows"] == 100 and found["distinct"] == pytest.approx(100, abs=1) and found["median"] in (49.0, 50.0)
+
+
+def test_sketches_of_batches_keep_their_errors(spark):
+    """Distinct values, medians and skews of many uneven batches against the whole table."""
+    x = F.pow(F.col("id") % 7919, 2) + 1e6
+    frame = spark.range(60_000).select(x.alias("x"), F.when(F.col("id") % 3 > 0, -x).alias("gaps"), (F.col("id") % 3 - 1).alias("few"))
+    nothing = F.lit(None).cast("double")
+    frame = frame.select("*", nothing.alias("none"), F.lit(0.0).alias("zero"))
+    cuts = [0, 1e6, 1.0001e6, 5e6, 2e7, 1e9]
+    batches = [jobs.batch_facts(frame.where((F.col("x") >= a) & (F.col("x") < b))) for a, b in zip(cuts, cuts[1:])]
+    merged = {r["column_name"]: r for r in jobs.merge_facts(functools.reduce(lambda a, b: a.unionByName(b), batches)).collect()}
+    whole = {r["column_name"]: r for r in profile.skews(frame).collect()}
+    for name in ("x", "gaps", "few"):
+        rows = frame.where(F.col(name).isNotNull())
+        distinct, n = rows.select(F.count_distinct(name), F.count(name)).head()
+        below, upto = rows.select(F.count_if(F.col(name) < merged[name]["median"]), F.count_if(F.col(name) <= merged[name]["median"])).head()
+        assert merged[name]["distinct"] == pytest.approx(distinct, rel=0.05)
+        assert below / n - 0.02 <= 0.5 <= upto / n + 0.02
+        assert merged[name]["skew"] == pytest.approx(whole[name]["skew"], rel=1e-6, abs=1e-9)
+    assert (merged["none"]["distinct"], merged["none"]["median"], merged["none"]["skew"]) == (0, None, None)
+    assert (merged["zero"]["distinct"], merged["zero"]["median"], merged["zero"]["skew"]) == (1, 0.0, None)
+
+
+def test_profile_of_empty_batches(spark):
+    empty = spark.createDataFrame([], "x double")
+    got = jobs.merge_facts(jobs.batch_facts(empty).unionByName(jobs.batch_facts(empty))).collect()
+    assert [(r["rows"], r["distinct"], r["median"], r["skew"]) for r in got] == [(0, 0, None, None)]
 
 
 def test_facts_replace_their_section(spark, tmp_path):
