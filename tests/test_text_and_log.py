@@ -260,3 +260,15 @@ def test_near_copies_meet_few_texts(spark):
     asked = spark.createDataFrame([("d", t + "?") for t in texts], "dataset_id string, y string")
     entries = known.select("dataset_id", "x", F.lit("1").alias("id"), F.lit(1).alias("at"))
     assert catalog.text_pairs(asked, known, entries, 1, 0.75).count() < 0.01 * 300 * 300
+
+
+def test_only_names_travel_to_every_task(spark, tmp_path):
+    """Files are small against their rows: neither words nor questions may be broadcast."""
+    questions = [(i, "d", f"total of Region {i % 7}, per region") for i in range(300)]
+    spark.createDataFrame(questions, "question_id int, dataset_id string, question string").write.parquet(str(tmp_path / "q"))
+    registry = spark.createDataFrame([("d", "region"), ("d", "month")], "dataset_id string, column_name string")
+    found = catalog.mentions(spark.read.parquet(str(tmp_path / "q")), registry)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(sent) == 1 and "BuildRight" in sent[0] and "SortMergeJoin" in plan
+    assert [(r["column_name"], r["position"], r["rank"]) for r in found.where("question_id = 5").collect()] == [("region", 9, 1)]
