@@ -272,3 +272,15 @@ def test_only_names_travel_to_every_task(spark, tmp_path):
     sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert len(sent) == 1 and "BuildRight" in sent[0] and "SortMergeJoin" in plan
     assert [(r["column_name"], r["position"], r["rank"]) for r in found.where("question_id = 5").collect()] == [("region", 9, 1)]
+
+
+def test_known_texts_meet_few_others(spark):
+    """Texts that are in the log have the best score there is: only what can equal it is looked at, by numbers."""
+    rng = random.Random(5)
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [("d", " ".join(rng.sample(words, 8))) for _ in range(300)]
+    known = spark.createDataFrame(texts, "dataset_id string, x string").withColumn("xs", F.split("x", " "))
+    known = known.withColumn("newest", F.struct(F.lit(1).alias("at"), F.col("x").alias("id")))
+    asked = known.select("dataset_id", F.col("x").alias("y"), F.col("xs").alias("ys"))
+    pairs = catalog.overlap_candidates(asked, known, 0.25)
+    assert pairs.columns == ["y_id", "x_id"] and pairs.count() < 0.2 * 300 * 300
