@@ -284,3 +284,24 @@ def test_known_texts_meet_few_others(spark):
     asked = known.select("dataset_id", F.col("x").alias("y"), F.col("xs").alias("ys"))
     pairs = catalog.overlap_candidates(asked, known, 0.25)
     assert pairs.columns == ["y_id", "x_id"] and pairs.count() < 0.2 * 300 * 300
+
+
+@pytest.mark.parametrize("relation", ["any", "same", "other"])
+def test_blocks_hold_few_scores(monkeypatch, relation):
+    """However large two blocks are, a task holds SCORE_CELLS scores at a time, and finds the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+
+    def block(n, ident, group):
+        vectors_ = pa.array([*rng.normal(size=(n, 4)).tolist()[:-1], [0.0] * 4], pa.list_(pa.float64()))
+        return pa.table({ident: [f"{i:03d}" for i in range(n)], group: [(None, "a", "b")[i % 3] for i in range(n)], "embedding": vectors_})
+
+    left, right = block(57, "query_id", "query_group"), block(90, "item_id", "item_group")
+    whole = kernels.block_matcher(3, relation)(left, right)
+    sizes, scored = [], kernels.similarity
+    monkeypatch.setattr(kernels, "similarity", lambda *a: sizes.append((out := scored(*a)).size) or out)
+    monkeypatch.setattr(kernels, "SCORE_CELLS", 1000)
+    assert kernels.block_matcher(3, relation)(left, right).equals(whole.combine_chunks()) and whole.num_rows == 56 * 3
+    assert len(sizes) == 6 and max(sizes) <= 1000
+    assert kernels.block_matcher(3, relation)(left, right.slice(0, 0)).num_rows == 0
