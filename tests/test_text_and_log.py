@@ -305,3 +305,15 @@ def test_blocks_hold_few_scores(monkeypatch, relation):
     assert kernels.block_matcher(3, relation)(left, right).equals(whole.combine_chunks()) and whole.num_rows == 56 * 3
     assert len(sizes) == 6 and max(sizes) <= 1000
     assert kernels.block_matcher(3, relation)(left, right.slice(0, 0)).num_rows == 0
+
+
+def test_runs_of_letters_carry_numbers(spark, monkeypatch):
+    """Every run of letters is a row: it goes with the number of its text, not with the text."""
+    written, write = {}, catalog.write_through
+    monkeypatch.setattr(catalog, "write_through", lambda df, label: written.update({label: df.columns}) or write(df, label))
+    known = spark.createDataFrame([("d", "sales by month and region"), ("d", "total profit of the north")], "dataset_id string, x string")
+    asked = known.select("dataset_id", F.concat("x", F.lit("?")).alias("y"))
+    entries = known.select("dataset_id", "x", F.lit("1").alias("id"), F.lit(1).alias("at"))
+    assert {tuple(r) for r in catalog.text_pairs(asked, known, entries, 1, 0.75).distinct().collect()} == {("d", r["x"] + "?", r["x"]) for r in known.collect()}
+    for label in ("known-runs", "asked-runs", "asked-bounds"):
+        assert not {"x", "y"} & set(written[label])
