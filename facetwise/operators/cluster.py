@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
-from pyspark import StorageLevel, inheritable_thread_target
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from facetwise import kernels
 from facetwise.functions.values import col, number, number_columns, per_column
 from facetwise.operators.prep import impute_median, moments, z_score
 from facetwise.operators.schema import sample_rows
+from facetwise.session import write_through
 
 MIN_ROWS = 50
 MIN_COLUMNS = 3
 DEFAULT_K = 4
 SMALL_DROP = 0.2
+#: A fit ends after so many steps, or when no centre moves further than this.
+STEPS = 20
+TOLERANCE = 1e-4
 
 
 def gate(df: DataFrame) -> str | None:
@@ -29,16 +36,47 @@ def gate(df: DataFrame) -> str | None:
     return None
 
 
-def _vectors(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Imputed table with a vector of scaled features."""
+class Model(NamedTuple):
+    """Centres as rows, in scaled columns, and the cost of the points in the last step that moved them."""
+
+    centres: np.ndarray
+    cost: float
+
+
+def _scaled(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The features of an imputed table: one column per name, scaled."""
     learnt = moments(df, names)
-    scaled = df.withColumns({f"_s{i}": z_score(df, n, *learnt[n]) for i, n in enumerate(names)})
-    parts = [f"_s{i}" for i in range(len(names))]
-    return VectorAssembler(inputCols=parts, outputCol="_scaled").transform(scaled).drop(*parts)
+    return [z_score(df, n, *learnt[n]).alias(f"_s{i}") for i, n in enumerate(names)]
+
+
+def _starts(points: DataFrame, ks: Sequence[int] | None, k_max: int, seed: int) -> dict[int, np.ndarray]:
+    """The centres from which the fit of each k begins (k-means||), from all points."""
+    vectors = VectorAssembler(inputCols=points.columns, outputCol="_scaled").transform(points).select("_scaled")
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if ks is None:
+            ks = range(2, min(k_max, vectors.count() - 1) + 1)
+        # One after another: side by side each would hold the distances of all points.
+        draw = KMeans(seed=seed, featuresCol="_scaled", solver="row", maxIter=0)
+        return {k: np.array(draw.copy({draw.k: k}).fit(vectors).clusterCenters()) for k in ks}
+    finally:
+        vectors.unpersist(True)
 
 
-def _fit(vectors: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster").fit(vectors)
+def _moved(blocks: DataFrame, models: dict[int, Model]) -> dict[int, Model]:
+    """Every centre in the middle of the points nearest to it, all models in one pass; one without points stays."""
+    step = blocks.mapInArrow(kernels.centre_sums([m.centres for m in models.values()]), "model int, centre int, part int, total double")
+    # One row per model, centre and column.
+    rows = step.groupBy("model", "centre", "part").agg(F.sum("total").alias("total")).collect()
+    out = {}
+    for at, (k, (centres, _)) in enumerate(models.items()):
+        totals = np.zeros((centres.shape[1] + 2, len(centres)))
+        for r in rows:
+            if r["model"] == at:
+                totals[r["part"], r["centre"]] = r["total"]
+        *sums, n, cost = totals
+        out[k] = Model(np.where(n[:, None] > 0, np.array(sums).T / np.maximum(n, 1)[:, None], centres), float(cost.sum()))
+    return out
 
 
 def choose_k(costs: DataFrame, k: int = DEFAULT_K, drop: float = SMALL_DROP) -> DataFrame:
@@ -57,23 +95,39 @@ def choose_k(costs: DataFrame, k: int = DEFAULT_K, drop: float = SMALL_DROP) ->
     return with_drop.withColumn("chosen", F.col("k") == F.coalesce(first_small, asked, largest))
 
 
-def _models(vectors: DataFrame, ks: Sequence[int] | None, k_max: int, seed: int, fit_rows: int | None, key: Sequence[str]) -> dict:
-    """Fitted models per k (2..k_max when not given), all on the same cached points."""
-    sample = sample_rows(vectors, key, fit_rows, seed) if fit_rows else vectors
-    points = sample.select("_scaled").persist(StorageLevel.MEMORY_AND_DISK)
+def _models(df: DataFrame, features: Sequence[Column], ks: Sequence[int] | None, k_max: int, seed: int, fit_rows: int | None, key: Sequence[str]) -> dict[int, Model]:
+    """Fitted models per k (2..k_max when not given), all on the same points: steps of all models in one pass each,
+    until no centre of a model moves by more than ``TOLERANCE`` or ``STEPS`` are done."""
+    points = (sample_rows(df, key, fit_rows, seed) if fit_rows else df).select(*features)
+    models = {k: Model(centres, 0.0) for k, centres in _starts(points, ks, k_max, seed).items()}
+    blocks = points.mapInArrow(kernels.point_packer, "points binary").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if ks is None:
-            ks = range(2, min(k_max, points.count() - 1) + 1)
-        fit = inheritable_thread_target(points.sparkSession)(lambda k: _fit(points, k, seed))
-        # Run side by side, the many small jobs of the fits keep the cluster busy.
-        with ThreadPool(max(1, len(ks))) as pool:
-            return dict(zip(ks, pool.map(fit, ks)))
+        moving = models
+        for _ in range(STEPS):
+            if not moving:
+                break
+            moved = _moved(blocks, moving)
+            far = {k: np.square(m.centres - moving[k].centres).sum(axis=1).max() > TOLERANCE**2 for k, m in moved.items()}
+            models = models | moved
+            moving = {k: m for k, m in moved.items() if far[k]}
+        return models
     finally:
-        points.unpersist()
+        blocks.unpersist()
+
+
+def _costs(spark, models: dict[int, Model]) -> DataFrame:
+    return spark.createDataFrame([(k, m.cost) for k, m in models.items()], "k int, inertia double")
+
 
+def _nearest(features: Sequence[Column], centres: np.ndarray) -> Column:
+    """The place of the nearest centre, the first one of equals."""
 
-def _costs(spark, models: dict) -> DataFrame:
-    return spark.createDataFrame([(k, float(m.summary.trainingCost)) for k, m in models.items()], "k int, inertia double")
+    @F.pandas_udf("int")
+    def near(points: pd.DataFrame) -> pd.Series:
+        columns = [points[c].to_numpy(dtype=np.float64) for c in points]
+        return pd.Series(kernels.centre_distances(columns, centres).argmin(axis=0))
+
+    return near(F.struct(*features))
 
 
 def elbow(df: DataFrame, k_max: int = 6, drop: float = SMALL_DROP, seed: int = 42, columns: Sequence[str] | None = None, fit_rows: int | None = None, key: Sequence[str] = (), k: int = DEFAULT_K) -> DataFrame:
@@ -82,7 +136,8 @@ def elbow(df: DataFrame, k_max: int = 6, drop: float = SMALL_DROP, seed: int = 4
     Fits on all rows; ``fit_rows`` (with a ``key``) fits on a seeded sample of that size instead.
     """
     names = list(columns) if columns is not None else number_columns(df)
-    models = _models(_vectors(impute_median(df, names), names), None, k_max, seed, fit_rows, key)
+    table = impute_median(df, names)
+    models = _models(table, _scaled(table, names), None, k_max, seed, fit_rows, key)
     return choose_k(_costs(df.sparkSession, models), k, drop)
 
 
@@ -90,11 +145,12 @@ def cluster(df: DataFrame, k: int | None = None, seed: int = 42, columns: Sequen
     """The imputed table with a ``cluster`` for every row. ``k`` is found as by ``elbow`` when not
     given, and the model already fitted for it is used."""
     names = list(columns) if columns is not None else number_columns(df)
-    vectors = _vectors(impute_median(df, names), names)
-    models = _models(vectors, None if k is None else [k], k_max, seed, fit_rows, key)
+    table = impute_median(df, names)
+    features = _scaled(table, names)
+    models = _models(table, features, None if k is None else [k], k_max, seed, fit_rows, key)
     if k is None:
         k = choose_k(_costs(df.sparkSession, models)).where("chosen").head()["k"]
-    return models[k].transform(vectors).drop("_scaled")
+    return table.withColumn("cluster", _nearest(features, models[k].centres))
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:
@@ -112,10 +168,15 @@ def deviations(clustered: DataFrame, names: Sequence[str]) -> DataFrame:
 
     One grouped pass: overall means come from the cluster sums (one row per cluster and column).
     """
+    return _sized_deviations(clustered, names).drop("n")
+
+
+def _sized_deviations(clustered: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``deviations`` with the rows of each cluster as ``n``."""
     sums = per_column(
         clustered,
         names,
-        lambda n: {"_sum": F.sum(number(clustered, n)), "_n": F.count(number(clustered, n))},
+        lambda n: {"_sum": F.sum(number(clustered, n)), "_n": F.count(number(clustered, n)), "_rows": F.count(F.lit(1))},
         keys=["cluster"],
     )
     over_clusters = W.partitionBy("column_name")
@@ -127,6 +188,7 @@ def deviations(clustered: DataFrame, names: Sequence[str]) -> DataFrame:
         "position",
         mean.alias("mean"),
         ((mean - overall) / F.greatest(F.abs(overall), F.lit(1e-9))).alias("deviation"),
+        F.col("_rows").alias("n"),
     )
 
 
@@ -148,8 +210,9 @@ def cluster_labels(deviation: DataFrame) -> DataFrame:
 
 def cluster_report(clustered: DataFrame, names: Sequence[str], examples: int = 3) -> DataFrame:
     """-> cluster, n, label, example (means of the first columns, for the largest cluster)."""
-    deviation = deviations(clustered, names)
-    sizes = cluster_sizes(clustered)
+    # One pass over the rows; sizes, labels and means are read from its few rows.
+    deviation = write_through(_sized_deviations(clustered, names), "deviations")
+    sizes = deviation.groupBy("cluster").agg(F.max("n").alias("n"))
     first = names[:examples]
     means = deviation.where(F.col("column_name").isin(list(first))).groupBy("cluster").agg(
         F.array_join(

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from facetwise import kernels
@@ -72,6 +74,24 @@ def test_blobs_are_separated(blobs):
     assert sum(r["example"] is not None for r in report) == 1
 
 
+def test_fits_share_their_passes_and_equal_the_library(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, *(float(x) for x in rng.uniform(0, 9, 3))) for i in range(600)]
+    names = ["a", "b", "c"]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(3, "id")
+    passes, moved = [], cluster._moved
+    monkeypatch.setattr(cluster, "_moved", lambda blocks, models: passes.append(set(models)) or moved(blocks, models))
+    costs = {r["k"]: r["inertia"] for r in cluster.elbow(df, columns=names).collect()}
+    assert passes[0] == {2, 3, 4, 5, 6} and len(passes) <= 20
+
+    scaled = df.select("id", *cluster._scaled(df, names))
+    points = VectorAssembler(inputCols=scaled.columns[1:], outputCol="v").transform(scaled).select("id", "v")
+    fits = {k: KMeans(k=k, seed=42, featuresCol="v").fit(points) for k in costs}
+    assert costs == pytest.approx({k: m.summary.trainingCost for k, m in fits.items()})
+    found = {r["id"]: r["cluster"] for r in cluster.cluster(df, k=3, columns=names).collect()}
+    assert found == {r["id"]: r["prediction"] for r in fits[3].transform(points).collect()}
+
+
 def test_elbow_rule(spark):
     def chosen(costs, k=4):
         frame = spark.createDataFrame(list(enumerate(costs, 2)), "k int, inertia double")
