@@ -1,10 +1,12 @@
 """Corpus operators against brute force on small frames: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import math
+import os
 import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from facetwise.llm import exact, graph, katz, language, licenses, lines, packing, pieces, simhash, substrings, vectors
+from facetwise.llm.common import slices
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, part long, key string, hash long"
@@ -378,6 +381,45 @@ def test_katz_does_not_depend_on_what_is_sent_to_all(spark, hot_part):
         assert a[:3] == b[:3] and (a.train_tokens, a.base_score, a.score) == (b.train_tokens, pytest.approx(b.base_score), pytest.approx(b.score))
 
 
+def test_katz_moves_and_stores_little(spark):
+    """The disk: a pair that was counted, and a token that is looked up, take a few bytes, hot or cold."""
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.3)) % 5000}" for _ in range(300))
+    docs = [(d, text()) for d in range(800)]
+    for hot_part in (0.0003, 0.02):
+        fitted = katz.fit(frame(spark, docs), hot_part=hot_part)
+        tokens = [["</end>", *words_of(t), "</end>"] for _, t in docs]
+        pairs = len({p for t in tokens for p in zip(t, t[1:])})
+        files = {f for table in fitted if hasattr(table, "inputFiles") for f in table.inputFiles()}
+        stored = sum(os.path.getsize(urlparse(f).path) for f in files)
+        assert pairs > 50_000 and stored < 9 * pairs, (hot_part, pairs, stored)
+        batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
+        (part,) = slices(iter([batch]), 12 << 20)
+        moved = sum(len(cell) for row in katz._entries(part, fitted.model) for cell in row if isinstance(cell, bytes))
+        assert moved < 9 * 301 * len(docs), (hot_part, moved)
+
+
+def test_katz_arrays_in_cells():
+    rng = np.random.default_rng(14)
+    least = np.iinfo(np.int64).min
+    some = [
+        np.empty(0, np.uint64), np.zeros(1000, np.int64), np.array([7], np.uint32), rng.random(3000), np.array([least, -1, 0, 5, 2**62]),
+        np.sort(rng.integers(0, 2**64, 5000, np.uint64, endpoint=False)), rng.integers(0, 3, 70).astype(np.uint32), np.array([0, 2**64 - 1], np.uint64),
+    ]
+    (cell,) = pa.array([katz._cell(*some)])
+    for a, b in zip(some, katz._arrays(cell, *[a.dtype for a in some]), strict=True):
+        assert a.dtype == b.dtype and a.tobytes() == b.tobytes()
+    for keys in (some[4], some[5]):
+        (cell,) = pa.array([katz._cell(katz._gaps(keys), some[3])])
+        again, rest = katz._sorted_arrays(cell, keys.dtype, float)
+        assert (again == keys).all() and (rest == some[3]).all()
+    for n in (1, 7, 12, 3000):
+        at = katz._bounds(some[5], n)
+        assert at[0] == 0 and at[-1] == len(some[5]) and len(at) == n + 1 and at == sorted(at)
+        own = [int(k) * n >> 64 for k in some[5]]
+        assert own == [b for b, (i, j) in enumerate(zip(at, at[1:])) for _ in range(i, j)]
+
+
 # ---------------------------------------------------------------- 7 licenses
 
 
