@@ -36,7 +36,9 @@ HOT_PART = 2.0**-19
 DISCOUNTED = 5
 END_HASH, RARE_HASH = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 TABLE = "bucket int, data binary, total long, distinct long, repeats array<long>"
-#: Of one bucket: pairs of two hot words; cold words, their counts, pairs of a hot and a cold, of a cold and a hot word; pairs of two cold words.
+#: Of one bucket: pairs of hot words (number of the history times how many are hot, plus number of the word); cold
+#: words, their counts, pairs of a hot and a cold word (place of the cold one times how many are hot, plus number of
+#: the hot one) and the other way round; pairs of cold words (place of the history, and the word). Each with counts.
 PAIRS = "bucket int, hot binary, half binary, cold binary, repeats array<long>"
 ENTRIES = "bucket int, kind int, of int, data binary, half binary, cold binary"
 ENTRY, OWN, TABLE_ROW, ANSWER = range(4)
@@ -219,23 +221,6 @@ def _count_words(rows: DataFrame, n: int) -> DataFrame:
     return stored(merged, "word-counts")
 
 
-class Pairs(NamedTuple):
-    """The pairs of one bucket, or of one slice: sorted cold words; keys of pairs of hot words (history times the
-    number of hot words, plus word); of a hot and a cold word (place of the cold one times that number, plus the hot
-    one) and the other way round; place of the history and word where both are cold. Each with counts."""
-
-    words: np.ndarray
-    hot: np.ndarray
-    hot_n: np.ndarray
-    before: np.ndarray
-    before_n: np.ndarray
-    behind: np.ndarray
-    behind_n: np.ndarray
-    cold: np.ndarray
-    cold_w: np.ndarray
-    cold_n: np.ndarray
-
-
 class Sides(NamedTuple):
     """Tokens of a slice: place of each and of the one before among hot words (-1: none) and among the slice's cold words."""
 
@@ -585,7 +570,7 @@ def _added(cells: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 class Weights(NamedTuple):
     """Of one bucket: pairs of hot words and what they add; cold words, their counts and what a token of each adds;
-    the other pairs as in Pairs, and what they add."""
+    the other pairs as in PAIRS, and what they add."""
 
     hot: np.ndarray
     hot_adds: np.ndarray
@@ -605,7 +590,7 @@ def _weights(table: pa.Table, answers: pa.Table, model: Model) -> Weights:
     """What the words and seen pairs of a bucket add, from their counts. All pairs of a cold history are in it."""
     size, base = max(len(model.words), 1), model.base
     none = np.empty(0, np.int64)
-    hot, hot_n, words, counts, before, before_n, behind, behind_n, cold, cold_n = [none] * 10
+    hot, hot_n, counts, before, before_n, behind, behind_n, cold, cold_n = [none] * 9
     words = cold_w = np.empty(0, np.uint64)
     if table.num_rows:
         hot, hot_n = _sorted_arrays(table["data"][0], np.int64, np.int64)
